@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +21,24 @@ LENGTH = 2048
 END = 1
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself where that prints, else the next from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Words:
     """Token ids of whole texts through a table of the chunks between spaces.
 
     The tokenizer drops white space and no rule of it reaches across a space, so a text's ids are
-    those of its chunks, one after another.  The table starts anew beyond ``room`` characters.
+    those of its chunks, one after another.  Most chunks are a word of Latin-1 letters, maybe with a
+    full stop or comma, which the tokenizer cuts off: such a word goes straight to the tokenizer's
+    model, once for all its spellings.  Others take the tokenizer's whole way.  The table starts
+    anew beyond ``room`` characters.
     """
 
-    def __init__(self, path: str, room: int = 16 << 20) -> None:
+    def __init__(self, path: str, room: int = 48 << 20) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -35,51 +46,63 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.room = room
+        self.model, self.letters, self.room = self.tokenizer.model, _byte_letters(), room
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
-        self.pool, self.used = np.empty(1 << 16, np.uint32), 1
-        self.pool[0] = END
-        #: Chunk 0 is the empty one, chunk 1 the mark of a document's end.
-        self.start, self.length = [0, 0], [0, 1]
+        self.index: dict[str, int] = {}
+        self.words: dict[str, list[int]] = {}
+        #: Chunk 0 is the mark of a document's end.
+        self.pool, self.start, self.length = np.array([END], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
         self.held = 0
 
+    def _word(self, word: str) -> list[int]:
+        ids = self.words.get(word)
+        if ids is None:
+            text = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = self.words[word] = [t.id for t in self.model.tokenize(text)]
+            self.held += len(word) + 60
+        return ids
+
     def learn(self, chunks: list[str]) -> None:
-        for chunk, found in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
-            ids = found.ids
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.r_[self.pool, np.empty_like(self.pool)]
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.index[chunk] = len(self.start)
-            self.start.append(self.used)
-            self.length.append(len(ids))
-            self.used += len(ids)
-            self.held += len(chunk) + 40
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each with END behind it, and the bounds of each text in them."""
+        found: list[list[int]] = []
+        rest: list[int] = []
+        for chunk in chunks:
+            stem = chunk[:-1] if chunk[-1:] in self.marks else chunk
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
+                ids = self._word(stem.lower())
+                found.append(ids if stem is chunk else ids + self.marks[chunk[-1]])
+            else:
+                rest.append(len(found))
+                found.append([])
+        for i, x in zip(rest, self.tokenizer.encode_batch([chunks[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = x.ids
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.index.update(zip(chunks, range(len(self.start), len(self.start) + len(chunks)), strict=True))
+        self.start = np.r_[self.start, len(self.pool) + np.cumsum(lengths) - lengths]
+        self.length = np.r_[self.length, lengths]
+        self.pool = np.r_[self.pool, np.array([i for ids in found for i in ids], np.uint32)]
+        self.held += sum(map(len, chunks)) + 60 * len(chunks)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (strings, none null), each with END behind it, and the bounds of each."""
         if self.held > self.room:
             self.clear()
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = set().union(*split) - self.index.keys()
-        if new:
-            self.learn(sorted(new))
-        codes: list[int] = []
-        ends = []
-        get = self.index.__getitem__
-        for chunks in split:
-            codes.extend(map(get, chunks))
-            codes.append(1)
-            ends.append(len(codes))
-        at = np.array(codes, np.int64)
-        lengths = np.array(self.length, np.int64)[at]
+        for space in "\n\t":
+            texts = pc.replace_substring(texts, space, " ")
+        split = pc.split_pattern(texts, " ")
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        self.learn([c for c in chunks if c not in self.index])
+        table = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        ends = split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]
+        at = np.insert(table[coded.indices.to_numpy()], ends, 0)
+        lengths = self.length[at]
         upto = np.cumsum(lengths)
         total = int(upto[-1]) if len(upto) else 0
-        shift = np.array(self.start, np.int64)[at] - (upto - lengths)
-        ids = self.pool[np.repeat(shift, lengths) + np.arange(total)]
-        return ids, np.r_[0, upto[np.array(ends, np.int64) - 1]] if ends else np.zeros(1, np.int64)
+        ids = self.pool[np.repeat(self.start[at] - (upto - lengths), lengths) + np.arange(total)]
+        return ids, np.r_[0, upto[ends + np.arange(len(ends))]]
 
 
 def pieces(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -94,24 +117,24 @@ def pieces(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, chars: int = 2_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, chars: int = 4_000_000) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, bucket, sequence_id, offset), a row for each piece.
 
     ids: the piece's ids, little-endian unsigned 32-bit.  bucket: the logarithm of the length;
     sequence_id has it in its top bits and counts rows below, so that buckets are ranges of it.
     ``length`` must be a power of two.  A null text counts as empty, whose only id is END.
-    Repeated rows and rows without doc_id are packed like others.  Batches of ``chars`` characters
+    Repeated rows and rows without doc_id are packed like others.  Batches of about ``chars`` bytes
     bound memory, not results.  An empty table gives an empty result; other columns are ignored.
     """
     if length & (length - 1) or length < 1:
         raise ValueError("length must be a power of two")
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000)
 
-    def batch(docs: list, texts: list[str], words: Words) -> pa.RecordBatch:
+    def batch(docs: pa.Array, texts: pa.Array, words: Words) -> pa.RecordBatch:
         ids, bounds = words.encode(texts)
         raw = memoryview(ids.astype("<u4").tobytes())
         cols: list[list] = [[], [], [], [], []]
-        for doc, a, b in zip(docs, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        for doc, a, b in zip(docs.to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             for start, size in pieces(b - a, length):
                 for col, x in zip(cols, (doc, start, size, bytes(raw[4 * (a + start) : 4 * (a + start + size)]), b - a), strict=True):
                     col.append(x)
@@ -121,16 +144,13 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, chars: int = 2_0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(tokenizer)
         for got in batches:
-            held: tuple[list, list] = ([], [])
-            size = 0
-            for doc, text in zip(got.column(0).to_pylist(), got.column(1), strict=True):
-                held[0].append(doc)
-                held[1].append(text.as_py())
-                size += len(held[1][-1])
-                if size > chars:
-                    yield batch(*held, words)
-                    held, size = ([], []), 0
-            yield batch(*held, words)
+            ends = np.cumsum(pc.binary_length(got.column(1)).to_numpy())
+            at = 0
+            while at < got.num_rows:
+                before = int(ends[at - 1]) if at else 0
+                n = max(1, int(np.searchsorted(ends, before + chars, "right")) - at)
+                yield batch(got.column(0).slice(at, n), got.column(1).slice(at, n), words)
+                at += n
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long")
     bucket = F.log2("length").cast("int")
