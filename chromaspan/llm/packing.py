@@ -35,10 +35,10 @@ class Words:
     those of its chunks, one after another.  Most chunks are a word of Latin-1 letters, maybe with a
     full stop or comma, which the tokenizer cuts off: such a word goes straight to the tokenizer's
     model, once for all its spellings.  Others take the tokenizer's whole way.  The table starts
-    anew beyond ``room`` characters.
+    anew beyond ``room`` characters, each entry counting 60 more: some 350 MB at most.
     """
 
-    def __init__(self, path: str, room: int = 48 << 20) -> None:
+    def __init__(self, path: str, room: int = 96 << 20) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -105,6 +105,17 @@ class Words:
         return ids, np.r_[0, upto[ends + np.arange(len(ends))]]
 
 
+def kept_words(path: str) -> Words:
+    """The table of this worker process, which its later tasks find filled."""
+    import sys
+    import types
+
+    home = sys.modules.setdefault("chromaspan_kept", types.ModuleType("chromaspan_kept")).__dict__
+    if ("words", path) not in home:
+        home["words", path] = Words(path)
+    return home["words", path]
+
+
 def pieces(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids, longest first."""
     out = [(i * length, length) for i in range(n // length)]
@@ -142,7 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, chars: int = 4_0
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer)
+        words = kept_words(tokenizer)
         for got in batches:
             ends = np.cumsum(pc.binary_length(got.column(1)).to_numpy())
             at = 0
