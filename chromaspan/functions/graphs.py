@@ -15,6 +15,11 @@ def shift_right(value: Column, bits: Column) -> Column:
     return F.call_function("shiftright", value, bits)
 
 
+def let(value: Column, use) -> Column:
+    """use(x) with value computed once for a row, however often x stands in it, also in lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 #: Fixed value: the version that identifies a canonical graph document.
 GRAPH_VERSION = "total-coloring.simple-graph.v1"
 
@@ -63,10 +68,14 @@ def _bits(value: Column, width: int) -> Column:
 
 def _pack(bits: Column) -> Column:
     """Text of six-bit groups, zero-padded, each plus 63."""
-    groups = F.ceil(F.size(bits) / 6).cast("int")
-    value = lambda g: F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.lit(0), lambda a, i: a * 2 + F.coalesce(F.get(bits, g * 6 + i - 1), F.lit(0)).cast("int"))
-    letters = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.char(value(g) + 63))
-    return F.when(groups > 0, F.array_join(letters, "")).otherwise("")
+
+    def text(bits: Column) -> Column:
+        groups = F.ceil(F.size(bits) / 6).cast("int")
+        value = lambda g: F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.lit(0), lambda a, i: a * 2 + F.coalesce(F.get(bits, g * 6 + i - 1), F.lit(0)).cast("int"))
+        letters = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.char(value(g) + 63))
+        return F.when(groups > 0, F.array_join(letters, "")).otherwise("")
+
+    return let(bits, text)
 
 
 def graph6(n: Column, edges: Column) -> Column:
@@ -82,28 +91,37 @@ def from_graph6(text: Column) -> Column:
     """struct(n, edges), or null unless the record is canonical: shortest length prefix, characters
     63..126, exact length and zero padding.  One header and one line end are taken off."""
     body = F.regexp_replace(F.regexp_replace(text, "^>>graph6<<", ""), "\r?\n\\z", "")
-    codes = F.transform(F.split(body, ""), lambda c: F.ascii(c) - 63)
-    size = F.length(body)
-    number = lambda a, b: F.aggregate(F.slice(codes, a, b), F.lit(0).cast("long"), lambda x, c: x * 64 + c)
-    wide = F.when(body.startswith("~~"), 2).when(body.startswith("~"), 1).otherwise(0)
-    n = F.when(wide == 2, number(3, 6)).when(wide == 1, number(2, 3)).otherwise(F.get(codes, F.lit(0)).cast("long"))
-    start = F.when(wide == 2, 8).when(wide == 1, 4).otherwise(1)
-    shortest = F.when(wide == 2, n > 258047).when(wide == 1, n > 62).otherwise(F.lit(True))
-    count = n * (n - 1) / 2
-    bit = lambda k: shift_right(F.get(codes, (start + F.floor(k / 6)).cast("int")), (5 - k % 6).cast("int")).bitwiseAND(F.lit(1))
-    place = lambda u, v: (v * (v - 1) / 2 + u).cast("long")
-    upto = F.sequence(F.lit(0), n.cast("int") - 1)
-    pairs = F.flatten(F.transform(upto, lambda u: F.transform(F.filter(upto, lambda v: v > u), lambda v: F.struct(u.alias("u"), v.alias("v")))))
-    edges = F.when(n > 1, F.filter(pairs, lambda e: bit(place(e["u"], e["v"])) == 1)).otherwise(F.array().cast("array<struct<u:int,v:int>>"))
-    padding = F.when(count % 6 == 0, True).otherwise(F.get(codes, size - 1).bitwiseAND(shift_left(F.lit(1), (6 - count % 6).cast("int")) - 1) == 0)
-    sound = (size > 0) & F.forall(codes, lambda c: c.between(0, 63)) & shortest & (size == start + F.ceil(count / 6)) & padding
-    return F.when(sound, F.struct(n.cast("int").alias("n"), edges.alias("edges")))
+    none = F.array().cast("array<struct<u:int,v:int>>")
+
+    def header(body: Column) -> Column:
+        codes = F.transform(F.split(body, ""), lambda c: F.ascii(c) - 63)
+        wide = F.when(body.startswith("~~"), 2).when(body.startswith("~"), 1).otherwise(0)
+        return F.struct(codes.alias("codes"), F.length(body).alias("size"), wide.alias("wide"))
+
+    def sized(h: Column) -> Column:
+        number = lambda a, b: F.aggregate(F.slice(h["codes"], a, b), F.lit(0).cast("long"), lambda x, c: x * 64 + c)
+        n = F.when(h["wide"] == 2, number(3, 6)).when(h["wide"] == 1, number(2, 3)).otherwise(F.get(h["codes"], F.lit(0)).cast("long"))
+        start = F.when(h["wide"] == 2, 8).when(h["wide"] == 1, 4).otherwise(1)
+        return F.struct(h["codes"].alias("codes"), h["size"].alias("size"), h["wide"].alias("wide"), n.alias("n"), start.alias("start"))
+
+    def graph(h: Column) -> Column:
+        n, codes, size = h["n"], h["codes"], h["size"]
+        shortest = F.when(h["wide"] == 2, n > 258047).when(h["wide"] == 1, n > 62).otherwise(F.lit(True))
+        count = n * (n - 1) / 2
+        bit = lambda k: shift_right(F.get(codes, (h["start"] + F.floor(k / 6)).cast("int")), (5 - k % 6).cast("int")).bitwiseAND(F.lit(1))
+        place = lambda u, v: (v * (v - 1) / 2 + u).cast("long")
+        column = lambda v: F.transform(F.filter(F.sequence(F.lit(0), v - 1), lambda u: bit(place(u, v)) == 1), lambda u: F.struct(u.alias("u"), v.alias("v")))
+        edges = F.when(n > 1, F.sort_array(F.flatten(F.transform(F.sequence(F.lit(1), n.cast("int") - 1), column)))).otherwise(none)
+        padding = F.when(count % 6 == 0, True).otherwise(F.get(codes, size - 1).bitwiseAND(shift_left(F.lit(1), (6 - count % 6).cast("int")) - 1) == 0)
+        sound = (size > 0) & F.forall(codes, lambda c: c.between(0, 63)) & shortest & (size == h["start"] + F.ceil(count / 6)) & padding
+        return F.when(sound, F.struct(n.cast("int").alias("n"), edges.alias("edges")))
+
+    return let(let(let(body, header), sized), graph)
 
 
 def core(n: Column, edges: Column) -> Column:
     """Edges with both ends of maximum degree."""
-    d = degrees(n, edges)
-    return F.filter(edges, lambda e: (F.element_at(d, e["u"] + 1) == F.array_max(d)) & (F.element_at(d, e["v"] + 1) == F.array_max(d)))
+    return let(degrees(n, edges), lambda d: F.filter(edges, lambda e: (F.get(d, e["u"]) == F.array_max(d)) & (F.get(d, e["v"]) == F.array_max(d))))
 
 
 def is_forest(n: Column, edges: Column) -> Column:
