@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +36,12 @@ def drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(source).schema
     folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="chromaspan-stream-")
-    from uuid import uuid4
-
     folder = f"{folder.rstrip('/')}/stream-{uuid4().hex}"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(schema)
+    # A file source watches folders: a table that is one file is picked from its own.
+    stream = reader.parquet(source) if whole else reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
