@@ -1,0 +1,290 @@
+"""Nulls, empty and very long texts, ties, repeats, empty tables, clashing columns; parts by themselves."""
+
+import io
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from chromaspan.llm import components, exact_dedup, line_dedup, media, mixing, near_dedup, packing, pii, quality, secrets, warc
+from chromaspan.llm.queries import TOKENIZER
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, h long, doc long, score double, `start` int, node string"
+LONG = "Alpha beta gamma. " * 60_000
+
+
+def odd(spark, *texts, ids=None):
+    rows = [(ids[i] if ids else i, t, None if i % 2 else "en", None if i % 3 else "src1", None, 0, 0, 0, 0.0, 0, "x") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def cases(spark):
+    return odd(spark, None, "", "same text here now", "same text here now", LONG, "ünï \U0001f600 +49 (30) 123-4567 x@y.de", "\n\n \n", "same text here now", ids=[1, 2, 3, 3, None, 5, 6, 7])
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, None if i == 9 else i % 2) for i in range(30)], "doc_id long, quality int")
+
+
+def operators(labels):
+    return {
+        "secrets": secrets.scan, "mixing": mixing.mix, "near": near_dedup.near_duplicates, "keep_one": near_dedup.keep_one, "packing": lambda d: packing.pack(d, TOKENIZER), "quality": lambda d: quality.classify(d, labels),
+        "keep_good": lambda d: quality.keep_good(d, labels), "media": media.media_columns, "exact": exact_dedup.exact_duplicates, "lines": line_dedup.drop_boilerplate, "clean": line_dedup.clean_lines, "pii": pii.find,
+        "warc": lambda d: warc.archive_and_read(d.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("text").alias("html"), "h", "doc")),
+    }
+
+
+NAMES = ["secrets", "mixing", "near", "keep_one", "packing", "quality", "keep_good", "media", "exact", "lines", "clean", "pii", "warc"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_odd_rows_and_empty_tables(spark, cases, labels, name):
+    run = operators(labels)[name]
+    got = run(cases).count()
+    if name in ("near", "quality", "media", "exact", "lines", "clean", "pii", "warc"):
+        assert got == 8
+    assert run(cases.limit(0)).count() == 0
+
+
+def test_exact_ties(spark, cases):
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(cases).collect()}
+    assert {(1, 2, 2, False), (2, 2, 2, True), (3, 7, 3, False), (7, 7, 3, True), (None, None, 1, True)} <= got
+
+
+def test_exact_index_splits(spark):
+    docs = odd(spark, *[f"text {i % 300}" for i in range(600)])
+    got = exact_dedup.exact_duplicates(docs, capacity=8)
+    assert {(r.group_size, r.keep_id % 300 == r.doc_id % 300) for r in got.collect()} == {(2, True)}
+    d = exact_dedup.Directory({0: 5, 1: 5, 40000: 3, 65535: 9}, 8)
+    assert sum(d.sizes) == 22 and max(d.sizes) <= 9 and len(d.slots) == 1 << d.depth
+    for b in range(len(d.sizes)):
+        assert d.slots.count(b) == 1 << (d.depth - d.local[b])
+
+
+def test_colliding_hashes_are_told_apart():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0, 0], pa.int32()), pa.array([7, 7, 7]), pa.array([b"a", b"b", b"a"]), pa.array([1, 2, 3]), pa.array([1, 1, 2])], ["bucket", "h", "text", "keep_id", "n"])
+    got = [r for b in exact_dedup._own(iter([batch])) for r in b.to_pylist()]
+    assert [(r["chain"], r["keep_id"], r["group_size"]) for r in got] == [(0, 3, 3), (1, 2, 1)]
+
+
+@pytest.mark.parametrize(("blocks", "chosen"), [(3, 1), (6, 3), (5, 2)])
+def test_links_connect_all_that_full_links_connect(spark, blocks, chosen):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    near = [int(b) ^ sum(1 << int(x) for x in rng.choice(64, rng.integers(0, 7), replace=False)) for b in base for _ in range(15)]
+    fps = sorted({x - (1 << 64) if x >> 63 else x for x in near})
+    nodes = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for block in (4096, 8):
+        links = near_dedup.fingerprint_links(nodes, blocks=blocks, chosen=chosen, block=block)
+        assert all(bin((r.a ^ r.b) & (2**64 - 1)).count("1") <= 4 for r in links.collect())
+        found = {r.node: r.root for r in components.components(links).collect()}
+        root = {x: x for x in fps}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i, x in enumerate(fps):
+            for y in fps[i + 1 :]:
+                if bin((x ^ y) & (2**64 - 1)).count("1") <= 4:
+                    a, b = sorted((find(x), find(y)))
+                    root[b] = a
+        assert {x: found.get(x, x) for x in fps} == {x: find(x) for x in fps}
+
+
+def test_segments_need_enough_blocks():
+    with pytest.raises(ValueError):
+        near_dedup.segment_masks(2, 1)
+
+
+def test_components_of_a_long_path(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
+    got = {r.node: r.root for r in components.components(links).collect()}
+    assert all(got[i] == 0 for i in range(1, 201)) and got[501] == 500 and len(got) == 201
+    assert components.components(links.limit(0)).count() == 0
+
+
+def test_keep_one_keeps_one(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    docs = odd(spark, text, text, text + " tail", "other words here entirely", text, ids=[4, 4, 2, 9, None])
+    assert sorted(r.doc_id or -1 for r in near_dedup.keep_one(docs).collect()) == [-1, 2, 9]
+
+
+def test_lines(spark):
+    own = "this is a line of this document alone {}"
+    body = ["a notice found on every site", "two words"]
+    rows = [(i, "\n".join([*[own.format(f"{i} {k}") for k in range(3)], *body]), None, f"s{i % 6}") for i in range(12)] + [(20, "a notice found on every site", None, "s1"), (21, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(docs).collect()}
+    assert all(got[i].n_removed == 1 and "notice" not in got[i].text and "two words" in got[i].text for i in range(12))
+    assert got[20].n_removed == 0 and got[20].text == "a notice found on every site"
+    assert (got[21].text, got[21].n_lines) == (None, 0)
+    few = docs.where("doc_id < 4")
+    assert line_dedup.drop_boilerplate(few).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_pieces():
+    assert packing.pieces(0) == [] and packing.pieces(1) == [(0, 1)]
+    assert packing.pieces(2 * 2048 + 5) == [(0, 2048), (2048, 2048), (4096, 4), (4100, 1)]
+
+
+def test_chunks_give_the_tokenizer_s_ids():
+    import pyarrow as pa
+
+    texts = ["", "a", "Thé, É ß it's don't... a.b, x,,  ", "Σας ΣΑΣ", "café. İ ª º µ", "\x1c y <|endoftext|> a", "日本語 123 4,5", "\t\n", "a" * 5000]
+    words = packing.Words(TOKENIZER, room=10)
+    for _ in range(2):
+        ids, bounds = words.encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == [*words.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+
+
+def test_png_filters_and_damage():
+    rng = np.random.default_rng(0)
+    pixels = rng.integers(0, 256, (9, 64), dtype=np.uint8)
+    assert (media.read_png(media.write_png(pixels, part=50)) == pixels).all()
+    lines = np.zeros((9, 65), np.uint8)
+    for r in range(9):
+        kind = r % 5
+        lines[r, 0] = kind
+        for c in range(64):
+            a = int(pixels[r, c - 1]) if c else 0
+            b = int(pixels[r - 1, c]) if r else 0
+            d = int(pixels[r - 1, c - 1]) if r and c else 0
+            p = a + b - d
+            guess = [0, a, b, (a + b) // 2, min((a, b, d), key=lambda v, p=p: abs(p - v))][kind]
+            lines[r, 1 + c] = (int(pixels[r, c]) - guess) % 256
+    assert (media.unfilter(lines) == pixels).all()
+    stored = media.write_png(pixels)
+    for damage in (b"x" + stored[1:], stored[:60] + bytes([stored[60] ^ 1]) + stored[61:], stored[:-12], stored[:-3]):
+        with pytest.raises(media.PngError):
+            media.read_png(damage)
+
+
+def test_low_hash_follows_the_picture():
+    low = np.random.default_rng(3).normal(size=(6, 6))
+    wave = lambda n: np.cos(np.pi * np.arange(6)[:, None] * (2 * np.arange(n) + 1) / (2 * n))
+    x = np.clip(128 + 12 * wave(48).T @ low @ wave(64), 0, 250).astype(np.uint8)
+    noise = np.random.default_rng(0).integers(0, 3, x.shape).astype(np.uint8)
+    apart = lambda a, b: sum(bin(i ^ j).count("1") for i, j in zip(a, b, strict=True))
+    assert apart(media.low_hash(x), media.low_hash(x + noise)) < apart(media.low_hash(x), media.low_hash(np.random.default_rng(1).integers(0, 256, x.shape).astype(np.uint8)))
+    assert len(media.low_hash(np.zeros((1, 64), np.uint8))) == 8
+
+
+def test_warc_framing():
+    records = [warc.write_record(1, "http://a\r\nX: y", b"<p>\r\n\r\n</p>", None), warc.write_record(2, "u", b"", None), warc.write_record(None, "", b"z" * 10**6, 1)]
+    file = io.BytesIO(b"".join(records))
+    got = [warc.read_record(m) for m in warc.read_members(file, step=7)]
+    assert [(r[0], r[1], r[3], r[4]) for r in got] == [(1, 11, "response", None), (2, 0, "response", None), (None, 10**6, "revisit", 1)]
+    assert got[0][5] == b"<p>\r\n\r\n</p>" and got[2][5] is None
+    with pytest.raises(warc.WarcError):
+        list(warc.read_members(io.BytesIO(records[0][:-9])))
+    plain = zlib.decompress(records[0], 31)
+    for damaged in (plain.replace(b"</p>", b"</q>"), plain[:-5], b"x" + plain):
+        with pytest.raises(warc.WarcError):
+            warc.read_record(damaged)
+
+
+def test_warc_revisits(spark):
+    pages = spark.createDataFrame([(5, "u", "same"), (3, "u", "same"), (3, "v", "same"), (None, "w", "same"), (7, None, None), (8, "x", "")], "page_id long, url string, html string")
+    got = sorted((r.page_id or -1, r.record_type, r.refers_to) for r in warc.archive_and_read(pages).collect())
+    assert got == [(-1, "revisit", 3), (3, "response", None), (3, "response", None), (5, "revisit", 3), (7, "response", None), (8, "revisit", 7)]
+    assert {r.record_type for r in warc.archive_and_read(pages, least=5).collect()} == {"response"}
+
+
+def test_mix_follows_weights(spark):
+    rows = [(i, "w " * 10, "en" if i % 2 else "xx", f"src{i % 2}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs, share=0.5).groupBy("source").agg(F.sum("__tokens").alias("t"), F.max("__epoch").alias("e"), F.max("__budget").alias("b")).collect()
+    assert all(r.b <= r.t < r.b + 10 and r.e == 0 for r in got) and len(got) == 2
+    twice = mixing.mix(docs.where("doc_id < 300 OR doc_id % 2 = 0"), share=1.5, epochs=2)
+    assert twice.groupBy("doc_id").count().agg(F.max("count")).first()[0] == 2
+
+
+def test_shortage_goes_to_siblings_first(spark):
+    supply = spark.createDataFrame([("d0", "a", "s1", 10), ("d0", "a", "s2", 1000), ("d0", "b", "s3", 1000), ("d1", "a", "s4", 2000)], "domain string, lang string, source string, tokens long")
+    got = {r.source: r.budget for r in mixing.budgets(supply, share=400 / 4010, epochs=1).collect()}
+    # d0 gets 200; its languages 100 each; s1 can give 10 and s2 the other 90.
+    assert abs(got["s1"] - 10) <= 1 and abs(got["s2"] - 90) <= 1 and abs(got["s3"] - 100) <= 1 and abs(got["s4"] - 200) <= 1
+
+
+def test_forest_on_held_out_findings():
+    made = secrets.made_findings(2000, seed=99)
+    forest = secrets.train_forest(secrets.made_findings())
+    x = np.array([secrets.features(f.text, f.start, f.end, f.path) for f in made])
+    right = (forest.predict(x) >= 0.5) == np.array([f.label for f in made])
+    assert right.mean() > 0.95
+    assert secrets.Forest([]).predict(x[:2]).tolist() == [0, 0]
+
+
+def test_secret_candidates():
+    text = "k = " + "a1" * 20 + " -----BEGIN RSA PRIVATE KEY----- 1234567890123456 abcdefghijklmnopqrst"
+    assert [text[a:b][:10] for a, b in secrets.candidates(text)] == ["a1a1a1a1a1", "-----BEGIN"]
+
+
+def test_classifier_separates_and_degrades():
+    good = [quality.grams(f"a plain sentence number {i} of words".encode()) for i in range(60)]
+    bad = [quality.grams(f"A!! PLAIN!! ### {i}".encode()) for i in range(60)]
+    model = quality.fit(good + bad, [1] * 60 + [0] * 60)
+    assert model.score(quality.grams(b"another plain sentence of words")) > 0.7 > model.score(quality.grams(b"ANOTHER!! ### WORDS!!"))
+    assert 0 <= model.score(quality.grams(b"")) <= 1
+    assert 0.4 < quality.fit([], []).score(good[0]) < 0.6
+    assert quality.fit(good[:3], [1, 1, 1]).score(good[0]) == pytest.approx(0.8)
+
+
+def test_descent_meets_the_optimum():
+    """Against subgradient descent on the primal."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 3))
+    y = np.where(x @ [1, -2, 0.5] + 0.3 * rng.normal(size=40) > 0, 1.0, -1.0)
+    w, b = quality._descend([np.arange(3)] * 40, list(x), y, 3, 1.0, 400, 0)
+    primal = lambda w, b: (w @ w + b * b) / 2 + np.maximum(0, 1 - y * (x @ w + b)).sum()
+    v, c = np.zeros(3), 0.0
+    best = primal(v, c)
+    for t in range(1, 20_000):
+        on = y * (x @ v + c) < 1
+        step = 0.5 / t
+        v, c = v - step * (v - (y * on) @ x), c - step * (c - (y * on).sum())
+        best = min(best, primal(v, c))
+    assert primal(w, b) <= best * 1.01
+
+
+@pytest.mark.parametrize("text", [
+    "x@y.com_z@w.org a@@b@c.d .@-.- a@b", "1.2.3.4.5.6.7.8 256.1.1.1 1.2.3 0001.2.3.4 00000000000000000001.1.1.1", "4111 1111 1111 1111 4111-1111-1111-1112 4111  1111", "+1 (017) 555-7713 +12 +1234567890123456 +1+2 (3) 4567890",
+    "é" * 50 + "ü@x.de 😀 a.b@c.d.e", "1" * 30_000, "1 " * 10_000, "a" * 30_000 + "@b.c", "a." * 10_000,
+])
+def test_base_patterns(spark, text):
+    from test_contracts import base_spans
+
+    rows = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert rows.select(pii.as_text("base")).first()[0] == ",".join(base_spans(text))
+
+
+def test_labelers_reliabilities():
+    """Votes drawn from known reliabilities are recovered."""
+    rng = np.random.default_rng(4)
+    truth = rng.random(4000) < 0.4
+    accuracy = [(0.9, 0.2), (0.8, 0.1), (0.7, 0.3), (0.85, 0.15)]
+    votes = np.stack([np.where(truth, rng.random(4000) < p, rng.random(4000) < q) for p, q in accuracy], 1).astype(int)
+    votes[rng.random(votes.shape) < 0.2] = -1
+    kinds, counts = np.unique(votes, axis=0, return_counts=True)
+    prior, hit, post = pii.reliabilities([(0, tuple(v), int(c)) for v, c in zip(kinds.tolist(), counts, strict=True)])
+    assert abs(prior[0] - 0.4) < 0.08 and all(abs(a - p) < 0.1 and abs(b - q) < 0.1 for (a, b), (p, q) in zip(hit, accuracy, strict=True))
+    called = np.array([post[0, tuple(v)] > 0.5 for v in votes.tolist()])
+    assert (called == truth).mean() > 0.85
+    assert len(pii.fit_classifier([])) == 14
+
+
+def test_looser_spans_are_added(spark):
+    text = "call me: phone (415) 555-0199 or mail: jo.doe (at) example (dot) com; version 1.2"
+    rows = [(i, f"{text} tel +1 (415) 555-01{i:02d} mail a{i}@example.com") for i in range(40)]
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).first()
+    added = {text[s.s : s.e] for s in got.spans} - {text[s.s : s.e] for s in got.base}
+    assert "(415) 555-0199" in added and any(re.match(r"jo\.doe", a) for a in added)
