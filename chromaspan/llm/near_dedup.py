@@ -194,7 +194,9 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, **index)
     members = members.join(nodes, "fp")
     roots = members.groupBy("root").agg(F.min("first").alias("low"))
     moved = members.join(roots, "root").select("fp", "low")
-    named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
+    # A table of its own, so that the join below has a plain exchange on either side and a
+    # fingerprint with many copies is split over tasks.
+    named = cut(nodes.join(moved, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id")), "named")
     return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
