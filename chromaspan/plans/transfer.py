@@ -117,3 +117,105 @@ def dimacs_sha256(clauses: DataFrame, count: int) -> DataFrame:
     line = lambda c: F.concat(F.array_join(F.transform(c["clause"], lambda x: x.cast("string")), " "), F.lit(" 0\n"))
     text = F.concat(F.format_string("p cnf %d %d\n", F.lit(count), F.size("all")), F.array_join(F.transform("all", line), ""))
     return one.select(F.size("all").alias("clauses"), F.sha2(text, 256).alias("sha256"))
+
+
+# --- models: decoding, semantics and endpoint witnesses -----------------------
+
+
+def decode(v: DataFrame, model: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """model(id), the true variables -> rows(f, h) and factors(f, a, b)."""
+    true = v.join(model, "id", "left_semi")
+    rows = true.where("kind = 'R'").select("f", F.col("a").alias("h"))
+    return rows, true.where("kind = 'E'").select("f", "a", "b")
+
+
+def faults(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """(fault, cases) of a model's rows and factors against the meaning of the formula, each fault
+    derived anew: sizes of rows and columns, matchings that cover the core, disjoint factors, and
+    edges that the completed complement doesn't have."""
+    fault = lambda df, name: df.agg(F.count("*").alias("cases")).select(F.lit(name).alias("fault"), "cases")
+    size = rows.groupBy("f").count()
+    column = rows.groupBy("h").count()
+    core = factors.select("f", F.explode(F.array("a", "b")).alias("v"), F.lit(1).alias("k")).groupBy("f", "v").agg(F.sum("k").alias("k"))
+    complement = rows.select((F.col("f") + 6).alias("b"), F.col("h").alias("a")).union(column.where("count = 3").select(F.lit(12).alias("b"), F.col("h").alias("a")))
+    covered = core.where("v < 6").groupBy("f").count()
+    parts = [
+        fault(size.where("count NOT BETWEEN 1 AND 4"), "row_size"), fault(column.where("count NOT BETWEEN 3 AND 4"), "column_size"), fault(core.where("k > 1"), "vertex_used_twice"),
+        fault(covered.where("count <> 6"), "core_not_covered"), fault(factors.groupBy("a", "b").count().where("count > 1"), "edge_shared"), fault(factors.where("b = f + 6"), "own_owner"),
+        fault(factors.join(complement, ["a", "b"], "left_semi"), "edge_of_complement"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.where("cases > 0")
+
+
+def _oriented(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """(f, a, b, head, tail, good): factor edges at each of their core ends; good if the head is in
+    the factor's row."""
+    both = factors.select("f", "a", "b", F.col("a").alias("head"), F.col("b").alias("tail")).union(factors.where("b < 6").select("f", "a", "b", F.col("b").alias("head"), F.col("a").alias("tail")))
+    marked = rows.select("f", F.col("h").alias("head"), F.lit(True).alias("good"))
+    return both.join(marked, ["f", "head"], "left").withColumn("good", F.coalesce("good", F.lit(False)))
+
+
+def endpoint_witnesses(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """(kind, f1..f3, a1.., b1.., h1.., t1.., g1.., spare, activated): edges of three factors, pairwise
+    disjoint, oriented to three heads, with a spare head that is no tail and whose leaving gives a
+    pair across the two triples of heads.
+
+    Q0: all heads are in their rows.  Q1: one isn't, its row has the spare, its owner is no tail;
+    old_outside if a good one has a tail outside the core, else new_outside_only.
+    """
+    o = _oriented(rows, factors)
+    pick = lambda i: o.select(*[F.col(c).alias(f"{c}{i}") for c in ("f", "a", "b", "head", "tail", "good")])
+    apart = lambda i, j: (F.col(f"f{i}") < F.col(f"f{j}")) & ~F.arrays_overlap(F.array(f"a{i}", f"b{i}"), F.array(f"a{j}", f"b{j}"))
+    two = pick(1).join(pick(2), apart(1, 2))
+    # Few rows, much work for each: over all cores.
+    two = two.repartition(rows.sparkSession.sparkContext.defaultParallelism * 2, "f1", "a1", "b1", "a2", "b2")
+    three = two.join(pick(3), apart(1, 3) & apart(2, 3))
+    heads, tails = F.array("head1", "head2", "head3"), F.array("tail1", "tail2", "tail3")
+    rest = F.array_except(F.lit(list(range(HEADS))), heads)
+    across = lambda s: F.size(F.filter(rest, lambda x: (x != s) & (x < 3))) == 1
+    spares = F.filter(rest, lambda s: across(s) & ~F.array_contains(tails, s))
+    three = three.withColumn("spare", F.explode(spares))
+    bad = F.filter(F.array(*[F.when(~F.col(f"good{i}"), F.col(f"f{i}")) for i in (1, 2, 3)]), lambda x: x.isNotNull())
+    three = three.withColumn("bad", bad).where(F.size("bad") <= 1).withColumn("activated", F.get("bad", F.lit(0))).drop("bad")
+    held = rows.select(F.col("f").alias("activated"), F.col("h").alias("spare"), F.lit(True).alias("held"))
+    three = three.join(held, ["activated", "spare"], "left").where(F.col("activated").isNull() | (F.col("held") & ~F.array_contains(tails, F.col("activated") + 6)))
+    old = F.exists(F.array(*[F.struct(F.col(f"good{i}").alias("g"), F.col(f"tail{i}").alias("t")) for i in (1, 2, 3)]), lambda x: x["g"] & (x["t"] >= 6))
+    kind = F.when(F.col("activated").isNull(), "Q0").when(old, "Q1_old_outside").otherwise("Q1_new_outside_only")
+    return three.withColumn("kind", kind).drop("held")
+
+
+def anchored_witnesses(rows: DataFrame, factors: DataFrame) -> DataFrame:
+    """Q0 and old-outside Q1 derived another way: from an anchor, a good edge with its tail outside,
+    and two other factors in order.  Its cuts must equal those of ``endpoint_witnesses``."""
+    o = _oriented(rows, factors)
+    anchor = o.where("good AND tail >= 6").select(*[F.col(c).alias(f"{c}0") for c in ("f", "a", "b", "head", "tail", "good")])
+    pick = lambda i: o.select(*[F.col(c).alias(f"{c}{i}") for c in ("f", "a", "b", "head", "tail", "good")])
+    free = lambda i, j: (F.col(f"a{i}") != F.col(f"a{j}")) & (F.col(f"a{i}") != F.col(f"b{j}")) & (F.col(f"b{i}") != F.col(f"a{j}")) & (F.col(f"b{i}") != F.col(f"b{j}"))
+    found = anchor.join(pick(1), (F.col("f0") != F.col("f1")) & free(0, 1)).join(pick(2), (F.col("f0") != F.col("f2")) & (F.col("f1") < F.col("f2")) & free(0, 2) & free(1, 2) & (F.col("good1") | F.col("good2")))
+    taken = F.array(*[F.col(f"{x}{i}") for x in ("head", "tail") for i in range(3)])
+    found = found.where("head0 <> head1 AND head0 <> head2 AND head1 <> head2")
+    spare = F.explode(F.filter(F.sequence(F.lit(0), F.lit(HEADS - 1)), lambda s: ~F.array_contains(taken, s)))
+    found = found.withColumn("spare", spare)
+    low = sum((F.when(F.col(f"head{i}") < 3, 1).otherwise(0) for i in range(3)), F.when(F.col("spare") < 3, 1).otherwise(0))
+    found = found.where(low == 2).withColumn("activated", F.when(~F.col("good1"), F.col("f1")).when(~F.col("good2"), F.col("f2")))
+    held = rows.select(F.col("f").alias("activated"), F.col("h").alias("spare"))
+    plain = found.where("activated IS NULL")
+    turned = found.where("activated IS NOT NULL").join(held, ["activated", "spare"], "left_semi").where(~F.array_contains(F.array("tail0", "tail1", "tail2"), F.col("activated") + 6))
+    return plain.unionByName(turned).select(*[c for c in plain.columns])
+
+
+def cuts(found: DataFrame, v: DataFrame, places: tuple[int, int, int]) -> DataFrame:
+    """(clause): for each witness, that not all its atoms hold.  Without the spare's atom the rows
+    of a Q0 witness are the same for any spare."""
+    e = v.where("kind = 'E'").select("f", "a", "b", "id")
+    r = v.where("kind = 'R'").select("f", F.col("a").alias("h"), "id")
+    for i in places:
+        found = found.join(e.select(F.col("f").alias(f"f{i}"), F.col("a").alias(f"a{i}"), F.col("b").alias(f"b{i}"), F.col("id").alias(f"e{i}")), [f"f{i}", f"a{i}", f"b{i}"])
+        found = found.join(r.select(F.col("f").alias(f"f{i}"), F.col("h").alias(f"head{i}"), F.col("id").alias(f"r{i}")), [f"f{i}", f"head{i}"])
+    found = found.join(r.select(F.col("f").alias("activated"), F.col("h").alias("spare"), F.col("id").alias("s")), ["activated", "spare"], "left")
+    atoms = [-F.col(f"e{i}") for i in places] + [F.when(F.col(f"good{i}"), -F.col(f"r{i}")).otherwise(F.col(f"r{i}")) for i in places]
+    atoms.append(F.when(F.col("activated").isNotNull(), -F.col("s")))
+    return normal(found.select(F.filter(F.array(*atoms), lambda x: x.isNotNull()).alias("clause")))

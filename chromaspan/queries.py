@@ -544,3 +544,60 @@ def streamed_edge_counts(spark, sf):
     from .streaming.incremental import drain
 
     return drain(spark, sf)
+
+
+# --- witnesses of the transfer formula, records, validators --------------------
+
+
+def _model(spark):
+    """Rows and factors by a rule: row f has heads f..f+3 modulo 6 (f = 0: f..f+2); factors are
+    matchings that cover the core, some edges inside it."""
+    heads = spark.range(36).select((F.col("id") % 6).cast("int").alias("h"), F.expr("int(id div 6)").alias("f"))
+    rows = heads.where((F.col("h") - F.col("f") + 6) % 6 < F.when(F.col("f") == 0, 3).otherwise(4)).select("f", "h")
+    outside = heads.where((F.col("f") % 2 == 1) | ~F.col("h").isin(1, 4)).select("f", F.col("h").alias("a"), (13 + (3 * F.col("h") + 5 * F.col("f")) % 18).alias("b"))
+    inside = spark.range(1).select(F.lit(0).alias("f"), F.lit(1).alias("a"), F.lit(4).alias("b"))
+    rest = heads.where("f IN (2, 4) AND h IN (1, 4)").select("f", F.col("h").alias("a"), (13 + (3 * F.col("h") + 5 * F.col("f")) % 18).alias("b"))
+    return rows, outside.union(inside).union(rest)
+
+
+@query()
+def transfer_endpoints(spark, sf):
+    """Witnesses by kind, and how far the cuts of the two derivations differ (0)."""
+    from .plans import transfer as X
+
+    v = X.variables(spark)
+    rows, factors = _model(spark)
+    found = X.endpoint_witnesses(rows, factors)
+    cuts = X.cuts(found.where("kind <> 'Q1_new_outside_only'"), v, (1, 2, 3))
+    other = X.cuts(X.anchored_witnesses(rows, factors), v, (0, 1, 2))
+    differ = cuts.select("clause", F.lit(1).alias("s")).union(other.select("clause", F.lit(-1).alias("s"))).groupBy("clause").agg(F.sum("s").alias("s")).agg(F.count_if(F.col("s") != 0).alias("differ"), F.count_if(F.col("s") == 0).alias("cuts"))
+    return found.groupBy("kind").agg(F.count("*").alias("witnesses")).crossJoin(differ)  # one row
+
+
+@query("SELECT CAST(p AS INTEGER) AS place, v AS version FROM (VALUES (1, '0.9.10'), (2, '1.0.0-1'), (3, '1.0.0-2'), (4, '1.0.0-10'), (5, '1.0.0-alpha'), (6, '1.0.0-alpha.1'), (7, '1.0.0-alpha.beta'), (8, '1.0.0'), (9, '1.0.10'), (10, '10.0.0'), (11, '100000000000000000000.0.0')) t(p, v)")
+def semver_order(spark, sf):
+    from pyspark.sql import Window
+
+    from .functions.text import semver_key
+
+    given = ["1.0.0", "10.0.0", "1.0.0-10", "1.0.0-alpha.beta", "0.9.10", "1.0.0-2", "1.0.10", "1.0.0-alpha", "100000000000000000000.0.0", "1.0.0-alpha.1", "1.0.0-1", "01.0.0", "1.0", "1.0.0-01", "v1.0.0", "1.0.0-"]
+    rows = spark.createDataFrame([(x,) for x in given], "version string").withColumn("k", semver_key(F.col("version"))).where("k IS NOT NULL")
+    return rows.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("k")).alias("place"), "version")
+
+
+@query("SELECT u AS url, ok AS stable FROM (VALUES ('https://a.example/x', true), ('https://a.example/x/y.tar.gz', true), ('http://a.example/x', false), ('https://a.example/', false), ('https://A.example/x', false), ('https://a.example:1/x', false), ('https://a.example/../x', false), ('https://a.example/x?y', false), ('https://a.example/%20', false), ('https://a/x', false), ('https://u@a.example/x', false), ('https://a.example/x/', false), ('https://-a.example/x', false)) t(u, ok)")
+def stable_urls(spark, sf):
+    from .functions.text import is_stable_url
+
+    given = ["https://a.example/x", "https://a.example/x/y.tar.gz", "http://a.example/x", "https://a.example/", "https://A.example/x", "https://a.example:1/x", "https://a.example/../x", "https://a.example/x?y", "https://a.example/%20", "https://a/x", "https://u@a.example/x", "https://a.example/x/", "https://-a.example/x"]
+    return spark.createDataFrame([(x,) for x in given], "url string").select("url", is_stable_url(F.col("url")).alias("stable"))
+
+
+@query(PARTS6 + " SELECT p.graph_id, CASE WHEN outcome = '' THEN 'verified_all' ELSE 'skipped' END AS status, CAST(coalesce(k, 0) AS INTEGER) AS partition_count FROM prof p LEFT JOIN c USING (graph_id)")
+def census_records(spark, sf):
+    """Canonical records, read back from their text."""
+    from .plans import records as R
+
+    lines = R.records(graphs(spark, sf, 6, 4), 3, "0" * 64)
+    get = lambda path: F.get_json_object("document", path)
+    return lines.select("graph_id", get("$.status").alias("status"), get("$.partition_count").cast("int").alias("partition_count"))
