@@ -29,6 +29,8 @@ from .shared import cut, drop, small_batches
 SEED = 42
 #: Above this many distinct fingerprints the wider segments below are used; results are equal.
 WIDE_FROM = 1 << 26
+#: At most this many ids are broadcast, 8 MB of numbers; more are joined by sorting.
+SENT_IDS = 1 << 20
 
 
 def simhash(raw: bytes, width: int = 4) -> int:
@@ -204,7 +206,9 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     """docs without all but the smallest doc_id of each component.  Rows without doc_id stay; of
     rows that repeat a doc_id one stays."""
     found = cut(near_duplicates(docs, **params).select("doc_id", "component_id"), "found")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    # Whole texts aren't shuffled while the ids that go are few enough to send.
+    gone = F.broadcast(gone) if gone.count() <= SENT_IDS else gone.hint("merge")
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     ids = found.where("doc_id is not null").groupBy("doc_id").count()
     if not ids.where("count > 1").isEmpty():
