@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -15,6 +16,22 @@ BACKENDS = {"dsatur-iterative-v1": saturation.search, "static-order-iterative-v1
 RESULT = [("status", T.StringType()), ("assignment", T.ArrayType(T.IntegerType())), ("nodes", T.LongType()), ("backtracks", T.LongType())]
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt over four tasks a core, before problems are built from them: rows are small but
+    each is much work, and the optimizer would gather them in a few tasks by their bytes."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+def _pairs(column: pa.ListArray) -> Iterator[list[tuple[int, int]]]:
+    """Lists of two-field structs as lists of tuples; a null is an empty list."""
+    flat = column.flatten()
+    both = list(zip(*(flat.field(k).to_pylist() for k in range(2)), strict=True))
+    end = 0
+    for n in pc.fill_null(pc.list_value_length(column), 0).to_pylist():
+        yield both[end : end + n]
+        end += n
+
+
 def solve(problems: DataFrame, backend: str | None = None, max_nodes: int | None = None) -> DataFrame:
     """problems(..., items int, colours int, conflicts array<struct<i,j>>, fixed array<struct<item,color>>)
     -> its other columns and (status, assignment, nodes, backtracks).
@@ -33,8 +50,8 @@ def solve(problems: DataFrame, backend: str | None = None, max_nodes: int | None
             at = {f: i for i, f in enumerate(b.schema.names)}
             out = []
             kinds = b.column(at["backend"]).to_pylist() if backend is None else [backend] * b.num_rows
-            for kind, items, colours, pairs, fixed in zip(kinds, *(b.column(at[c]).to_pylist() for c in ("items", "colours", "conflicts", "fixed")), strict=True):
-                out.append(BACKENDS[kind](items, colours, [(p["i"], p["j"]) for p in pairs], [(f["item"], f["color"]) for f in fixed or []], max_nodes))
+            for kind, items, colours, pairs, fixed in zip(kinds, b.column(at["items"]).to_pylist(), b.column(at["colours"]).to_pylist(), _pairs(b.column(at["conflicts"])), _pairs(b.column(at["fixed"])), strict=True):
+                out.append(BACKENDS[kind](items, colours, pairs, fixed, max_nodes))
             kind = [pa.string(), pa.list_(pa.int32()), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([*(b.column(at[c]) for c in names), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kind))], [*names, *(n for n, _ in RESULT)])
 

@@ -76,6 +76,22 @@ def edge_issues(n: Column, edges: Column, colors: Column, palette: Column, marke
     return F.when(F.size(size) > 0, size).when(F.size(edges) == 0, none).when(F.size(out) > 0, out).otherwise(body)
 
 
+def is_total(n: Column, edges: Column, vertex_colors: Column, edge_colors: Column) -> Column:
+    """Whether total_issues would find nothing, by counting: at every vertex its own colour and
+    those of its edges are all different, and no edge has equally coloured ends."""
+    color = lambda i: F.get(edge_colors, i)
+    marks = F.concat(F.transform(vertex_colors, lambda c, v: v * 4096 + c), F.transform(edges, lambda e, i: e["u"] * 4096 + color(i)), F.transform(edges, lambda e, i: e["v"] * 4096 + color(i)))
+    full = (F.size(vertex_colors) == n) & (F.size(edge_colors) == F.size(edges))
+    return full & (F.size(F.array_distinct(marks)) == n + 2 * F.size(edges)) & F.forall(edges, lambda e: F.get(vertex_colors, e["u"]) != F.get(vertex_colors, e["v"]))
+
+
+def is_rainbow(edges: Column, colors: Column, palette: Column, marked: Column) -> Column:
+    """Whether edge_issues would find nothing, by counting."""
+    at_ends = F.concat(F.transform(edges, lambda e, i: e["u"] * 4096 + F.get(colors, i)), F.transform(edges, lambda e, i: e["v"] * 4096 + F.get(colors, i)))
+    own = F.array_distinct(F.transform(marked, lambda i: F.get(colors, i)))
+    return (F.size(colors) == F.size(edges)) & F.forall(colors, lambda c: c.between(0, palette - 1)) & (F.size(F.array_distinct(at_ends)) == 2 * F.size(edges)) & (F.size(own) == F.size(marked))
+
+
 def assignment_conflicts(rows: DataFrame, colors: str = "assignment") -> Column:
     """Count of conflicts whose two items share a colour."""
     return F.size(F.filter("conflicts", lambda p: F.get(colors, p["i"]) == F.get(colors, p["j"])))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import graphs as G
 from .operators import cnf, partitions, verify
-from .operators.solve import solve
+from .operators.solve import solve, spread
 from .plans import census, completeness, dependency
 from .plans import counting
 from .sources.families import edges, graphs, vertices
@@ -160,7 +160,7 @@ def edge_conflicts(spark, sf):
 
 
 def _total_problem(spark, sf, n, k, extra):
-    rows = graphs(spark, sf, n, k)
+    rows = spread(graphs(spark, sf, n, k), "graph_id")
     d = F.array_max(G.degrees(F.col("n"), F.col("edges")))
     return rows.select("graph_id", "n", "edges", (F.col("n") + F.size("edges")).alias("items"), (d + extra).cast("int").alias("colours"), G.conflicts(F.col("n"), F.col("edges")).alias("conflicts"), F.array().cast(EMPTY).alias("fixed"))
 
