@@ -93,3 +93,26 @@ def test_clauses_decode(spark):
     assert rows.select(c.alias("c")).first().c == [[1, 2], [-1, -2], [3, 4], [-3, -4], [-1, -3], [-2, -4], [2]]
     model = lambda m: rows.select(cnf.decode(F.col("items"), F.col("colours"), F.lit(m)).alias("x")).first().x
     assert model([2, 3]) == [1, 0] and model([2]) is None and model([1, 2, 3]) is None
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.integers(2, 7), st.integers(1, 9), st.integers(1, 9), st.integers(1, 9))
+def test_counting_verifiers_agree_with_issues(spark, k, a, b, c):
+    from chromaspan.sources.families import graphs
+
+    rows = graphs(spark, "/root/testdata/sf0.001", 5, 64).limit(40)
+    vc = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda v: ((v * a + 1) % k).cast("int"))
+    ec = F.transform("edges", lambda e: ((e["u"] * b + e["v"] * c) % k).cast("int"))
+    marked = F.filter(F.sequence(F.lit(0), F.size("edges") - 1), lambda i: i % 4 == 0)
+    rows = rows.select("n", "edges", vc.alias("vc"), ec.alias("ec"), marked.alias("m"))
+    got = rows.select(
+        verify.is_total(F.col("n"), F.col("edges"), F.col("vc"), F.col("ec")).alias("a"), (F.size(verify.total_issues(F.col("n"), F.col("edges"), F.col("vc"), F.col("ec"), F.lit(k))) == 0).alias("b"),
+        verify.is_rainbow(F.col("edges"), F.col("ec"), F.lit(k), F.col("m")).alias("c"), (F.size(verify.edge_issues(F.col("n"), F.col("edges"), F.col("ec"), F.lit(k), F.col("m"))) == 0).alias("d")).collect()
+    assert all(r.a == r.b and r.c == r.d for r in got)
+
+
+def test_a_proper_colouring_passes_both(spark):
+    rows = frame(spark, (3, [(0, 1), (1, 2)]))
+    ok = verify.is_total(F.col("n"), F.col("edges"), F.lit([0, 1, 0]), F.lit([2, 3]))
+    assert rows.select(ok).first()[0] and not rows.select(verify.is_total(F.col("n"), F.col("edges"), F.lit([0, 1, 0]), F.lit([2, 2]))).first()[0]
+    assert rows.select(verify.is_rainbow(F.col("edges"), F.lit([0, 1]), F.lit(2), F.lit([0, 1]))).first()[0]
