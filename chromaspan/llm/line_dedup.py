@@ -41,13 +41,14 @@ def widespread(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN
     return seen, cut(wide, "wide")
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, max_share: float = MAX_SHARE) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, max_share: float | None = MAX_SHARE) -> DataFrame:
     """docs with boilerplate lines taken out of ``text``, plus n_lines and n_removed (int).
 
     A line is compared without spaces at its ends; lines of under ``min_words`` space-separated
     words recur by chance and always stay.  A site is ``source`` (null: the empty string).  Where
     boilerplate makes up over ``max_share`` of a text's characters the text is a copy, a matter of
-    document deduplication, and stays whole.  A null text stays null with 0 lines; an empty text
+    document deduplication, and stays whole; with None no text is spared, and one without other lines
+    becomes empty.  A null text stays null with 0 lines; an empty text
     has one line.  Repeated rows are treated alike.  A row without doc_id is cleaned like others.
     An empty table gives an empty result; other columns pass through, also ``doc`` or ``h``.
     """
@@ -61,18 +62,22 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int
     left = F.filter(F.split(text, "\n"), lambda x: ~(is_bad(x) & F.array_contains(F.col(s + "bad"), F.xxhash64(F.trim(x)))))
     rows = rows.withColumn(s + "left", F.when(F.col(s + "bad").isNotNull(), left))
     cleaned = F.array_join(F.col(s + "left"), "\n")
-    total = F.aggregate(F.split(text, "\n"), F.lit(0), lambda a, x: a + F.length(x))
-    left_chars = F.aggregate(F.col(s + "left"), F.lit(0), lambda a, x: a + F.length(x))
-    rows = rows.withColumn(s + "take", F.col(s + "left").isNotNull() & (total - left_chars <= max_share * total))
+    chosen = F.col(s + "left").isNotNull()
+    if max_share is not None:
+        total = F.aggregate(F.split(text, "\n"), F.lit(0), lambda a, x: a + F.length(x))
+        left_chars = F.aggregate(F.col(s + "left"), F.lit(0), lambda a, x: a + F.length(x))
+        chosen &= total - left_chars <= max_share * total
+    rows = rows.withColumn(s + "take", chosen)
     n = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("int")
     take = F.col(s + "take")
     return rows.select(*[F.when(take, cleaned).otherwise(F.col(c)).alias(c) if c == "text" else F.col(f"`{c}`") for c in names if c not in ("n_lines", "n_removed")],
                        n.alias("n_lines"), F.when(take, n - F.size(s + "left")).otherwise(0).cast("int").alias("n_removed"))
 
 
-def clean_lines(docs: DataFrame, **params) -> DataFrame:
-    """docs with its own columns; n_chars, where there is one, counts the text that is left."""
-    out = drop_boilerplate(docs, **params).select(*docs.columns)
+def clean_lines(docs: DataFrame, max_share: float | None = None, **params) -> DataFrame:
+    """docs with its own columns, boilerplate taken out of every text; n_chars, where there is one,
+    counts the text that is left."""
+    out = drop_boilerplate(docs, max_share=max_share, **params).select(*docs.columns)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))

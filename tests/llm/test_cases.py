@@ -130,6 +130,14 @@ def test_lines(spark):
     assert line_dedup.drop_boilerplate(few).agg(F.sum("n_removed")).first()[0] == 0
 
 
+def test_clean_lines_spares_no_text(spark):
+    notice = "a notice found on every site"
+    rows = [(i, f"{notice}\nown {i}", f"s{i}", 0) for i in range(6)] + [(6, notice, "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.clean_lines(docs).collect()}
+    assert got == {i: (f"own {i}", 5) for i in range(6)} | {6: ("", 0)}
+
+
 def test_pieces():
     assert packing.pieces(0) == [] and packing.pieces(1) == [(0, 1)]
     assert packing.pieces(2 * 2048 + 5) == [(0, 2048), (2048, 2048), (4096, 4), (4100, 1)]
