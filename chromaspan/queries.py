@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -387,6 +388,21 @@ def d8_depth_histogram(spark, sf):
     return dependency.histogram(spark, dependency.PROFILES[3])
 
 
+@query(f"SELECT profile, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in COUNTERS)} FROM (VALUES {GOLDEN}) t(profile, {', '.join(COUNTERS)})")
+def d8_counters_all(spark, sf):
+    return reduce(DataFrame.unionByName, [dependency.counters(spark, p) for p in dependency.PROFILES])
+
+
+DEPTHS = """('d8-a-w5', 0, 231), ('d8-a-w5', 1, 6), ('d8-b-w6', 0, 5755), ('d8-b-w6', 1, 32), ('d8-c-frozen-w5', 0, 77), ('d8-c-frozen-w5', 1, 8),
+ ('d8-c-frozen-w6', 0, 3730), ('d8-c-frozen-w6', 1, 224), ('d8-c-frozen-w6', 2, 24), ('d8-c-frozen-w7', 0, 222681), ('d8-c-frozen-w7', 1, 7856), ('d8-c-frozen-w7', 2, 1212), ('d8-c-frozen-w7', 3, 160),
+ ('d8-c-mobile-w6', 0, 3192), ('d8-c-mobile-w7', 0, 193467), ('d8-c-mobile-w7', 1, 246)"""
+
+
+@query(f"SELECT profile, CAST(d AS INTEGER) AS depth, CAST(s AS BIGINT) AS states FROM (VALUES {DEPTHS}) t(profile, d, s)")
+def d8_depth_histogram_all(spark, sf):
+    return reduce(DataFrame.unionByName, [dependency.histogram(spark, p) for p in dependency.PROFILES])
+
+
 # --- counting inequalities --------------------------------------------------
 
 

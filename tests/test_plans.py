@@ -61,6 +61,15 @@ def test_pivots_of_a_large_profile(spark):
     assert (got.candidates, got.fragile, got.resolved) == (256, 8, 8)
 
 
+@pytest.mark.parametrize("kind", ["d8_counters", "d8_depth_histogram"])
+def test_a_dependency_query_has_every_profile(duck, kind):
+    """By the SQL, whose rows test_oracles holds against the query's."""
+    from chromaspan.queries import ORACLES
+
+    got = [duck.sql(sql).fetchall() for name, sql in ORACLES.items() if name.startswith(kind)]
+    assert {p.name for p in dependency.PROFILES} in [{r[0] for r in x} for x in got]
+
+
 def test_transfer_pins(spark):
     v = variables(spark)
     assert v.count() == 1032
