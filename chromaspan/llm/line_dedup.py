@@ -16,16 +16,23 @@ MIN_SITES = 5
 MIN_WORDS = 4
 MAX_SHARE = 0.5
 LG_K = 12
+#: A line of these alone is empty and never boilerplate.
+BLANK = " \t\r\x0b\x0c\u00a0\u3000"
 
 
-def _lines(text, min_words: int):
-    """Array of (line's hash, or null where the line has under min_words words)."""
-    spaces = lambda x: F.size(F.split(x, " "))
-    key = lambda x: F.trim(x)
-    return F.transform(F.split(text, "\n"), lambda x: F.when(spaces(key(x)) >= min_words, F.xxhash64(key(x))))
+def _counts(line, min_words: int | None):
+    """Whether a line is counted: one of min_words words or, with None, any that isn't empty."""
+    if min_words is None:
+        return F.btrim(line, F.lit(BLANK)) != ""
+    return F.size(F.split(F.trim(line), " ")) >= min_words
 
 
-def widespread(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K) -> tuple[DataFrame, DataFrame]:
+def _lines(text, min_words: int | None):
+    """Array of (line's hash, or null where the line isn't counted)."""
+    return F.transform(F.split(text, "\n"), lambda x: F.when(_counts(x, min_words), F.xxhash64(F.trim(x))))
+
+
+def widespread(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int | None = MIN_WORDS, lg_k: int = LG_K) -> tuple[DataFrame, DataFrame]:
     """(occurrences(doc, site, h), boilerplate(h)), both written to the shared folder."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.explode(F.array_distinct(_lines(text, min_words))).alias("h"))
@@ -41,11 +48,12 @@ def widespread(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN
     return seen, cut(wide, "wide")
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, max_share: float | None = MAX_SHARE) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int | None = MIN_WORDS, max_share: float | None = MAX_SHARE) -> DataFrame:
     """docs with boilerplate lines taken out of ``text``, plus n_lines and n_removed (int).
 
     A line is compared without spaces at its ends; lines of under ``min_words`` space-separated
-    words recur by chance and always stay.  A site is ``source`` (null: the empty string).  Where
+    words recur by chance and always stay; with None every line that isn't empty counts, in any
+    script.  A site is ``source`` (null: the empty string).  Where
     boilerplate makes up over ``max_share`` of a text's characters the text is a copy, a matter of
     document deduplication, and stays whole; with None no text is spared, and one without other lines
     becomes empty.  A null text stays null with 0 lines; an empty text
@@ -58,8 +66,7 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int
     rows = docs.withColumn(s + "key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
     rows = rows.join(marks.select(F.col("doc").alias(s + "key"), F.col("bad").alias(s + "bad")), s + "key", "left")
     text = F.col("text").cast("string")
-    is_bad = lambda x: F.size(F.split(F.trim(x), " ")) >= min_words
-    left = F.filter(F.split(text, "\n"), lambda x: ~(is_bad(x) & F.array_contains(F.col(s + "bad"), F.xxhash64(F.trim(x)))))
+    left = F.filter(F.split(text, "\n"), lambda x: ~(_counts(x, min_words) & F.array_contains(F.col(s + "bad"), F.xxhash64(F.trim(x)))))
     rows = rows.withColumn(s + "left", F.when(F.col(s + "bad").isNotNull(), left))
     cleaned = F.array_join(F.col(s + "left"), "\n")
     chosen = F.col(s + "left").isNotNull()
@@ -74,10 +81,10 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int
                        n.alias("n_lines"), F.when(take, n - F.size(s + "left")).otherwise(0).cast("int").alias("n_removed"))
 
 
-def clean_lines(docs: DataFrame, max_share: float | None = None, **params) -> DataFrame:
-    """docs with its own columns, boilerplate taken out of every text; n_chars, where there is one,
-    counts the text that is left."""
-    out = drop_boilerplate(docs, max_share=max_share, **params).select(*docs.columns)
+def clean_lines(docs: DataFrame, min_words: int | None = None, max_share: float | None = None, **params) -> DataFrame:
+    """docs with its own columns, boilerplate of any length taken out of every text; n_chars, where
+    there is one, counts the text that is left."""
+    out = drop_boilerplate(docs, min_words=min_words, max_share=max_share, **params).select(*docs.columns)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
@@ -101,3 +108,17 @@ docs AS (
 SELECT doc_id, CAST(n AS INTEGER) AS n_lines, CAST(CASE WHEN take THEN b ELSE 0 END AS INTEGER) AS n_removed,
        CASE WHEN take AND b > 0 THEN coalesce(cleaned, '') ELSE whole END AS text
 FROM docs"""
+
+
+def oracle_every_line(min_sites: int = MIN_SITES) -> str:
+    """The rows without bounds on words or share, by exact counts."""
+    blank = " || ".join(f"chr({ord(c)})" for c in BLANK)
+    return f"""
+WITH lines AS (
+  SELECT d.r, d.doc_id, coalesce(source, '') AS site, u.i, x AS line, trim(x, ' ') AS k, trim(x, {blank}) <> '' AS counts
+  FROM (SELECT row_number() OVER () AS r, * FROM documents) d, LATERAL (SELECT unnest(string_split(d.text, chr(10))) AS x, unnest(range(len(string_split(d.text, chr(10))))) AS i) u
+), wide AS (SELECT k FROM lines WHERE counts GROUP BY k HAVING count(DISTINCT site) >= {min_sites}),
+rated AS (SELECT l.*, counts AND k IN (SELECT k FROM wide) AS bad FROM lines l)
+SELECT any_value(doc_id) AS doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (bad) AS INTEGER) AS n_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT bad), '') AS text
+FROM rated GROUP BY r"""

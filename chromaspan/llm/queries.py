@@ -58,6 +58,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op9_every_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.drop_boilerplate(docs, min_words=None, max_share=None).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.find(table(spark, sf_dir, "documents"))
     counts = [pii.count_of("base", k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
@@ -65,7 +70,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_source_mixing, op3_near_dedup, op4_packing, op5_quality, op6_media_columns, op7_warc, op8_exact_dedup, op9_line_dedup, op10_personal_data)
+    f.__name__: f for f in (op1_secret_scan, op2_source_mixing, op3_near_dedup, op4_packing, op5_quality, op6_media_columns, op7_warc, op8_exact_dedup, op9_line_dedup, op9_every_line, op10_personal_data)
 }
 
 ORACLES: dict[str, str] = {
@@ -74,4 +79,5 @@ ORACLES: dict[str, str] = {
 SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))""",
     "op9_line_dedup": line_dedup.oracle(),
+    "op9_every_line": line_dedup.oracle_every_line(),
 }

@@ -138,6 +138,13 @@ def test_clean_lines_spares_no_text(spark):
     assert got == {i: (f"own {i}", 5) for i in range(6)} | {6: ("", 0)}
 
 
+def test_clean_lines_counts_lines_of_any_length(spark):
+    notes = ["All rights reserved.", "版权所有。未经许可不得转载。", "a\tb\u00a0c\td e"]
+    rows = [(i, "\n".join([f"own {i}", "", " \t ", *notes]), f"s{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id: r.text for r in line_dedup.clean_lines(docs).collect()} == {i: f"own {i}\n\n \t " for i in range(6)}
+
+
 def test_pieces():
     assert packing.pieces(0) == [] and packing.pieces(1) == [(0, 1)]
     assert packing.pieces(2 * 2048 + 5) == [(0, 2048), (2048, 2048), (4096, 4), (4100, 1)]
