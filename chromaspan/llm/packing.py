@@ -31,6 +31,7 @@ def _byte_letters() -> dict[int, str]:
 class Words:
     """Token ids of whole texts through a table of the chunks between spaces.
 
+    A literal special token in a text gets that token's id, as the tokenizer by itself gives it.
     The tokenizer drops white space and no rule of it reaches across a space, so a text's ids are
     those of its chunks, one after another.  Most chunks are a word of Latin-1 letters, maybe with a
     full stop or comma, which the tokenizer cuts off: such a word goes straight to the tokenizer's
@@ -45,7 +46,6 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.letters, self.room = self.tokenizer.model, _byte_letters(), room
         self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
         self.clear()

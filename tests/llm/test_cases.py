@@ -161,6 +161,17 @@ def test_chunks_give_the_tokenizer_s_ids():
             assert ids[bounds[i] : bounds[i + 1]].tolist() == [*words.tokenizer.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_special_tokens_get_the_plain_tokenizer_s_ids():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = ["end <|endoftext|> begin", "a<|endoftext|>b", "<|startoftext|><|endoftext|>.", "x\n<|endoftext|>'s", "<|ENDOFTEXT|>"]
+    ids, bounds = packing.Words(TOKENIZER).encode(pa.array(texts))
+    plain = Tokenizer.from_file(TOKENIZER)
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == [*plain.encode(t, add_special_tokens=False).ids, 1]
+
+
 def test_png_filters_and_damage():
     rng = np.random.default_rng(0)
     pixels = rng.integers(0, 256, (9, 64), dtype=np.uint8)
