@@ -1,4 +1,4 @@
-"""Secret scan: pattern candidates, and a random forest that removes false positives.
+"""Secret scan: pattern candidates, values assigned to names with a cue in them, and a random forest that removes false positives.
 
 The forest judges a candidate by its length, its character transitions, how much of it dictionary
 words cover, its path and the words beside it.  It is trained on labelled findings; without any it
@@ -29,7 +29,10 @@ CUES = re.compile(r"(?i)token|secret|passw|pwd|api[_ -]?key|access[_ -]?key|priv
 DOUBTS = re.compile(r"(?i)example|sample|dummy|fake|placeholder|sha-?\d|md5|checksum|digest|commit|uuid|guid|integrity|version|revision|etag|xxxx|your")
 TEST_PATH = re.compile(r"(?i)test|mock|fixture|example|sample|doc|readme|lock|vendor|node_modules")
 CONFIG_PATH = re.compile(r"(?i)\.env|config|settings|credential|secret|\.ya?ml|\.properties|\.ini|\.pem|deploy")
-CANDIDATE = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----|[A-Za-z0-9+/_=-]{16,}")
+#: A run of key characters; '=' is part of one as its padding only.
+CANDIDATE = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----|[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]|[ \t]+[\"']))?")
+#: What follows a cue where a value is assigned: the rest of the name, a sign, and the value.
+VALUE = re.compile(r"""[\w.-]{0,40}["'\]]{0,2}[ \t]{0,8}(?:=>|:=|={1,3}|:)[ \t]{0,8}(?i:(?:bearer|basic)[ \t]+)?(?:"(?P<double>[^"\n]+)"|'(?P<single>[^'\n]+)'|(?P<bare>(?:[^\s"'`<>,;&]|[,;&](?!\s|$|[\w.-]+[=:]))+))""")
 _WORD = re.compile("|".join(sorted(WORDS, key=lambda w: (-len(w), w))))
 
 FEATURES = ["length", "class_changes", "digit_share", "upper_share", "entropy", "repeats", "hex_only", "covered", "test_path", "config_path", "cue_before", "doubt_near", "assigned", "quoted"]
@@ -44,14 +47,41 @@ class Finding:
     label: int
 
 
+def values(text: str) -> list[tuple[int, int]]:
+    """Spans that are assigned to a name with a cue in it, of any length and any characters."""
+    out = set()
+    for m in CUES.finditer(text):
+        if not (v := VALUE.match(text, m.end())):
+            continue
+        start, end = v.span(v.lastgroup)
+        if v.lastgroup == "bare":
+            end = start + len(v["bare"].rstrip(".:)]}"))
+        if end > start:
+            out.add((start, end))
+    return sorted(out)
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans that may be secrets: 16 or more key characters with a digit and a letter, or a key's header."""
-    out = []
+    """Spans that may be secrets, in order: 16 or more key characters with a digit and a letter, a
+    key's header, and the values beside a cue and an assignment.  Such a value stands for the runs
+    inside it, unless it has spaces."""
+    assigned = values(text)
+    whole = [(a, b) for a, b in assigned if not any(c.isspace() for c in text[a:b])]
+    outer, at = [], 0
+    for a, b in whole:
+        if outer and outer[-1][0] == a:
+            outer.pop()
+        if not outer or b > outer[-1][1]:
+            outer.append((a, b))
+    out = set(assigned)
     for m in CANDIDATE.finditer(text):
         x = m[0]
         if x[0] == "-" and x.startswith("-----BEGIN") or any(c.isdigit() for c in x) and any(c.isalpha() for c in x):
-            out.append(m.span())
-    return out
+            while at < len(outer) and outer[at][1] < m.end():
+                at += 1
+            if at == len(outer) or outer[at][0] > m.start():
+                out.add(m.span())
+    return sorted(out)
 
 
 def features(text: str, start: int, end: int, path: str) -> list[float]:
@@ -171,6 +201,45 @@ def made_findings(n: int = 3000, seed: int = 3) -> list[Finding]:
     return out
 
 
+def made_values(n: int = 1500, seed: int = 5) -> list[Finding]:
+    """Labelled values beside a cue and an assignment: passwords with symbols and keys without
+    digits, and the words, calls, types and placeholders that stand in their place."""
+    rng = random.Random(seed)
+    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    word = lambda: "".join(rng.choice(["the", "an", "er", "tion", "in", "de", "ou", "es", "que", "lo", "ra", "mi", "st"]) for _ in range(rng.randint(1, 4)))
+    name = lambda: rng.choice(["token", "api_key", "API_KEY", "secret", "password", "DB_PASSWORD", "passwd", "access_key", "client_secret", "auth_token"])
+    leet = str.maketrans({"o": "0", "e": "3", "i": "1", "s": "5", "a": "4"})
+    symbols = "!@#$%^*&?+-_~"
+    out = []
+    for i in range(n):
+        label = int(i % 2 == 0)
+        if label:
+            value = rng.choice([
+                lambda: "".join(rng.sample(pick(string.ascii_lowercase, rng.randint(4, 8)) + pick(string.ascii_uppercase, rng.randint(1, 3)) + pick(string.digits, rng.randint(1, 4)) + pick(symbols, rng.randint(1, 3)), k=7)),
+                lambda: word().capitalize().translate(leet) + rng.choice(symbols) + word().translate(leet) + pick(string.digits, rng.randint(1, 4)), lambda: word().capitalize() + pick(string.digits, rng.randint(2, 4)) + pick(symbols, rng.randint(1, 2)),
+                lambda: pick(string.ascii_letters + string.digits + symbols, rng.randint(8, 32)), lambda: pick(string.ascii_letters + string.digits, rng.randint(8, 15)), lambda: pick(string.ascii_letters, rng.randint(16, 48)),
+            ])()
+            quote, path = rng.choice(['"', "'", '"', ""]), rng.choice(["", "src1", "app/main.py", "config/settings.yml", ".env"])
+        else:
+            value, quoted = rng.choice([
+                lambda: (word(), rng.random() < 0.5), lambda: (" ".join(word() for _ in range(rng.randint(2, 8))), True), lambda: (rng.choice(["true", "false", "null", "None", "string", "str", "required", "optional", "yes", "no", "changeme"]), rng.random() < 0.4),
+                lambda: (rng.choice(["get_", "self.", "config.", "os.environ.", "req.", "process.env."]) + word() + rng.choice(["", "()", "_" + word(), "." + word()]), False), lambda: (rng.choice(["${", "{{", "$", "%", "<"]) + "_".join([word(), *rng.choices(["key", "token", word()], k=rng.randint(0, 2))]).upper() + rng.choice(["}", "}}", "", "%", ">"]), True),
+                lambda: (rng.choice(["/", "./", "https://", ""]) + word() + "/" + word(), rng.random() < 0.5), lambda: (pick(string.digits, rng.randint(1, 4)), False), lambda: (rng.choice(["your-", "example-", "dummy-", "fake_"]) + word(), True), lambda: (rng.choice("*x.") * rng.randint(3, 12), True),
+                lambda: (word() + rng.choice("-_") + word(), rng.random() < 0.5),
+            ])()
+            quote, path = rng.choice("\"'") if quoted else "", rng.choice(["", "src2", "docs/a.md", "app/main.py", "config/settings.yml"])
+        left = " ".join(word() for _ in range(rng.randint(0, 5))) + rng.choice([" ", "\n"])
+        if not label and rng.random() < 0.1:  # a name that is assigned to
+            key = "_".join([word(), rng.choice(["token", "key", "secret", "auth"]), word(), str(rng.randint(1, 99))]).ljust(16, "0")
+            key = key.upper() if rng.random() < 0.7 else key
+            out.append(Finding(f"{left}{key}={word()}", len(left), len(left) + len(key), path, label))
+            continue
+        head = name() + rng.choice([" = ", "=", ": ", ":"]) + quote
+        start = len(left + head)
+        out.append(Finding(left + head + value + quote + rng.choice([" ", "\n"]) + word(), start, start + len(value), path, label))
+    return out
+
+
 def scan(docs: DataFrame, findings: list[Finding] | None = None, threshold: float = 0.5) -> DataFrame:
     """(doc_id, start, end, secret, score, is_secret), a row for each candidate of docs(doc_id, text,
     source, ...): offsets in code points, score the forest's share of class 1.
@@ -180,7 +249,7 @@ def scan(docs: DataFrame, findings: list[Finding] | None = None, threshold: floa
     table gives an empty result; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    forest = train_forest(made_findings() if findings is None else findings)
+    forest = train_forest(made_findings() + made_values() if findings is None else findings)
     names = ["doc_id", "start", "end", "secret", "score", "is_secret"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
