@@ -57,3 +57,28 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 
 def text_or_empty(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def positional(docs: DataFrame) -> DataFrame:
+    """docs with its columns called c0, c1, ...: no name of a caller's can clash with an operator's
+    own, whatever its case, dots or quotes.  ``toDF(*docs.columns)`` gives them back."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def place(docs: DataFrame, name: str) -> str:
+    """The name in ``positional(docs)`` of the column called name: exactly so, or but for case."""
+    for found in (docs.columns, [c.lower() for c in docs.columns]):
+        if name in found:
+            return f"c{found.index(name)}"
+    raise ValueError(f"no column {name}")
+
+
+def parts(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns of docs and no others."""
+    return positional(docs).select(*[F.col(place(docs, n)).alias(n) for n in names])
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df, a cut table, with the hint to send it to all tasks if it has at most ``rows`` rows and to
+    sort otherwise."""
+    return F.broadcast(df) if df.count() <= rows else df.hint("merge")
