@@ -1,21 +1,28 @@
 """Line deduplication by distinct-site spread, in DataFrame operations only.
 
-Each line's hash gets a HyperLogLog sketch of the sites it occurs on; sketches merge by
-aggregation.  Lines whose estimate is near the threshold get an exact distinct count.  Lines on at
-least ``min_sites`` sites are boilerplate and are removed wherever they occur.
+Lines in at least ``min_sites`` documents get a HyperLogLog sketch of the sites they occur on;
+sketches merge by aggregation.  Lines whose estimate is near the threshold get an exact distinct
+count.  Lines on at least ``min_sites`` sites are boilerplate and are removed wherever they occur.
+
+The hashes of boilerplate are sent to the tasks, which then filter texts where they are, as long as
+there are at most ``sent`` of them; beyond that each row's hashes are joined to it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, drop, place, positional, sized
 
 MIN_SITES = 5
 MIN_WORDS = 4
 MAX_SHARE = 0.5
 LG_K = 12
+#: At most this many hashes are sent with the plan (80 kB of numbers).
+SENT = 10_000
+#: At most this many hashes are broadcast in a join (8 MB of numbers).
+BROADCAST = 1 << 20
 #: A line of these alone is empty and never boilerplate.
 BLANK = " \t\r\x0b\x0c\u00a0\u3000"
 
@@ -32,23 +39,62 @@ def _lines(text, min_words: int | None):
     return F.transform(F.split(text, "\n"), lambda x: F.when(_counts(x, min_words), F.xxhash64(F.trim(x))))
 
 
-def widespread(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int | None = MIN_WORDS, lg_k: int = LG_K) -> tuple[DataFrame, DataFrame]:
-    """(occurrences(doc, site, h), boilerplate(h)), both written to the shared folder."""
+def widespread(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int | None = MIN_WORDS, lg_k: int = LG_K, broadcast: int = BROADCAST) -> DataFrame:
+    """docs(text, source) -> boilerplate(h), written to the shared folder.
+
+    Rows of the occurrence table are counted by line before anything is joined, so a line that is
+    everywhere is one row a task from then on."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.explode(F.array_distinct(_lines(text, min_words))).alias("h"))
+    rows = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.explode(F.array_distinct(_lines(text, min_words))).alias("h"))
     seen = cut(rows.where("h is not null"), "lines")
-    counted = seen.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.count("*").alias("n"))
+    often = cut(seen.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h"), "often")
+    sketched = seen.join(sized(often, broadcast), "h", "left_semi").groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"))
     # Five standard errors, and one site for the rounding of an estimate.
     off = 5 * 1.04 / (1 << lg_k) ** 0.5
     low, high = int(min_sites * (1 - off)) - 1, int(min_sites * (1 + off)) + 2
-    rated = cut(counted.where((F.col("sites") >= low) & (F.col("n") >= min_sites)).select("h", "sites"), "spread")
-    near = rated.where(F.col("sites") <= high).select("h")
-    exact = seen.join(near, "h", "left_semi").select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("k"))
-    wide = rated.where(F.col("sites") > high).select("h").union(exact.where(F.col("k") >= min_sites).select("h"))
-    return seen, cut(wide, "wide")
+    rated = cut(sketched.where(F.col("sites") >= low), "spread")
+    near = cut(rated.where(F.col("sites") <= high).select("h"), "near")
+    exact = seen.join(sized(near, broadcast), "h", "left_semi").select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("k"))
+    wide = cut(rated.where(F.col("sites") > high).select("h").union(exact.where(F.col("k") >= min_sites).select("h")), "wide")
+    for table in (seen, often, rated, near):
+        drop(table)
+    return wide
+
+
+def _marked(rows: DataFrame, text: Column, key: list[Column], wide: DataFrame, min_words: int | None, sent: int, broadcast: int) -> tuple[DataFrame, Column]:
+    """rows, and of each the test of a line's hash for boilerplate."""
+    few = [r["h"] for r in wide.limit(sent + 1).collect()]  # at most sent + 1 numbers
+    if len(few) <= sent:
+        return rows, lambda h: h.isin(few) if few else F.lit(False)
+    # A row's hashes are joined to it by a hash of all that tells it from others, so that rows
+    # without doc_id don't share a key.
+    rows = rows.withColumn("key", F.xxhash64(*key))
+    hashes = rows.select("key", F.explode(F.array_distinct(_lines(text, min_words))).alias("h"))
+    bad = hashes.join(sized(wide, broadcast), "h", "left_semi").groupBy("key").agg(F.collect_set("h").alias("bad"))
+    return rows.join(bad, "key", "left"), lambda h: F.coalesce(F.array_contains(F.col("bad"), h), F.lit(False))
+
+
+def _cleaned(docs: DataFrame, min_sites: int, min_words: int | None, max_share: float | None, sent: int, broadcast: int) -> tuple[DataFrame, str]:
+    """docs under positional names with its text cleaned, n_lines and n_removed; and text's name."""
+    rows, t, doc, source = positional(docs), place(docs, "text"), place(docs, "doc_id"), place(docs, "source")
+    wide = widespread(rows.select(F.col(t).alias("text"), F.col(source).alias("source")), min_sites, min_words, broadcast=broadcast)
+    text = F.col(t).cast("string")
+    rows, is_bad = _marked(rows, text, [F.col(doc), F.col(source), F.col(t)], wide, min_words, sent, broadcast)
+    lines = F.split(text, "\n")
+    left = F.filter(lines, lambda x: ~(_counts(x, min_words) & is_bad(F.xxhash64(F.trim(x)))))
+    rows = rows.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("int")).withColumn("left", left)
+    less = F.col("left").isNotNull() & (F.size("left") < F.col("n_lines"))
+    if max_share is not None:
+        total = F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x))
+        left_chars = F.aggregate(F.col("left"), F.lit(0), lambda a, x: a + F.length(x))
+        less &= total - left_chars <= max_share * total
+    rows = rows.withColumn("take", less)
+    own = [F.when(F.col("take"), F.array_join("left", "\n")).otherwise(F.col(c)).alias(c) if c == t else F.col(c) for c in positional(docs).columns]
+    n = F.when(F.col("take"), F.col("n_lines") - F.size("left")).otherwise(0).cast("int")
+    return rows.select(*own, "n_lines", n.alias("n_removed")), t
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int | None = MIN_WORDS, max_share: float | None = MAX_SHARE) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int | None = MIN_WORDS, max_share: float | None = MAX_SHARE, sent: int = SENT, broadcast: int = BROADCAST) -> DataFrame:
     """docs with boilerplate lines taken out of ``text``, plus n_lines and n_removed (int).
 
     A line is compared without spaces at its ends; lines of under ``min_words`` space-separated
@@ -58,37 +104,25 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int
     document deduplication, and stays whole; with None no text is spared, and one without other lines
     becomes empty.  A null text stays null with 0 lines; an empty text
     has one line.  Repeated rows are treated alike.  A row without doc_id is cleaned like others.
-    An empty table gives an empty result; other columns pass through, also ``doc`` or ``h``.
+    An empty table gives an empty result; other columns pass through whatever their names, but that
+    columns called n_lines or n_removed are replaced.
     """
-    seen, wide = widespread(docs, min_sites, min_words)
-    marks = seen.join(wide, "h").groupBy("doc").agg(F.collect_set("h").alias("bad"))
-    names, s = docs.columns, "__line_dedup_"
-    rows = docs.withColumn(s + "key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
-    rows = rows.join(marks.select(F.col("doc").alias(s + "key"), F.col("bad").alias(s + "bad")), s + "key", "left")
-    text = F.col("text").cast("string")
-    left = F.filter(F.split(text, "\n"), lambda x: ~(_counts(x, min_words) & F.array_contains(F.col(s + "bad"), F.xxhash64(F.trim(x)))))
-    rows = rows.withColumn(s + "left", F.when(F.col(s + "bad").isNotNull(), left))
-    cleaned = F.array_join(F.col(s + "left"), "\n")
-    chosen = F.col(s + "left").isNotNull()
-    if max_share is not None:
-        total = F.aggregate(F.split(text, "\n"), F.lit(0), lambda a, x: a + F.length(x))
-        left_chars = F.aggregate(F.col(s + "left"), F.lit(0), lambda a, x: a + F.length(x))
-        chosen &= total - left_chars <= max_share * total
-    rows = rows.withColumn(s + "take", chosen)
-    n = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("int")
-    take = F.col(s + "take")
-    return rows.select(*[F.when(take, cleaned).otherwise(F.col(c)).alias(c) if c == "text" else F.col(f"`{c}`") for c in names if c not in ("n_lines", "n_removed")],
-                       n.alias("n_lines"), F.when(take, n - F.size(s + "left")).otherwise(0).cast("int").alias("n_removed"))
+    out, _ = _cleaned(docs, min_sites, min_words, max_share, sent, broadcast)
+    names = ["n_lines", "n_removed"]
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in names]
+    return out.select(*[f"c{i}" for i in kept], *names).toDF(*[docs.columns[i] for i in kept], *names)
 
 
-def clean_lines(docs: DataFrame, min_words: int | None = None, max_share: float | None = None, **params) -> DataFrame:
+def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int | None = None, max_share: float | None = None, sent: int = SENT, broadcast: int = BROADCAST) -> DataFrame:
     """docs with its own columns, boilerplate of any length taken out of every text; n_chars, where
-    there is one, counts the text that is left."""
-    out = drop_boilerplate(docs, min_words=min_words, max_share=max_share, **params).select(*docs.columns)
+    there is one, counts the text that is left.  All other columns stay as they are."""
+    out, text = _cleaned(docs, min_sites, min_words, max_share, sent, broadcast)
+    out = out.drop("n_lines", "n_removed")
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out
+        n = place(docs, "n_chars")
+        length = F.length(F.col(text).cast("string")).cast(out.schema[n].dataType)
+        out = out.withColumn(n, F.when(F.col(text).isNull(), F.col(n)).otherwise(length))
+    return out.toDF(*docs.columns)
 
 
 def oracle(min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, max_share: float = MAX_SHARE) -> str:
