@@ -9,7 +9,8 @@ serve is at most the budget left times its own weight.
 A leaf takes whole epochs and then a token-prefix of the next one, in an order seeded by seed and
 epoch.  The prefix is found in two steps, sums over 4,096 slices of the order and then the one
 slice where it ends, so that no task sorts a leaf.  It becomes one bound per leaf and the
-documents themselves are never shuffled.
+documents themselves are never shuffled while the table of leaves is small enough to be sent; if
+it isn't, they are joined by leaf and salt, so that a leaf with most rows is many tasks.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, drop, parts, place, positional
 
 SEED = 7
 EPOCHS = 2
@@ -27,16 +28,19 @@ WEIGHTS = {"en": 50, "de": 20, "fr": 20, "es": 20}
 OTHER = 10
 DOMAINS = 3
 PATH = ["domain", "lang", "source"]
+#: A table of at most this many leaves is broadcast (some 20 MB); a larger one is joined by SALTS.
+LEAVES = 100_000
+SALTS = 32
 
 
-def _leaf() -> list:
+def _leaf(text: str = "text", lang: str = "lang", source: str = "source") -> list:
     """Columns domain, lang, source and tokens of a document."""
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    number = F.expr("try_cast(right(regexp_extract(coalesce(CAST(source AS string), ''), '[0-9]+$', 0), 9) AS int)")
-    words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"\S+"))
+    site = F.coalesce(F.col(source).cast("string"), F.lit(""))
+    number = F.right(F.regexp_extract(site, "[0-9]+$", 0), F.lit(9)).try_cast("int")
+    words = F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(r"\S+"))
     return [
         F.concat(F.lit("d"), (F.coalesce(number, F.lit(0)) % DOMAINS).cast("string")).alias("domain"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), source.alias("source"), words.cast("long").alias("tokens"),
+        F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), site.alias("source"), words.cast("long").alias("tokens"),
     ]
 
 
@@ -46,6 +50,14 @@ def leaves(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_leaf())
 
 
+def _by_leaf(rows: DataFrame, of_leaf: DataFrame, path: list[str], key: list[str], most: int) -> DataFrame:
+    """rows joined with of_leaf, a cut table with a row for each leaf."""
+    if of_leaf.count() <= most:
+        return rows.join(F.broadcast(of_leaf), path)
+    salted = of_leaf.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [*path, "salt"]).drop("salt")
+
+
 def _weight(name: str):
     if name != "lang":
         return F.lit(OTHER).cast("long")
@@ -81,47 +93,65 @@ def budgets(supply: DataFrame, share: float = SHARE, epochs: int = EPOCHS) -> Da
     return supply.join(up.withColumnRenamed("given", "budget"), PATH)
 
 
-def _key(epoch: str, tokens: str):
+def _key(epoch: str, tokens: str, doc_id: str = "doc_id"):
     """A row's place in the seeded order of an epoch."""
-    doc = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    doc = F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit(""))
     return F.md5(F.concat_ws(":", F.lit(str(SEED)), F.col(epoch).cast("string"), doc, F.col(tokens).cast("string")))
 
 
-def plan(rows: DataFrame, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+def plan(rows: DataFrame, share: float = SHARE, epochs: int = EPOCHS, most: int = LEAVES) -> DataFrame:
     """(domain, lang, source, budget, whole, bound): a leaf gives ``whole`` epochs and, of the next
     one, the documents whose key is at most ``bound`` (none where that is null)."""
     supply = rows.groupBy(*PATH).agg(F.sum("tokens").alias("tokens"))
     given = budgets(supply, share, epochs)
     whole = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(1)
     given = cut(given.select(*PATH, "budget", whole.cast("int").alias("whole"), (F.col("budget") - whole * F.col("tokens")).alias("rest")), "budgets")
-    keyed = rows.join(given.where("rest > 0"), PATH).withColumn("key", _key("whole", "tokens"))
+    keyed = _by_leaf(rows, given, PATH, ["doc_id", "tokens"], most).where("rest > 0").withColumn("key", _key("whole", "tokens"))
     sliced = keyed.withColumn("slice", F.substring("key", 1, 3)).where("tokens > 0")
     sums = sliced.groupBy(*PATH, "rest", "slice").agg(F.sum("tokens").alias("t"))
     before = Window.partitionBy(*PATH).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("b", F.coalesce(F.sum("t").over(before), F.lit(0)))
-    last = sums.where("b < rest and b + t >= rest").select(*PATH, "slice", "b")
+    last = cut(sums.where("b < rest and b + t >= rest").select(*PATH, F.col("slice").alias("at"), "b"), "slices")
     within = Window.partitionBy(*PATH).orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    tail = sliced.join(last, [*PATH, "slice"]).withColumn("e", F.col("b") + F.sum("tokens").over(within))
+    tail = _by_leaf(sliced, last, PATH, ["doc_id", "tokens"], most).where("slice = at").withColumn("e", F.col("b") + F.sum("tokens").over(within))
     bound = tail.where(F.col("e") >= F.col("rest")).groupBy(*PATH).agg(F.min("key").alias("bound"))
-    return cut(given.join(bound, PATH, "left").select(*PATH, "budget", "whole", "bound"), "plan")
-
-
-def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+    made = cut(given.join(bound, PATH, "left").select(*PATH, "budget", "whole", "bound"), "plan")
+    drop(given)
+    drop(last)
+    return made
+
+
+def _taken(docs: DataFrame, share: float, epochs: int, most: int) -> DataFrame:
+    """docs under positional names, a row for each epoch, and domain, tokens, epoch, budget."""
+    seen = cut(leaves(parts(docs, "doc_id", "text", "lang", "source")), "leaves")
+    chosen = plan(seen, share, epochs, most)
+    drop(seen)
+    rows, doc = positional(docs), place(docs, "doc_id")
+    own = rows.columns
+    rows = _by_leaf(rows.select(*own, *_leaf(place(docs, "text"), place(docs, "lang"), place(docs, "source"))), chosen, PATH, [doc, "tokens"], most)
+    takes = F.col("whole") + F.when((F.col("tokens") > 0) & F.col("bound").isNotNull() & (_key("whole", "tokens", doc) <= F.col("bound")), 1).otherwise(0)
+    rows = rows.select(*own, "domain", "tokens", "budget", takes.alias("takes")).where("takes > 0")
+    return rows.select(*own, "domain", "tokens", F.explode(F.sequence(F.lit(0), F.col("takes") - 1)).alias("epoch"), "budget")
+
+
+def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, most: int = LEAVES) -> DataFrame:
     """docs' rows that the mix takes, once for each epoch, with __domain, __tokens, __epoch, __budget.
 
     The document in which a leaf's prefix ends is taken whole.  Documents without words come with
     each whole epoch only, of which a leaf without any words has one.  Null language or source are
     the value ''; a null text has no words.  Rows equal in doc_id and words share a key and are
-    taken together.  An empty table gives an empty result; other columns pass through.
+    taken together.  An empty table gives an empty result; other columns pass through whatever their
+    names, but that columns with one of the four names are replaced.
     """
-    chosen = plan(cut(leaves(docs), "leaves"), share, epochs)
-    chosen = chosen.select(F.struct(*PATH).alias("__path"), F.col("budget").alias("__budget"), "whole", "bound")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    *path, tokens = _leaf()
-    rows = docs.select(*own, F.struct(*path).alias("__path"), tokens.alias("__tokens")).join(chosen, "__path")
-    takes = F.col("whole") + F.when((F.col("__tokens") > 0) & F.col("bound").isNotNull() & (_key("whole", "__tokens") <= F.col("bound")), 1).otherwise(0)
-    rows = rows.select(*own, "__path", "__tokens", "__budget", takes.alias("__takes")).where("__takes > 0")
-    return rows.select(*own, F.col("__path.domain").alias("__domain"), "__tokens", F.explode(F.sequence(F.lit(0), F.col("__takes") - 1)).alias("__epoch"), "__budget")
+    names = ["__domain", "__tokens", "__epoch", "__budget"]
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in names]
+    out = _taken(docs, share, epochs, most).select(*[f"c{i}" for i in kept], "domain", "tokens", "epoch", "budget")
+    return out.toDF(*[docs.columns[i] for i in kept], *names)
+
+
+def take(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, most: int = LEAVES) -> DataFrame:
+    """The rows of ``mix`` with docs' columns only, all of them as they are."""
+    return _taken(docs, share, epochs, most).select(*positional(docs).columns).toDF(*docs.columns)
 
 
 def oracle(share: float = SHARE, epochs: int = EPOCHS) -> str:
