@@ -17,13 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, new_path, small_batches, text_or_empty
+from .shared import cut, drop, new_path, positional, place, sized, small_batches, text_or_empty
 
 #: A fixed instant: archives of equal tables are equal.
 DATE = "2000-01-01T00:00:00Z"
+#: At most this many digests of repeated payloads are broadcast (some 40 MB).
+SENT = 1 << 19
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: Headers without which a record can't be read.
+REQUIRED = ["warc-type", "content-length", "warc-block-digest", "warc-payload-digest"]
+
+
 class WarcError(ValueError):
     pass
 
@@ -37,16 +43,17 @@ def record_id(page_id: int | None, salt: str = "") -> str:
 
 
 def _header(value: str) -> str:
-    """A header's value stays on its line."""
-    return "".join(c if c.isprintable() else "%" + c.encode("utf-8", "replace").hex() for c in value)
+    """A header's value stays on its line: each byte of a character that can't be printed is escaped."""
+    return "".join(c if c.isprintable() else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in value)
 
 
-def write_record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, level: int = 6) -> bytes:
-    """One gzip member.  refers_to: the response's page_id if this is a revisit."""
+def write_record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, level: int = 6, salt: str = "") -> bytes:
+    """One gzip member.  refers_to: the response's page_id if this is a revisit.  salt: tells rows
+    with one page_id apart, '' for the row that revisits refer to."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, salt)}", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {_header(url)}", f"X-Page-ID: {'' if page_id is None else page_id}", f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
@@ -76,14 +83,26 @@ def read_members(file, step: int = 1 << 18) -> Iterator[bytes]:
         raise WarcError("truncated gzip member")
 
 
+def _number(text: str | bytes) -> int:
+    try:
+        return int(text)
+    except ValueError:
+        raise WarcError(f"not a number: {text!r}") from None
+
+
 def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
     """(headers with lower-case names, block); raises WarcError where framing or digests are wrong."""
     head, found, rest = member.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    try:
+        lines = head.decode().split("\r\n")
+    except UnicodeDecodeError:
+        raise WarcError("headers aren't UTF-8") from None
     if not found or not lines[0].startswith("WARC/1."):
         raise WarcError("no record")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    n = int(fields["content-length"])
+    if missing := [k for k in REQUIRED if k not in fields]:
+        raise WarcError(f"no header {missing[0]}")
+    n = _number(fields["content-length"])
     block = rest[:n]
     if len(block) != n or rest[n:] != b"\r\n\r\n":
         raise WarcError("content length")
@@ -96,27 +115,33 @@ def read_record(member: bytes) -> tuple:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload or None)."""
     fields, block = parse_record(member)
     http, _, payload = block.partition(b"\r\n\r\n")
-    size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+    sizes = [_number(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+    if len(sizes) != 1:
+        raise WarcError("no length of the payload")
+    size = sizes[0]
     kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
     if kind == "response" and (len(payload) != size or sha1_base32(payload) != digest):
         raise WarcError("payload digest")
-    number = lambda k: int(fields[k]) if fields.get(k) else None
+    number = lambda k: _number(fields[k]) if fields.get(k) else None
     return number("x-page-id"), size, digest, kind, number("x-refers-to-page-id"), payload if kind == "response" else None
 
 
-def write_archives(pages: DataFrame, least: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, least: int = 0, sent: int = SENT) -> DataFrame:
     """Writes a record for each row of pages(page_id, url, html); returns the table of (path, records).
 
-    Payloads of at least ``least`` bytes are compared by SHA-256.  Each task writes one archive under
+    Payloads of at least ``least`` bytes are compared by SHA-256.  Only (digest, page_id) is shuffled
+    to learn which payloads repeat; the digests of those come back to the pages, which stay where
+    they are while there are at most ``sent`` such digests.  Each task writes one archive under
     a name of its own, and only names of tasks that ended are in the table, so tasks may run again.
     """
     spark = pages.sparkSession
     small_batches(spark)
-    page = F.col("page_id").cast("long")
-    rows = pages.select(page.alias("page_id"), text_or_empty("url").alias("url"), text_or_empty("html").alias("html"))
-    rows = rows.withColumn("sha", F.sha2("html", 256)).withColumn("n", F.octet_length("html"))
-    same = rows.where(F.col("n") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1").select("sha", "first")
-    joined = rows.join(same, "sha", "left")
+    col = {c: F.col(place(pages, c)) for c in ("page_id", "url", "html")}
+    rows = positional(pages).select(*[(x.cast("long") if c == "page_id" else F.coalesce(x.cast("string"), F.lit(""))).alias(c) for c, x in col.items()])
+    sha, n = F.unhex(F.sha2("html", 256)), F.octet_length("html")
+    same = rows.where(n >= least).select(sha.alias("sha"), "page_id").groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("k"))
+    same = cut(same.where("k > 1").select("sha", "first"), "same")
+    joined = rows.withColumn("n", n).withColumn("sha", sha).join(sized(same, sent), "sha", "left")
     refers = F.when((F.col("n") >= least) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     joined = joined.select("page_id", "url", "html", refers.alias("refers_to"))
     folder = new_path(spark, "warc")
@@ -126,11 +151,14 @@ def write_archives(pages: DataFrame, least: int = 0) -> DataFrame:
 
         store, top = fs.FileSystem.from_uri(folder)
         store.create_dir(top)
-        name, n, out = f"{uuid.uuid4().hex}.warc.gz", 0, None
+        name, n, out, seen = f"{uuid.uuid4().hex}.warc.gz", 0, None, set()
         for b in batches:
             for page_id, url, html, to in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
                 out = out or store.open_output_stream(f"{top}/{name}", compression=None)
-                out.write(write_record(page_id, url, html, to))
+                # A page_id that comes again gets a salt, so that no two records share an id.
+                again = page_id is None or page_id in seen
+                seen.add(page_id)
+                out.write(write_record(page_id, url, html, to, salt=f"{name} {n}" if again else ""))
                 n += 1
         if out:
             out.close()
