@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, drop, small_batches
+from .shared import cut, drop, parts, place, positional, small_batches
 
 SEED = 42
-#: Above this many distinct fingerprints the wider segments below are used; results are equal.
-WIDE_FROM = 1 << 26
+#: (blocks, chosen) of segments to take the cheapest of; all give the same links.
+SETTINGS = [(3, 1), (5, 2), (6, 3)]
+#: Comparisons within a key that cost as much as one index row.
+COMPARED = 8
 #: At most this many ids are broadcast, 8 MB of numbers; more are joined by sorting.
 SENT_IDS = 1 << 20
 
@@ -75,6 +77,17 @@ def segment_masks(blocks: int, chosen: int, distance: int = 4) -> list[int]:
     return [sum(x) for x in combinations(masks, chosen)]
 
 
+def cheapest(nodes: int, distance: int = 4) -> tuple[int, int]:
+    """The setting of least cost for so many fingerprints: index rows, and comparisons at the load
+    that a key of as many bits has to expect.  Wider segments have more rows and less loaded keys."""
+
+    def cost(setting: tuple[int, int]) -> float:
+        bits = [m.bit_count() for m in segment_masks(*setting, distance)]
+        return sum(b * (1 + nodes / (1 << (b - 1)) / COMPARED) for b in bits)
+
+    return min(SETTINGS, key=cost)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -165,7 +178,7 @@ def fingerprint_links(nodes: DataFrame, distance: int = 4, blocks: int | None =
     enough of them to connect all that the full set of links connects."""
     spark = nodes.sparkSession
     if blocks is None:
-        blocks, chosen = (3, 1) if nodes.count() <= WIDE_FROM else (6, 3)
+        blocks, chosen = cheapest(nodes.count(), distance)
     rows = variants(nodes, blocks, chosen, distance).repartition("key").sortWithinPartitions("key")
     found = cut(rows.mapInArrow(_linker(distance, block), "a long, b long, key long"), "found")
     links = found.where("b is not null").select("a", "b")
@@ -189,7 +202,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, **index)
     isn't a node: it takes the component of its fingerprint, null if no other row has that.
     An empty table gives an empty result; other columns are ignored.
     """
-    prints = cut(fingerprints(docs, width), "prints")
+    prints = cut(fingerprints(parts(docs, "doc_id", "text"), width), "prints")
     nodes = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     linked = components(fingerprint_links(nodes.select("fp"), distance, **index))
     members = linked.select(F.col("node").alias("fp"), "root").union(linked.select(F.col("root").alias("fp"), "root").distinct())
@@ -202,16 +215,16 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, **index)
     return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **params) -> DataFrame:
+def keep_one(docs: DataFrame, sent: int = SENT_IDS, **params) -> DataFrame:
     """docs without all but the smallest doc_id of each component.  Rows without doc_id stay; of
-    rows that repeat a doc_id one stays."""
+    rows that repeat a doc_id one stays.  All columns stay as they are, whatever their names."""
     found = cut(near_duplicates(docs, **params).select("doc_id", "component_id"), "found")
-    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     # Whole texts aren't shuffled while the ids that go are few enough to send.
-    gone = F.broadcast(gone) if gone.count() <= SENT_IDS else gone.hint("merge")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = F.broadcast(gone) if gone.count() <= sent else gone.hint("merge")
+    doc = place(docs, "doc_id")
+    kept = positional(docs).join(gone, F.col(doc).cast("long") == F.col("gone"), "left_anti")
     ids = found.where("doc_id is not null").groupBy("doc_id").count()
     if not ids.where("count > 1").isEmpty():
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.where("doc_id is null"))
-    return kept
+        kept = kept.where(F.col(doc).isNotNull()).dropDuplicates([doc]).unionByName(kept.where(F.col(doc).isNull()))
+    return kept.toDF(*docs.columns)
