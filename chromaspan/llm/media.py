@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, text_or_empty
+from .shared import parts, small_batches, text_or_empty
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -64,22 +64,35 @@ def unfilter(lines: np.ndarray) -> np.ndarray:
                 out[a] += out[a - 1]
             out[a:b] = np.cumsum(out[a:b], axis=0, dtype=np.uint8)
         elif kinds[a] > 2:
-            for r in range(a, b):
-                row = out[r].astype(int).tolist()
-                above = out[r - 1].astype(int).tolist() if r else [0] * len(row)
-                left = corner = 0
-                for i, x in enumerate(row):
-                    if kinds[a] == 3:
-                        guess = (left + above[i]) // 2
-                    else:
-                        p = left + above[i] - corner
-                        guess = min((abs(p - v), j, v) for j, v in enumerate((left, above[i], corner)))[2]
-                    row[i] = left = (x + guess) & 255
-                    corner = above[i]
-                out[r] = row
+            above = out[a - 1] if a else np.zeros(out.shape[1], np.uint8)
+            out[a:b] = _by_diagonals(out[a:b], above, _average if kinds[a] == 3 else _paeth)
     return out
 
 
+def _average(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    return (left + up) // 2
+
+
+def _paeth(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Whichever of the three is nearest to left + up - corner, the first of equals."""
+    p = left + up - corner
+    away = np.abs(np.stack([p - left, p - up, p - corner]))
+    return np.choose(away.argmin(axis=0), [left, up, corner])
+
+
+def _by_diagonals(lines: np.ndarray, above: np.ndarray, guess) -> np.ndarray:
+    """A run of rows whose samples depend on their left, upper and corner neighbours: the samples of
+    a diagonal depend on those of the two before it only, so a diagonal is undone at once."""
+    rows, width = lines.shape
+    out = np.zeros((rows + 1, width + 1), np.int16)
+    out[0, 1:] = above
+    for d in range(rows + width - 1):
+        r = np.arange(max(0, d - width + 1), min(rows, d + 1))
+        c = d - r
+        out[r + 1, c + 1] = (lines[r, c] + guess(out[r + 1, c], out[r, c + 1], out[r, c])) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def read_png(stored: bytes) -> np.ndarray:
     """rows x width of uint8; raises PngError on a bad signature, checksum, order or length."""
     if stored[:8] != SIGNATURE:
@@ -161,4 +174,4 @@ def media_columns(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names)
 
     kind = "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).mapInArrow(run, kind)
+    return parts(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).mapInArrow(run, kind)
