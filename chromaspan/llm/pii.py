@@ -1,7 +1,8 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
-Candidates are the base spans, which always stay, and looser ones.  Labelers vote on each: a
-pattern test, a gazetteer, the words before it and its edges (1 for, 0 against, -1 none).
+Candidates are the base spans, which always stay, and looser ones: matches of the base patterns
+that fail their test or are a little short or long, and matches of patterns of their own.  Labelers
+vote on each: a pattern test, a gazetteer, the words before it and its edges (1 for, 0 against, -1 none).
 Expectation-maximisation over counts of vote patterns estimates the labelers' reliabilities; its
 posteriors train a logistic span classifier, which decides on the looser candidates.
 
@@ -12,11 +13,12 @@ Texts are read once; the second pass reads a table of spans.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, text_or_empty
+from .shared import cut, parts, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone"]
 # Fixed values.  The base patterns; a possessive quantifier or a look behind changes no match but
@@ -32,6 +34,11 @@ LOOSE = {
     2: r"(?<![0-9-])[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}(?![0-9-])",
     3: r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
 }
+# What the pattern labeler takes for well formed.
+ADDRESS = r"^[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?(?:@| ?[(\[](?:at|AT)[)\]] ?).*[.)\]] ?[A-Za-z]{2,24}$"
+QUAD = r"^(?:(?:0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
+GROUPS = r"^(?:[0-9A-Fa-f]{1,4}(?::|$)){8}$"
+NUMBER = r"^(?:\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,5}\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,4}|\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4})$"
 # Gazetteers.
 DOMAINS = r"(?i)(?:\.|[(\[]dot[)\]] ?)(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"
 RESERVED = r"^(?:0|10|127|169\.254|192\.168|172\.(?:1[6-9]|2[0-9]|3[01])|22[4-9]|2[3-5][0-9])\.|^(?:0{0,3}:|f[cde])"
@@ -84,6 +91,16 @@ def _only_valid(kind: int, spans: str) -> Column:
     return F.filter(spans, lambda x: _valid(kind, x["t"]))
 
 
+def _near_misses(kind: int, spans: str) -> Column:
+    return F.filter(spans, lambda x: ~_valid(kind, x["t"]) & _nearly(kind, x["t"]))
+
+
+def _clear_of(spans: str, *others: str) -> Column:
+    """The spans that meet none of the others."""
+    meets = lambda x, other: F.exists(other, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    return F.filter(spans, lambda x: ~reduce(lambda a, b: a | b, [meets(x, o) for o in others]))
+
+
 def _all_candidates(text: Column, kind: int, base: bool, spans) -> Column:
     return F.transform(spans, lambda x: _candidate(text, kind, base, x))
 
@@ -99,10 +116,25 @@ def _valid(kind: int, t: Column) -> Column:
     return F.lit(True)
 
 
+def _nearly(kind: int, t: Column) -> Column:
+    """Whether a match that isn't valid is a candidate all the same."""
+    n = F.length(_digits(t))
+    return {0: F.lit(False), 1: F.lit(True), 2: n.between(12, 19), 3: n.between(7, 16)}[kind]
+
+
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, 0).otherwise(-1)
 
 
+def _shape(kind: int, t: Column) -> Column:
+    """The pattern labeler, the same test for base and looser candidates."""
+    if kind == 2:
+        return _vote(_digits(t).rlike("^.{13,19}$") & luhn(_digits(t)), F.lit(True))
+    if kind == 1:
+        return _vote(t.rlike(QUAD) | t.rlike(GROUPS), F.lit(True))
+    return _vote(t.rlike(ADDRESS if kind == 0 else NUMBER), F.lit(True))
+
+
 def _candidate(text: Column, kind: int, base: bool, x: Column) -> Column:
     t = x["t"]
     before = F.substring(text, F.greatest(F.lit(1), x["s"] + 1 - BEFORE), F.least(x["s"], F.lit(BEFORE)))
@@ -111,16 +143,15 @@ def _candidate(text: Column, kind: int, base: bool, x: Column) -> Column:
         0: _vote(t.rlike(DOMAINS), F.lit(True)), 1: _vote(~F.lower(t).rlike(RESERVED), F.lit(True)),
         2: _vote(_digits(t).rlike(ISSUERS), F.lit(True)), 3: _vote(t.rlike(CODES), F.lit(True)),
     }[kind]
-    pattern = F.lit(1) if base else _vote(luhn(_digits(t)) if kind == 2 else F.lit(False), F.lit(kind == 2))
     return F.struct(
-        F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit(base).alias("base"), pattern.alias("pattern"), gazetteer.alias("gazetteer"),
+        F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit(base).alias("base"), _shape(kind, t).alias("pattern"), gazetteer.alias("gazetteer"),
         _vote(before.rlike(CUES[kind]), before.rlike(DOUBTS)).alias("context"), _vote(~near.rlike("[A-Za-z0-9]"), F.lit(True)).alias("edges"), F.least(F.lit(5), F.floor((x["e"] - x["s"]) / 8).cast("int")).alias("size"),
     )
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): all candidates of every row with their votes, written to the shared folder."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    rows = parts(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
     text = F.col("text")
     may = {0: text.contains("@"), 1: text.rlike(r"[0-9]\.[0-9]"), 2: text.rlike(r"[0-9][\x20-]?[0-9]"), 3: text.contains("+")}
     also = {0: text.rlike(r"[(\[](?:at|AT)[)\]]"), 1: text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]"), 2: text.rlike(r"[0-9]{4}[ -][0-9]{4}[ -]"), 3: text.rlike("[ .-][0-9]{3}[ .-][0-9]{4}")}
@@ -131,11 +162,13 @@ def candidates(docs: DataFrame) -> DataFrame:
             rows = rows.withColumn(name, F.when(when, pair))
     none = F.array().cast("array<struct<s:int,e:int,t:string>>")
     rows = rows.select("doc_id", "text", *[F.when(F.col(n).isNotNull(), _spans(F.col(n))).otherwise(none).alias(n) for k in range(4) for n in (f"b{k}", f"l{k}")])
-    rows = rows.select("doc_id", "text", *[_only_valid(k, f"b{k}").alias(f"b{k}") for k in range(4)], *[f"l{k}" for k in range(4)])
+    rows = rows.select("doc_id", "text", *[_only_valid(k, f"b{k}").alias(f"b{k}") for k in range(4)], *[f"l{k}" for k in range(4)], *[_near_misses(k, f"b{k}").alias(f"n{k}") for k in range(4)])
     rows = rows.withColumn("base", F.flatten(F.array(*[F.transform(f"b{k}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for k in range(4)])))
-    free = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
     own = [_all_candidates(text, k, True, f"b{k}") for k in range(4)]
-    more = [_all_candidates(text, k, False, F.filter(f"l{k}", free)) for k in range(4)]
+    # A looser pattern goes before a near miss that it meets: it says more.
+    loose = [_clear_of(f"l{k}", "base") for k in range(4)]
+    missed = [_clear_of(f"n{k}", "base", f"l{k}") for k in range(4)]
+    more = [_all_candidates(text, k, False, F.concat(loose[k], missed[k])) for k in range(4)]
     return cut(rows.select("doc_id", F.flatten(F.array(*own, *more)).alias("spans")), "spans")
 
 
@@ -173,8 +206,23 @@ def _inputs(kind: int, votes: tuple[int, ...], size: int) -> list[float]:
     return [1.0, *(float(kind == k) for k in range(len(KINDS))), *(float(v == x) for v in votes for x in (1, 0)), size / 5]
 
 
-def fit_classifier(rows: list[tuple[int, tuple[int, ...], int, int]], rounds: int = 400, rate: float = 0.5) -> list[float]:
-    """rows: (kind, votes, size, count).  Logistic weights over ``_inputs``, fitted to the posteriors."""
+def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """The solution of a small positive definite system, by elimination."""
+    rows = [[*m, r] for m, r in zip(matrix, right, strict=True)]
+    n = len(rows)
+    for i in range(n):
+        for j in range(i + 1, n):
+            f = rows[j][i] / rows[i][i]
+            rows[j] = [a - f * b for a, b in zip(rows[j], rows[i], strict=True)]
+    out = [0.0] * n
+    for i in reversed(range(n)):
+        out[i] = (rows[i][n] - sum(rows[i][j] * out[j] for j in range(i + 1, n))) / rows[i][i]
+    return out
+
+
+def fit_classifier(rows: list[tuple[int, tuple[int, ...], int, int]], rounds: int = 50, ridge: float = 1e-4) -> list[float]:
+    """rows: (kind, votes, size, count).  Logistic weights over ``_inputs``, fitted to the posteriors
+    by Newton's method."""
     merged: dict = {}
     for kind, votes, _, c in rows:
         merged[kind, votes] = merged.get((kind, votes), 0) + c
@@ -183,12 +231,19 @@ def fit_classifier(rows: list[tuple[int, tuple[int, ...], int, int]], rounds: in
     total = sum(c for *_, c in rows)
     w = [0.0] * len(_inputs(0, (0,) * len(VOTES), 0))
     for _ in range(rounds if total else 0):
-        grad = [1e-3 * v for v in w]
+        grad, curve = [ridge * v for v in w], [[ridge * (i == j) for j in range(len(w))] for i in range(len(w))]
         for xs, (kind, votes, _, c) in zip(x, rows, strict=True):
             p = 1 / (1 + math.exp(-min(50, max(-50, sum(a * b for a, b in zip(w, xs, strict=True))))))
-            g = c / total * (p - post[kind, votes])
-            grad = [a + g * b for a, b in zip(grad, xs, strict=True)]
-        w = [a - rate * b for a, b in zip(w, grad, strict=True)]
+            g, h = c / total * (p - post[kind, votes]), c / total * max(p * (1 - p), 1e-6)
+            on = [i for i, v in enumerate(xs) if v]
+            for i in on:
+                grad[i] += g * xs[i]
+                for j in on:
+                    curve[i][j] += h * xs[i] * xs[j]
+        step = _solve(curve, grad)
+        w = [a - min(2.0, max(-2.0, b)) for a, b in zip(w, step, strict=True)]
+        if max(map(abs, step)) < 1e-6:
+            break
     return w
 
 
