@@ -1,16 +1,18 @@
 """Secret scan: pattern candidates, values assigned to names with a cue in them, and a random forest that removes false positives.
 
-The forest judges a candidate by its length, its character transitions, how much of it dictionary
-words cover, its path and the words beside it.  It is trained on labelled findings; without any it
-uses findings made by a rule.
+Candidates are taken widely: also numbers and long words are some.  The forest judges a candidate
+by its length, its character transitions (changes of class, and how likely its letters follow one
+another in the dictionary), how much of it dictionary words cover, its path and the words beside it.
+It is trained on labelled findings; without any it uses findings made by a rule.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import random
 import string
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, text_or_empty
+from .shared import parts, small_batches, text_or_empty
 
 # Words that long identifiers, addresses and prose are made of.
 WORDS = """about after all and are but can com config data dev doc docs does each else error example false file for from get has
@@ -33,9 +35,50 @@ CONFIG_PATH = re.compile(r"(?i)\.env|config|settings|credential|secret|\.ya?ml|\
 CANDIDATE = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----|[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]|[ \t]+[\"']))?")
 #: What follows a cue where a value is assigned: the rest of the name, a sign, and the value.
 VALUE = re.compile(r"""[\w.-]{0,40}["'\]]{0,2}[ \t]{0,8}(?:=>|:=|={1,3}|:)[ \t]{0,8}(?i:(?:bearer|basic)[ \t]+)?(?:"(?P<double>[^"\n]+)"|'(?P<single>[^'\n]+)'|(?P<bare>(?:[^\s"'`<>,;&]|[,;&](?!\s|$|[\w.-]+[=:]))+))""")
-_WORD = re.compile("|".join(sorted(WORDS, key=lambda w: (-len(w), w))))
 
-FEATURES = ["length", "class_changes", "digit_share", "upper_share", "entropy", "repeats", "hex_only", "covered", "test_path", "config_path", "cue_before", "doubt_near", "assigned", "quoted"]
+FEATURES = ["length", "class_changes", "digit_share", "upper_share", "entropy", "repeats", "hex_only", "covered", "transitions", "test_path", "config_path", "cue_before", "doubt_near", "assigned", "quoted"]
+
+
+class Lexicon:
+    """Dictionary words, and how often a letter follows another one in them."""
+
+    def __init__(self, words: Iterable[str]) -> None:
+        self.words = frozenset(words)
+        self.least, self.most = min(map(len, self.words), default=1), max(map(len, self.words), default=0)
+        pairs = np.full((26, 26), 0.5)
+        for w in sorted(self.words):
+            codes = [ord(c) - 97 for c in w if "a" <= c <= "z"]
+            for a, b in zip(codes, codes[1:], strict=False):
+                pairs[a, b] += 1
+        self.pairs = np.log2(pairs / pairs.sum(axis=1, keepdims=True))
+
+    def covered(self, x: str) -> float:
+        """The share of x, in lower case, that words cover from left to right, the longest first."""
+        at, n, found = 0, len(x), 0
+        while at < n:
+            size = next((k for k in range(min(self.most, n - at), self.least - 1, -1) if x[at : at + k] in self.words), 0)
+            found += size
+            at += size or 1
+        return found / n if n else 0.0
+
+    def transitions(self, x: str) -> float:
+        """The mean logarithm of the chances of a letter behind another one; without a pair of
+        letters that of a random letter."""
+        codes = [ord(c) - 97 if "a" <= c <= "z" else -1 for c in x]
+        logs = [self.pairs[a, b] for a, b in zip(codes, codes[1:], strict=False) if a >= 0 and b >= 0]
+        return float(np.mean(logs)) if logs else -float(np.log2(26))
+
+
+#: The words above by themselves.
+SMALL = Lexicon(WORDS)
+
+
+def lexicon(path: str, least: int = 4) -> Lexicon:
+    """The whole words of ``least`` letters or more in the vocabulary of a public tokenizer's file, and WORDS."""
+    with open(path, encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    whole = (w.removesuffix("</w>") for w in vocabulary if w.endswith("</w>"))
+    return Lexicon([*WORDS, *(w for w in whole if len(w) >= least and w.isascii() and w.isalpha() and w.islower())])
 
 
 @dataclass(frozen=True)
@@ -61,10 +104,8 @@ def values(text: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans that may be secrets, in order: 16 or more key characters with a digit and a letter, a
-    key's header, and the values beside a cue and an assignment.  Such a value stands for the runs
-    inside it, unless it has spaces."""
+def _candidates(text: str) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
+    """Spans that look like secrets, and other runs of key characters outside of them."""
     assigned = values(text)
     whole = [(a, b) for a, b in assigned if not any(c.isspace() for c in text[a:b])]
     outer, at = [], 0
@@ -73,25 +114,38 @@ def candidates(text: str) -> list[tuple[int, int]]:
             outer.pop()
         if not outer or b > outer[-1][1]:
             outer.append((a, b))
-    out = set(assigned)
+    out, other = set(assigned), set()
     for m in CANDIDATE.finditer(text):
         x = m[0]
-        if x[0] == "-" and x.startswith("-----BEGIN") or any(c.isdigit() for c in x) and any(c.isalpha() for c in x):
-            while at < len(outer) and outer[at][1] < m.end():
-                at += 1
-            if at == len(outer) or outer[at][0] > m.start():
-                out.add(m.span())
-    return sorted(out)
+        while at < len(outer) and outer[at][1] < m.end():
+            at += 1
+        if at == len(outer) or outer[at][0] > m.start():
+            sure = x[0] == "-" and x.startswith("-----BEGIN") or any(c.isdigit() for c in x) and any(c.isalpha() for c in x)
+            (out if sure else other).add(m.span())
+    return out, other - out
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans that may be secrets, in order: 16 or more key characters with a digit and a letter, a
+    key's header, and the values beside a cue and an assignment.  Such a value stands for the runs
+    inside it, unless it has spaces."""
+    return sorted(_candidates(text)[0])
+
+
+def every_candidate(text: str) -> list[tuple[int, int]]:
+    """``candidates`` and all other runs of 16 or more key characters: numbers, words, rules."""
+    return sorted(set.union(*_candidates(text)))
 
 
-def features(text: str, start: int, end: int, path: str) -> list[float]:
+def features(text: str, start: int, end: int, path: str, words: Lexicon = SMALL) -> list[float]:
     x, n = text[start:end], end - start
+    low = x.lower()
     kind = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in x]
     shares = [x.count(c) / n for c in set(x)]
     before, after = text[max(0, start - 40) : start], text[end : end + 24]
     return [
         float(n), sum(a != b for a, b in zip(kind, kind[1:], strict=False)) / n, kind.count("d") / n, kind.count("u") / n, -sum(s * float(np.log2(s)) for s in shares),
-        sum(a == b for a, b in zip(x, x[1:], strict=False)) / n, float(all(c in string.hexdigits for c in x)), sum(len(m) for m in _WORD.findall(x.lower())) / n,
+        sum(a == b for a, b in zip(x, x[1:], strict=False)) / n, float(all(c in string.hexdigits for c in x)), words.covered(low), words.transitions(low),
         float(bool(TEST_PATH.search(path))), float(bool(CONFIG_PATH.search(path))), float(bool(CUES.search(before)) or x.startswith("-----BEGIN")), float(bool(DOUBTS.search(before + x + after))),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before[-1:] in "\"'" and before[-1:] == after[:1] and before != ""),
     ]
@@ -133,9 +187,9 @@ def _best_split(x: np.ndarray, y: np.ndarray, chosen: np.ndarray) -> tuple[int,
     return best[1]
 
 
-def train_forest(findings: list[Finding], trees: int = 40, depth: int = 10, seed: int = 11) -> Forest:
+def train_forest(findings: list[Finding], trees: int = 40, depth: int = 10, seed: int = 11, words: Lexicon = SMALL) -> Forest:
     """Trees over bootstrap samples, with a random root of the features tried at each split."""
-    x = np.array([features(f.text, f.start, f.end, f.path) for f in findings], float).reshape(-1, len(FEATURES))
+    x = np.array([features(f.text, f.start, f.end, f.path, words) for f in findings], float).reshape(-1, len(FEATURES))
     y = np.array([f.label for f in findings], float)
     rng = np.random.default_rng(seed)
     out = []
@@ -240,16 +294,43 @@ def made_values(n: int = 1500, seed: int = 5) -> list[Finding]:
     return out
 
 
-def scan(docs: DataFrame, findings: list[Finding] | None = None, threshold: float = 0.5) -> DataFrame:
+def made_runs(n: int = 1500, seed: int = 8) -> list[Finding]:
+    """Labelled runs in prose: numbers, long words and rules, now and then beside a cue, none of them
+    a secret, and keys of letters or digits alone where a value is assigned."""
+    rng = random.Random(seed)
+    pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    syllable = ["the", "an", "er", "tion", "in", "de", "ou", "es", "que", "lo", "ra", "mi", "st", "keit", "sch", "eau", "ment", "ly", "ing", "hat", "on", "re", "at"]
+    word = lambda k: "".join(rng.choice(syllable) for _ in range(k))
+    out = []
+    for i in range(n):
+        label = int(i % 6 == 0)
+        if label:
+            key = rng.choice([lambda: pick(string.ascii_letters, rng.randint(20, 48)), lambda: pick(string.digits, rng.randint(20, 40)), lambda: pick(string.ascii_lowercase, rng.randint(24, 40))])()
+            quote = rng.choice(['"', "'", ""])
+            head, tail = rng.choice(["token", "api_key", "secret", "password", "access_key"]) + rng.choice([" = ", "=", ": "]) + quote, quote
+        else:
+            key = rng.choice([
+                lambda: pick(string.digits, rng.randint(16, 24)), lambda: word(rng.randint(5, 9)).ljust(16, "n"), lambda: word(rng.randint(5, 9)).capitalize().ljust(16, "e"),
+                lambda: rng.choice("-_=+/") * rng.randint(16, 60), lambda: "-".join(word(rng.randint(1, 3)) for _ in range(rng.randint(3, 6))).ljust(16, "s"), lambda: "/".join(word(rng.randint(1, 3)) for _ in range(rng.randint(3, 6))).ljust(16, "s"),
+            ])()
+            head, tail = rng.choice(["", "", "", "", "(", "no. ", "token ", '"', "the key "]), rng.choice(["", "", ".", ",", ")"])
+        left = " ".join(word(rng.randint(1, 3)) for _ in range(rng.randint(0, 5))) + rng.choice([" ", "\n"])
+        start = len(left + head)
+        path = rng.choice(["", "src1", "docs/a.md", "app/main.py", "config/settings.yml"])
+        out.append(Finding(left + head + key + tail + rng.choice([" ", "\n"]) + word(2), start, start + len(key), path, label))
+    return out
+
+
+def scan(docs: DataFrame, findings: list[Finding] | None = None, threshold: float = 0.5, words: Lexicon = SMALL) -> DataFrame:
     """(doc_id, start, end, secret, score, is_secret), a row for each candidate of docs(doc_id, text,
     source, ...): offsets in code points, score the forest's share of class 1.
 
-    ``source`` is taken as the path, null as ''.  Without candidates a row gives none: so does a
+    ``source`` is taken as the path, null as ''.  ``words`` is the dictionary.  Without candidates a row gives none: so does a
     null or empty text.  Repeated rows repeat their findings; a null doc_id stays null.  An empty
     table gives an empty result; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    forest = train_forest(made_findings() + made_values() if findings is None else findings)
+    forest = train_forest(made_findings() + made_values() + made_runs() if findings is None else findings, words=words)
     names = ["doc_id", "start", "end", "secret", "score", "is_secret"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,13 +338,14 @@ def scan(docs: DataFrame, findings: list[Finding] | None = None, threshold: floa
             rows, x = [], []
             for doc, text, path in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 text = text.as_py()
-                for start, end in candidates(text):
+                for start, end in every_candidate(text):
                     rows.append((doc, start, end, text[start:end]))
-                    x.append(features(text, start, end, path))
+                    x.append(features(text, start, end, path, words))
             p = forest.predict(np.array(x, float).reshape(-1, len(FEATURES)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)), pa.array(p), pa.array(p >= threshold)], names)
 
+    docs = parts(docs, "doc_id", "text", "source")
     path = F.coalesce(F.col("source").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"), path.alias("path"))
     return rows.mapInArrow(run, "doc_id long, start long, end long, secret string, score double, is_secret boolean")
