@@ -146,6 +146,34 @@ def conflicts(n: Column, edges: Column) -> Column:
     return F.when(F.size(edges) > 0, F.sort_array(F.concat(by_vertex, ends, by_edge))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
 
 
+def neighbours(v: Column, edges: Column) -> Column:
+    """Sorted array of the vertices joined to v."""
+    mine = F.filter(edges, lambda e: (e["u"] == v) | (e["v"] == v))
+    return F.array_sort(F.transform(mine, lambda e: F.when(e["u"] == v, e["v"]).otherwise(e["u"])))
+
+
+def has_edge(a: Column, b: Column, edges: Column) -> Column:
+    """Whether a and b, in either order, are joined."""
+    return F.exists(edges, lambda e: (e["u"] == F.least(a, b)) & (e["v"] == F.greatest(a, b)))
+
+
+def incident_edges(v: Column, edges: Column) -> Column:
+    """Indices of the edges at v, in order."""
+    at = F.transform(edges, lambda e, i: F.when((e["u"] == v) | (e["v"] == v), i))
+    return F.filter(at, lambda i: i.isNotNull())
+
+
+def faults(n: Column, edges: Column) -> Column:
+    """Array of what keeps (n, edges) from being a canonical simple graph: loop, orientation, range,
+    repeated, order; empty if nothing does."""
+    when = lambda test, name: F.when(test, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    both = F.transform(edges, lambda e: F.struct(F.least(e["u"], e["v"]).alias("u"), F.greatest(e["u"], e["v"]).alias("v")))
+    return F.concat(
+        when(F.exists(edges, lambda e: e["u"] == e["v"]), "loop"), when(F.exists(edges, lambda e: e["u"] > e["v"]), "orientation"),
+        when((n < 0) | F.exists(edges, lambda e: (F.least(e["u"], e["v"]) < 0) | (F.greatest(e["u"], e["v"]) >= n)), "range"),
+        when(F.size(F.array_distinct(both)) != F.size(edges), "repeated"), when(F.sort_array(edges) != edges, "order"))
+
+
 def line_conflicts(edges: Column) -> Column:
     """Pairs i < j of edges that share an end."""
     at = F.sequence(F.lit(0), F.size(edges) - 1)

@@ -6,6 +6,8 @@ import re
 from collections.abc import Iterator
 from itertools import islice
 
+from .text import VERSION
+
 MOST = 100
 # Types and the words that are understood.
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -14,7 +16,7 @@ WORDS = {
     "minimum", "maximum", "minLength", "maxLength", "pattern", "format", "anyOf", "oneOf", "allOf", "not",
 }
 FORMATS = {
-    "sha256": r"[0-9a-f]{64}", "date-time": r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z", "semver": r"(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(-[0-9A-Za-z.-]+)?", "uri": r"https://[^\s]+",
+    "sha256": r"[0-9a-f]{64}", "date-time": r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z", "semver": VERSION, "uri": r"https://[^\s]+",
 }
 
 

@@ -6,10 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The languages accepted.
-SEMVER = r"^(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)(?:-((?:0|[1-9][0-9]*|[0-9]*[A-Za-z-][0-9A-Za-z-]*)(?:\.(?:0|[1-9][0-9]*|[0-9]*[A-Za-z-][0-9A-Za-z-]*))*))?$"
+NUMBER = r"(?:0|[1-9][0-9]*)"
+WORD = rf"(?:{NUMBER}|[0-9]*[A-Za-z-][0-9A-Za-z-]*)"
+#: Major, minor, patch and the prerelease; both engines of regular expressions read it.
+VERSION = rf"({NUMBER})\.({NUMBER})\.({NUMBER})(?:-({WORD}(?:\.{WORD})*))?"
+#: Java ends a line before a final newline, so a text's end is \z.
+SEMVER = rf"^{VERSION}\z"
 HOST = r"(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
-HTTPS = rf"^https://{HOST}(?:/(?!\.{{1,2}}(?:/|$))[A-Za-z0-9._~!$&'()*+,;=:@-]+)+$"
-UTC = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$"
+HTTPS = rf"^https://{HOST}(?:/(?!\.{{1,2}}(?:/|\z))[A-Za-z0-9._~!$&'()*+,;=:@-]+)+\z"
+UTC = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z\z"
 
 
 def semver_key(version: Column) -> Column:
@@ -20,7 +25,7 @@ def semver_key(version: Column) -> Column:
     """
     number = lambda x: F.struct(F.length(x).alias("n"), x.alias("t"))
     part = lambda i: F.regexp_extract(version, SEMVER, i)
-    identifier = lambda x: F.struct((~x.rlike("^[0-9]+$")).alias("word"), F.when(x.rlike("^[0-9]+$"), F.length(x)).otherwise(0).alias("n"), x.alias("t"))
+    identifier = lambda x: F.struct((~x.rlike(r"^[0-9]+\z")).alias("word"), F.when(x.rlike(r"^[0-9]+\z"), F.length(x)).otherwise(0).alias("n"), x.alias("t"))
     pre = part(4)
     none = F.array().cast("array<struct<word:boolean,n:int,t:string>>")
     found = F.when(pre == "", none).otherwise(F.transform(F.split(pre, r"\."), identifier))
@@ -39,10 +44,10 @@ def is_canonical_utc(text: Column) -> Column:
 
 
 def is_sha256(text: Column) -> Column:
-    return F.coalesce(text.rlike("^[0-9a-f]{64}$"), F.lit(False))
+    return F.coalesce(text.rlike(r"^[0-9a-f]{64}\z"), F.lit(False))
 
 
 def is_safe_path(path: Column) -> Column:
-    """A relative path of plain parts."""
+    """A relative path of plain parts without control characters."""
     parts = F.split(path, "/")
-    return F.coalesce((path != "") & ~path.contains("\\") & F.forall(parts, lambda x: ~x.isin("", ".", "..")), F.lit(False))
+    return F.coalesce((path != "") & ~path.rlike(r"[\\\x00-\x1f]") & F.forall(parts, lambda x: ~x.isin("", ".", "..")), F.lit(False))

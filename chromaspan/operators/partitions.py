@@ -9,20 +9,30 @@ from ..functions import graphs as G
 from ..functions.graphs import shift_left
 
 
-def profile(rows: DataFrame) -> DataFrame:
+def profile(rows: DataFrame, order: int | None = None) -> DataFrame:
     """graphs -> graphs with d (maximum degree + 1), pairs and singles of an equitable partition,
-    and outcome: '' or the first reason to skip the graph."""
+    and outcome: '' or the first reason not to take the graph: it hasn't the order that a generator
+    was asked for (an error), or lies outside the domain (skipped)."""
     top = F.array_max(G.degrees(F.col("n"), F.col("edges")))
     rows = rows.withColumn("d", top + 1)
     outcome = F.when(2 * (F.col("d") - 1) < F.col("n"), "outside_high_degree_filter").when((F.col("d") > F.col("n")) | (F.col("n") > 2 * F.col("d")), "outside_auxiliary_regime").otherwise("")
+    if order is not None:
+        outcome = F.when(F.col("n") != order, "generator_order_mismatch").otherwise(outcome)
     return rows.withColumn("outcome", outcome).withColumn("pairs", F.col("n") - F.col("d")).withColumn("singles", 2 * F.col("d") - F.col("n"))
 
 
-def matchings(rows: DataFrame, size: str, most: int) -> DataFrame:
+def matchings(rows: DataFrame, size: str, most: int | None = None) -> DataFrame:
     """rows(graph_id, n, edges, size, ...) -> a row for each matching of ``size`` complement edges,
-    with idx, their indices in order.  ``most`` bounds size; rounds add an edge behind the last one
-    to rows that still need one, on arrays, without a shuffle."""
-    rows = rows.withColumn("free", G.complement(F.col("n"), F.col("edges"))).withColumn("idx", F.array().cast("array<int>")).withColumn("used", F.lit(0).cast("long"))
+    with idx, their indices in order.  Rounds add an edge behind the last one to rows that still need
+    one, on arrays, without a shuffle.
+
+    ``most`` bounds size, and so the rounds; a row that needs more raises an error rather than
+    go without matchings.  Without it the bound is taken from the rows."""
+    if most is None:
+        most = rows.agg(F.max(size)).first()[0] or 0  # one number
+    none = F.array().cast("array<int>")
+    more = F.raise_error(F.concat(F.lit("a graph needs "), F.col(size).cast("string"), F.lit(f" pairs, more than the {most} allowed")))
+    rows = rows.withColumn("free", G.complement(F.col("n"), F.col("edges"))).withColumn("idx", F.when(F.col(size) > most, more.cast("array<int>")).otherwise(none)).withColumn("used", F.lit(0).cast("long"))
 
     def add() -> Column:
         def fits(i: Column) -> Column:
@@ -42,7 +52,7 @@ def matchings(rows: DataFrame, size: str, most: int) -> DataFrame:
     return rows.where(F.size("idx") == F.col(size)).drop("used")
 
 
-def partitions(rows: DataFrame, most: int) -> DataFrame:
+def partitions(rows: DataFrame, most: int | None = None) -> DataFrame:
     """Eligible graphs -> a row for each equitable partition, in the order of its pairs:
     partition_index, pair_edges, single_vertices."""
     eligible = profile(rows).where("outcome = ''")

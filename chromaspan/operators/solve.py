@@ -32,7 +32,7 @@ def _pairs(column: pa.ListArray) -> Iterator[list[tuple[int, int]]]:
         end += n
 
 
-def solve(problems: DataFrame, backend: str | None = None, max_nodes: int | None = None) -> DataFrame:
+def solve(problems: DataFrame, backend: str | None = None, max_nodes: int | None = None, max_seconds: float | None = None) -> DataFrame:
     """problems(..., items int, colours int, conflicts array<struct<i,j>>, fixed array<struct<item,color>>)
     -> its other columns and (status, assignment, nodes, backtracks).
 
@@ -51,7 +51,7 @@ def solve(problems: DataFrame, backend: str | None = None, max_nodes: int | None
             out = []
             kinds = b.column(at["backend"]).to_pylist() if backend is None else [backend] * b.num_rows
             for kind, items, colours, pairs, fixed in zip(kinds, b.column(at["items"]).to_pylist(), b.column(at["colours"]).to_pylist(), _pairs(b.column(at["conflicts"])), _pairs(b.column(at["fixed"])), strict=True):
-                out.append(BACKENDS[kind](items, colours, pairs, fixed, max_nodes))
+                out.append(BACKENDS[kind](items, colours, pairs, fixed, max_nodes, max_seconds))
             kind = [pa.string(), pa.list_(pa.int32()), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([*(b.column(at[c]) for c in names), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kind))], [*names, *(n for n, _ in RESULT)])
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from collections.abc import Sequence
 
 
-def search(items: int, colours: int, conflicts: Sequence[tuple[int, int]], fixed: Sequence[tuple[int, int]] = (), max_nodes: int | None = None) -> tuple[str, list[int] | None, int, int]:
+def search(items: int, colours: int, conflicts: Sequence[tuple[int, int]], fixed: Sequence[tuple[int, int]] = (), max_nodes: int | None = None, max_seconds: float | None = None) -> tuple[str, list[int] | None, int, int]:
     """(status, colours by item or None, nodes, backtracks).  A node is a level entered anew, a
     backtrack a level left for good; without open items there is one node."""
     around = [0] * items
@@ -24,8 +26,9 @@ def search(items: int, colours: int, conflicts: Sequence[tuple[int, int]], fixed
         return "witness", [given[i] for i in range(items)], 1, 0
     chosen: list[int] = []
     nodes, backtracks, start, entering = 0, 0, 0, True
+    end = None if max_seconds is None else time.monotonic() + max_seconds
     while True:
-        if max_nodes is not None and nodes >= max_nodes:
+        if max_nodes is not None and nodes >= max_nodes or end is not None and time.monotonic() >= end:
             return "unknown", None, nodes, backtracks
         item = order[len(chosen)]
         nodes += entering

@@ -8,10 +8,12 @@ use and the first unused one.
 
 from __future__ import annotations
 
+import time
 
-def search(items: int, colours: int, conflicts: list[tuple[int, int]], fixed: list[tuple[int, int]] = (), max_nodes: int | None = None) -> tuple[str, list[int] | None, int, int]:
+
+def search(items: int, colours: int, conflicts: list[tuple[int, int]], fixed: list[tuple[int, int]] = (), max_nodes: int | None = None, max_seconds: float | None = None) -> tuple[str, list[int] | None, int, int]:
     """(status, colours by item or None, nodes, backtracks); the status is witness, candidate_unsat
-    or unknown (node limit reached)."""
+    or unknown (a limit on nodes or seconds was reached)."""
     near: list[set[int]] = [set() for _ in range(items)]
     for i, j in conflicts:
         near[i].add(j)
@@ -50,8 +52,9 @@ def search(items: int, colours: int, conflicts: list[tuple[int, int]], fixed: li
 
     nodes = backtracks = 0
     trail: list[tuple[int, list[int]]] = []
+    end = None if max_seconds is None else time.monotonic() + max_seconds
     while True:
-        if max_nodes is not None and nodes >= max_nodes:
+        if max_nodes is not None and nodes >= max_nodes or end is not None and time.monotonic() >= end:
             return "unknown", None, nodes, backtracks
         nodes += 1
         open_items = [i for i in range(items) if colour[i] < 0]

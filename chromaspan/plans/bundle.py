@@ -12,8 +12,10 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import VERSION
+
 SUMS = "SHA256SUMS"
-SEMVER = re.compile(r"(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(?:-((?:0|[1-9]\d*|\d*[A-Za-z-][0-9A-Za-z-]*)(?:\.(?:0|[1-9]\d*|\d*[A-Za-z-][0-9A-Za-z-]*))*))?", re.ASCII)
+SEMVER = re.compile(VERSION)
 
 
 class BundleError(ValueError):
@@ -21,7 +23,7 @@ class BundleError(ValueError):
 
 
 def _safe(name: str) -> bool:
-    return bool(name) and "\\" not in name and all(p not in ("", ".", "..") for p in name.split("/"))
+    return bool(name) and not any(c == "\\" or ord(c) < 32 for c in name) and all(p not in ("", ".", "..") for p in name.split("/"))
 
 
 def archive(files: dict[str, bytes]) -> bytes:

@@ -7,67 +7,108 @@ from pyspark.sql import functions as F
 
 from ..operators import partitions as P
 from ..operators import verify as V
-from ..operators.solve import solve, spread
+from ..operators.search import searched, solved
+from ..operators.solve import spread
 
 #: The checks of a universal census, (backend, palette offset).
 CHECKS = [("dsatur-iterative-v1", 1), ("static-order-iterative-v1", 1), ("dsatur-iterative-v1", 2)]
 STATUSES = ["verified_all", "candidate_unsat", "unknown", "error", "skipped"]
 
 
-def checks(rows: DataFrame, most: int, wanted: list[tuple[str, int]] = CHECKS, max_nodes: int | None = None) -> DataFrame:
-    """graphs -> (graph_id, partition_index, backend, palette_offset, color_count, status, nodes,
-    backtracks, ...) for each partition and check.
-
-    A witness counts only if the colouring of the auxiliary graph and the total colouring that it
-    gives are both found proper by verifiers that know nothing of the solvers; otherwise the status
-    is error.
-    """
-    aux = P.auxiliary(spread(P.partitions(rows, most), "graph_id", "partition_index"))
-    spec = F.explode(F.array(*[F.struct(F.lit(b).alias("backend"), F.lit(o).alias("palette_offset")) for b, o in wanted]))
-    aux = aux.withColumn("spec", spec).withColumn("backend", F.col("spec.backend")).withColumn("palette_offset", F.col("spec.palette_offset")).drop("spec")
-    solved = solve(P.problem(aux, F.col("palette_offset")), max_nodes=max_nodes)
+def _judged(rows: DataFrame) -> DataFrame:
+    """Solved auxiliary rows with color_count -> the same with total and status: a witness counts only
+    if the colouring of the auxiliary graph and the total colouring that it gives are both found
+    proper by verifiers that know nothing of the solvers; otherwise the status is error."""
     colors = F.col("assignment")
-    good_h = V.is_rainbow(F.col("h_edges"), colors, F.col("d") + F.col("palette_offset"), F.col("marked"))
+    good_h = V.is_rainbow(F.col("h_edges"), colors, F.col("color_count"), F.col("marked"))
     total = V.project_to_total(F.col("n"), F.col("edges"), F.col("h_edges"), F.col("pair_edges"), colors)
-    solved = solved.withColumn("total", F.when(F.col("status") == "witness", total))
+    rows = rows.withColumn("total", F.when(F.col("status") == "witness", total))
     good_g = V.is_total(F.col("n"), F.col("edges"), F.col("total.vertex_colors"), F.col("total.edge_colors"))
     sound = F.when(F.col("status") != "witness", True).otherwise(F.coalesce(good_h & good_g, F.lit(False)))
-    return solved.withColumn("status", F.when(sound, F.col("status")).otherwise("error")).withColumn("color_count", (F.col("d") + F.col("palette_offset")).cast("int"))
+    return rows.withColumn("status", F.when(sound, F.col("status")).otherwise("error"))
 
 
-def _ladder(disagree: Column) -> Column:
-    has = lambda s: F.bool_or(F.col("status") == s)
-    return F.when(F.bool_or(disagree) | has("error"), "error").when(has("unknown"), "unknown").when(has("candidate_unsat"), "candidate_unsat").otherwise("verified_all")
+def checks(rows: DataFrame, most: int | None = None, wanted: list[tuple[str, int]] = CHECKS, max_nodes: int | None = None, max_seconds: float | None = None) -> DataFrame:
+    """graphs -> (graph_id, partition_index, backend, palette_offset, color_count, status, nodes,
+    backtracks, ...) for each partition and check, witnesses verified."""
+    aux = P.auxiliary(spread(P.partitions(rows, most), "graph_id", "partition_index"))
+    return _judged(solved(aux, wanted, max_nodes, max_seconds))
 
 
-def universal(rows: DataFrame, most: int, wanted: list[tuple[str, int]] = CHECKS, max_nodes: int | None = None) -> DataFrame:
-    """(graph_id, status, outcome_code, partitions, checks, witnesses) for every graph: skipped, or by
-    the order error (also where offset-1 checks of a partition disagree), unknown, candidate_unsat,
-    verified_all."""
+def verdict(outcome: Column, started: Column, differ: Column, broke: Column, unknown: Column, failed: Column) -> tuple[Column, Column]:
+    """(status, outcome_code) of a graph: outside the domain it's skipped; no check at all, checks of
+    offset 1 that disagree on a partition, and refuted claims are errors; then unknown,
+    candidate_unsat, verified_all."""
+    cases = [
+        (outcome == "generator_order_mismatch", "error", outcome), (outcome != "", "skipped", outcome), (~started, "error", F.lit("empty_check_transcript")), (differ, "error", F.lit("backend_status_disagreement")),
+        (broke, "error", F.lit("partition_check_error")), (unknown, "unknown", F.lit("incomplete_partition_check")), (failed, "candidate_unsat", F.lit("candidate_partition_nonextension")),
+    ]
+    status, code = F.when(cases[0][0], cases[0][1]), F.when(cases[0][0], cases[0][2])
+    for test, name, text in cases[1:]:
+        status, code = status.when(test, name), code.when(test, text)
+    return status.otherwise("verified_all"), code.otherwise("verified_all_partitions")
+
+
+def universal(rows: DataFrame, most: int | None = None, wanted: list[tuple[str, int]] = CHECKS, max_nodes: int | None = None, order: int | None = None) -> DataFrame:
+    """(graph_id, status, outcome_code, partitions, checks, witnesses) for every graph, by ``verdict``."""
     one = F.when(F.col("palette_offset") == 1, F.col("status"))
+    n = lambda s: F.count_if(F.col("status") == s)
     by_part = checks(rows, most, wanted, max_nodes).groupBy("graph_id", "partition_index").agg(
-        F.min(one).alias("a"), F.max(one).alias("b"), F.collect_list("status").alias("s"))
-    flat = by_part.select("graph_id", "partition_index", (F.coalesce(F.col("a") != F.col("b"), F.lit(False))).alias("differ"), F.explode("s").alias("status"))
-    done = flat.groupBy("graph_id").agg(
-        _ladder(F.col("differ")).alias("found"), F.bool_or("differ").alias("differ"), F.bool_or(F.col("status") == "error").alias("broke"), F.count_distinct("partition_index").alias("partitions"),
-        F.count("*").alias("checks"), F.count_if(F.col("status") == "witness").alias("witnesses"))
-    every = P.profile(rows).select("graph_id", "outcome").join(done, "graph_id", "left")
-    code = {"unknown": "incomplete_partition_check", "candidate_unsat": "candidate_partition_nonextension", "verified_all": "verified_all_partitions"}
-    outcome = F.when(F.col("outcome") != "", F.col("outcome")).when(F.col("differ"), "backend_status_disagreement").when(F.col("broke"), "partition_check_error").when(F.col("found").isNull(), "empty_check_transcript")
-    for status, text in code.items():
-        outcome = outcome.when(F.col("found") == status, text)
-    status = F.when(F.col("outcome") != "", "skipped").otherwise(F.coalesce("found", F.lit("error")))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return every.select("graph_id", status.alias("status"), outcome.alias("outcome_code"), zero("partitions"), zero("checks"), zero("witnesses"))
+        F.coalesce(F.min(one) != F.max(one), F.lit(False)).alias("differ"), F.count("*").alias("checks"), n("witness").alias("witnesses"), n("error").alias("errors"), n("unknown").alias("unknown"), n("candidate_unsat").alias("failures"))
+    done = by_part.groupBy("graph_id").agg(
+        F.bool_or("differ").alias("differ"), F.count("*").alias("partitions"), *[F.sum(c).alias(c) for c in ("checks", "witnesses", "errors", "unknown", "failures")])
+    every = P.profile(rows, order).select("graph_id", "outcome").join(done, "graph_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    status, code = verdict(F.col("outcome"), zero("partitions") > 0, F.coalesce("differ", F.lit(False)), zero("errors") > 0, zero("unknown") > 0, zero("failures") > 0)
+    return every.select("graph_id", status.alias("status"), code.alias("outcome_code"), *[zero(c).alias(c) for c in ("partitions", "checks", "witnesses")])
+
+
+def _started(rows: DataFrame, offset: int, backend: str, stop_at: str, **limits) -> DataFrame:
+    """Verified rows of the partitions that a search started, one graph a row of the shuffle."""
+    eligible = spread(P.profile(rows).where("outcome = ''").select("graph_id", "n", "edges", "d", "pairs"), "graph_id")
+    found = searched(eligible, offset, backend, stop_at, **limits).withColumn("color_count", (F.col("d") + offset).cast("int"))
+    return _judged(P.auxiliary(found))
+
+
+def _outcome(rows: DataFrame, found: DataFrame, status: Column) -> DataFrame:
+    n = lambda s: F.count_if(F.col("status") == s)
+    by_graph = found.groupBy("graph_id").agg(
+        F.count_if(F.col("partition_index") >= 0).alias("started"), n("witness").alias("witnesses"), n("candidate_unsat").alias("failures"), n("unknown").alias("unknown"), n("truncated").alias("truncated"), n("error").alias("errors"),
+        F.min(F.when(F.col("status") == "witness", F.col("partition_index"))).alias("first_partition"), F.max_by(F.struct("pair_edges", "single_vertices", "assignment", "total"), F.when(F.col("status") == "witness", -F.col("partition_index"))).alias("witness"))
+    out = P.profile(rows).select("graph_id", "outcome").join(by_graph, "graph_id", "left")
+    return out.select("graph_id", F.when(F.col("outcome") != "", "skipped").otherwise(status).alias("status"), "first_partition", F.coalesce("started", F.lit(0)).alias("started"), F.coalesce("witnesses", F.lit(0)).alias("witnesses"), F.coalesce("failures", F.lit(0)).alias("failures"), F.coalesce("unknown", F.lit(0)).alias("unknown"), (F.coalesce("truncated", F.lit(0)) > 0).alias("truncated"), "witness")
+
+
+def search(rows: DataFrame, offset: int = 2, backend: str = "dsatur-iterative-v1", max_partitions: int | None = None, max_nodes: int | None = None, max_seconds: float | None = None) -> DataFrame:
+    """(graph_id, status, first_partition, started, witnesses, failures, unknown, truncated, witness)
+    for every graph: the search ends at the first partition that extends.
+
+    witness: that one's pairs, singles, auxiliary colouring and total colouring.  Without one the
+    status is error if a claim was refuted or no partition was there to start, unknown if a
+    partition or the list of them was cut short, and only then candidate_unsat.  Skipped graphs
+    have none."""
+    found = _started(rows, offset, backend, "witness", max_partitions=max_partitions, max_nodes=max_nodes, max_seconds=max_seconds)
+    none = F.coalesce("started", F.lit(0)) == 0
+    status = F.when(F.col("errors") > 0, "error").when(F.col("witnesses") > 0, "witness").when(F.col("truncated") + F.col("unknown") > 0, "unknown").when(none, "error").otherwise("candidate_unsat")
+    return _outcome(rows, found, status)
+
+
+def check_all(rows: DataFrame, offset: int = 2, backend: str = "dsatur-iterative-v1", max_partitions: int | None = None, max_nodes: int | None = None, max_seconds: float | None = None) -> DataFrame:
+    """The columns of ``search`` where every partition must extend: it ends at the first that doesn't,
+    and the status is witness only if all were started and verified."""
+    found = _started(rows, offset, backend, "candidate_unsat", max_partitions=max_partitions, max_nodes=max_nodes, max_seconds=max_seconds)
+    none = F.coalesce("started", F.lit(0)) == 0
+    status = F.when(F.col("errors") > 0, "error").when(F.col("failures") > 0, "candidate_unsat").when(F.col("truncated") + F.col("unknown") > 0, "unknown").when(none, "error").otherwise("witness")
+    return _outcome(rows, found, status)
 
 
-def existential(rows: DataFrame, most: int, offset: int = 2, backend: str = "dsatur-iterative-v1", max_nodes: int | None = None) -> DataFrame:
-    """(graph_id, status, first_partition) for every graph: witness with the first partition that
-    extends, else unknown if any partition is, else candidate_unsat; skipped graphs have none."""
-    found = checks(rows, most, [(backend, offset)], max_nodes).groupBy("graph_id").agg(
-        F.min(F.when(F.col("status") == "witness", F.col("partition_index"))).alias("first_partition"), F.bool_or(F.col("status") == "error").alias("broke"), F.bool_or(F.col("status") == "unknown").alias("open"))
-    status = F.when(F.col("outcome") != "", "skipped").when(F.col("first_partition").isNotNull(), "witness").when(F.col("broke"), "error").when(F.col("open"), "unknown").otherwise("candidate_unsat")
-    return P.profile(rows).select("graph_id", "outcome").join(found, "graph_id", "left").select("graph_id", status.alias("status"), "first_partition")
+def existential(rows: DataFrame, most: int | None = None, offset: int = 2, backend: str = "dsatur-iterative-v1", max_nodes: int | None = None) -> DataFrame:
+    """(graph_id, status, first_partition) of ``search``; a graph that needs more than ``most`` pairs
+    raises an error."""
+    if most is not None:
+        short = F.raise_error(F.concat(F.lit("a graph needs "), (F.col("n") - F.col("d")).cast("string"), F.lit(f" pairs, more than the {most} allowed")))
+        rows = P.profile(rows).withColumn("n", F.when((F.col("outcome") == "") & (F.col("pairs") > most), short.cast("int")).otherwise(F.col("n"))).select("graph_id", "n", "edges")
+    return search(rows, offset, backend, max_nodes=max_nodes).select("graph_id", "status", "first_partition")
 
 
 def status_counts(census: DataFrame, names: list[str] = STATUSES) -> DataFrame:
