@@ -31,11 +31,15 @@ def windowed_counts(stream: DataFrame, late: str = "1 hour", width: str = "10 mi
 
 
 def drain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs edge_counts over the events table as a stream until it's used up; the table written last
-    has every graph's latest count."""
+    """Runs edge_counts over the events table as a stream until it's used up.  Each batch writes the
+    graphs whose count it changed, and a graph's latest count is that of its last batch."""
     source = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(source).schema
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="chromaspan-stream-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="chromaspan-stream-")
     folder = f"{folder.rstrip('/')}/stream-{uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(source)
     whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
@@ -46,8 +50,7 @@ def drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    query = edge_counts(stream).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = edge_counts(stream).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     rows = spark.read.schema("graph_id long, edges long, batch long").parquet(f"{folder}/out")
-    last = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(last), "batch").select("graph_id", "edges")  # one row
+    return rows.groupBy("graph_id").agg(F.max_by("edges", "batch").alias("edges"))
