@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import graphs as G
-from .operators import cnf, partitions, verify
+from .operators import cnf, partitions, problems, verify
 from .operators.solve import solve, spread
 from .plans import census, completeness, dependency
 from .plans import counting
@@ -64,6 +64,36 @@ def matched(n: int) -> str:
     return ",\n".join(rounds) + f",\nparts AS (SELECT m.graph_id, m.idx, m.used, CAST(row_number() OVER (PARTITION BY m.graph_id ORDER BY m.idx) - 1 AS INTEGER) AS partition_index, p.d, p.pairs, p.singles FROM ({every}) m JOIN prof p ON p.graph_id = m.graph_id AND len(m.idx) = p.pairs)"
 
 
+def _matchings6() -> list[tuple[int, int]]:
+    """(edges, vertices) as masks of all matchings of six vertices; edge u < v has bit v (v - 1) / 2 + u."""
+    out, waiting = [], [(0, 0, 0)]
+    pairs = [(u, v) for v in range(6) for u in range(v)]
+    while waiting:
+        e, x, k = waiting.pop()
+        out.append((e, x))
+        waiting += [(e | 1 << i, x | 1 << u | 1 << v, i + 1) for i, (u, v) in enumerate(pairs) if i >= k and not x >> u & 1 and not x >> v & 1]
+    return sorted(out)
+
+
+#: CTEs mt(e, x), the matchings of six vertices, and av(x, e), the edges that no vertex of x is on.
+TABLES6 = f"""mt(e, x) AS (VALUES {', '.join(map(str, _matchings6()))}),
+av(x, e) AS (SELECT CAST(m.i AS INTEGER), CAST(coalesce(sum(1 << CAST(v.i * (v.i - 1) // 2 + u.i AS INTEGER)) FILTER (u.i < v.i AND (m.i >> u.i) & 1 = 0 AND (m.i >> v.i) & 1 = 0), 0) AS INTEGER) FROM range(64) m(i), range(6) u(i), range(6) v(i) GROUP BY m.i),
+masks AS (SELECT graph_id, CAST(sum(1 << CAST(v * (v - 1) // 2 + u AS INTEGER)) AS INTEGER) AS rem FROM edges GROUP BY graph_id)"""
+
+
+def extends6(name: str, source: str, offset: int) -> str:
+    """CTE name(graph_id, p, ok): whether the vertex classes of each row of source(graph_id, p, d, classes)
+    extend to a total colouring with d + offset colours.
+
+    A search by itself, colour by colour: a colour's edges are a matching off its class, without loss
+    a largest one among the edges left; states are the sets of edges left."""
+    steps = [f"{name}0 AS (SELECT s.graph_id, p, d + {offset} AS k, classes, rem FROM {source} s JOIN masks USING (graph_id))"]
+    for c in range(9):
+        steps.append(f"""{name}{c + 1} AS (SELECT DISTINCT graph_id, p, k, classes, rem & ~m.e AS rem FROM {name}{c} s JOIN mt m ON m.e & s.rem = m.e AND m.x & coalesce(classes[{c + 1}], 0) = 0 JOIN av ON av.x = m.x | coalesce(classes[{c + 1}], 0) AND av.e & s.rem = 0 WHERE {c} < k AND rem > 0
+  UNION SELECT * FROM {name}{c} WHERE {c} >= k OR rem = 0)""")
+    return ",\n".join([*steps, f"{name} AS (SELECT graph_id, p, bool_or(rem = 0) AS ok FROM {name}9 GROUP BY ALL)"])
+
+
 # --- graphs ---------------------------------------------------------------
 
 
@@ -112,6 +142,26 @@ def complement_edges(spark, sf):
     return graphs(spark, sf, 8, 8).select("graph_id", F.explode(G.complement(F.col("n"), F.col("edges"))).alias("e")).select("graph_id", "e.u", "e.v")
 
 
+RAW = "raw AS (SELECT l_orderkey // 8 AS graph_id, CAST(l_partkey % 8 AS INTEGER) AS u, CAST(l_suppkey % 8 AS INTEGER) AS v, row_number() OVER (PARTITION BY l_orderkey // 8 ORDER BY l_orderkey, l_linenumber) AS i FROM lineitem)"
+
+
+@query(f"""WITH {RAW}, near AS (SELECT *, lag(u) OVER w AS pu, lag(v) OVER w AS pv FROM raw WINDOW w AS (PARTITION BY graph_id ORDER BY i))
+SELECT graph_id, concat_ws(',', CASE WHEN bool_or(u = v) THEN 'loop' END, CASE WHEN bool_or(u > v) THEN 'orientation' END, CASE WHEN count(DISTINCT least(u, v) * 8 + greatest(u, v)) < count(*) THEN 'repeated' END, CASE WHEN bool_or(pu > u OR pu = u AND pv > v) THEN 'order' END) AS faults FROM near GROUP BY graph_id""")
+def graph_faults(spark, sf):
+    """What keeps the table's own pairs, in its order, from being canonical graphs."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.expr("l_orderkey div 8").alias("graph_id"), F.struct("l_orderkey", "l_linenumber", F.struct((F.col("l_partkey") % 8).cast("int").alias("u"), (F.col("l_suppkey") % 8).cast("int").alias("v")).alias("e")).alias("x"))
+    listed = rows.groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]).alias("edges"))
+    return listed.select("graph_id", F.array_join(G.faults(F.lit(8), F.col("edges")), ",").alias("faults"))
+
+
+@query(f"""WITH {P8}, arcs AS (SELECT graph_id, u AS a, v AS b, edge_index FROM edges UNION ALL SELECT graph_id, v, u, edge_index FROM edges)
+SELECT x.graph_id, x.v, coalesce(string_agg(b, ',' ORDER BY b), '') AS neighbours, coalesce(string_agg(edge_index, ',' ORDER BY edge_index), '') AS incident, coalesce(bool_or(b = 0), false) AS joins_0 FROM vertices x LEFT JOIN arcs ON arcs.graph_id = x.graph_id AND a = x.v GROUP BY ALL""")
+def vertex_neighbours(spark, sf):
+    text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    rows = graphs(spark, sf, 8, 8).select("graph_id", "edges", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("v"))
+    return rows.select("graph_id", "v", text(G.neighbours(F.col("v"), F.col("edges"))).alias("neighbours"), text(G.incident_edges(F.col("v"), F.col("edges"))).alias("incident"), G.has_edge(F.col("v"), F.lit(0), F.col("edges")).alias("joins_0"))
+
+
 @query(f"WITH {P8} SELECT graph_id, CAST(least((3 * u + 1) % 8, (3 * v + 1) % 8) AS INTEGER) AS u, CAST(greatest((3 * u + 1) % 8, (3 * v + 1) % 8) AS INTEGER) AS v FROM edges")
 def relabel_edges(spark, sf):
     permutation = F.lit([(3 * v + 1) % 8 for v in range(8)])
@@ -191,6 +241,39 @@ def cnf_dimacs_digest(spark, sf):
     return rows.select("graph_id", "problem_digest", F.sha2(cnf.dimacs(F.col("items"), F.col("colours"), F.col("cl"), F.col("problem_digest")), 256).alias("dimacs_sha256"))
 
 
+def _edge_digest(fixed: bool) -> str:
+    """SQL of edge problems with 12 colours and every third edge distinguished."""
+    pins = "coalesce((SELECT string_agg('[' || edge_index || ',' || r || ']', ',' ORDER BY edge_index) FROM marked m WHERE m.graph_id = g.graph_id), '')" if fixed else "''"
+    return f"""WITH {P6}, inc AS (SELECT graph_id, edge_index, u AS x FROM edges UNION ALL SELECT graph_id, edge_index, v FROM edges),
+marked AS (SELECT graph_id, edge_index, row_number() OVER (PARTITION BY graph_id ORDER BY edge_index) - 1 AS r FROM edges WHERE edge_index % 3 = 0),
+own AS (SELECT DISTINCT a.graph_id, a.edge_index AS i, b.edge_index AS j FROM inc a JOIN inc b ON a.graph_id = b.graph_id AND a.x = b.x AND a.edge_index < b.edge_index),
+every AS (SELECT * FROM own UNION SELECT a.graph_id, a.edge_index, b.edge_index FROM marked a JOIN marked b ON a.graph_id = b.graph_id AND a.edge_index < b.edge_index),
+g AS (SELECT graph_id, count(*) AS n, string_agg('"edge:' || u || '-' || v || '"', ',' ORDER BY edge_index) AS names FROM edges GROUP BY graph_id),
+pair AS (SELECT graph_id, coalesce((SELECT string_agg('[' || i || ',' || j || ']', ',' ORDER BY i, j) FROM every e WHERE e.graph_id = g.graph_id), '') AS a, coalesce((SELECT string_agg('[' || i || ',' || j || ']', ',' ORDER BY i, j) FROM own e WHERE e.graph_id = g.graph_id), '') AS b,
+  (SELECT CASE WHEN count(*) > 1 THEN '[' || string_agg(edge_index, ',' ORDER BY edge_index) || ']' ELSE '' END FROM marked m WHERE m.graph_id = g.graph_id) AS grp, {pins} AS pins FROM g),
+sem AS (SELECT graph_id, sha256('{{"color_count":12,"conflicts":[' || a || '],"fixed_colors":[' || pins || '],"item_count":' || n || ',"schema_version":1}}') AS h FROM g JOIN pair USING (graph_id))
+SELECT graph_id, h AS semantic_digest, sha256('{{"all_different":[' || grp || '],"explicit_conflicts":[' || b || '],"item_names":[' || names || '],"metadata":{{"kind":"rainbow_edge_coloring"}},"schema_version":1,"semantic_digest":"' || h || '"}}') AS representation_digest FROM g JOIN pair USING (graph_id) JOIN sem USING (graph_id)"""
+
+
+def _edge_problem(spark, sf, fix):
+    rows = graphs(spark, sf, 6, 4).withColumn("twelve", F.lit(12)).withColumn("some", F.filter("edges", lambda e, i: i % 3 == 0))
+    rows = problems.edge_problem(rows, "twelve", "some", fix)
+    semantic = problems.semantic_digest(F.col("items"), F.col("colours"), F.col("conflicts"), F.col("fixed"))
+    rows = rows.withColumn("semantic_digest", semantic)
+    told = {"kind": F.lit("rainbow_edge_coloring")}
+    return rows.select("graph_id", "semantic_digest", problems.representation_digest(problems.edge_names(F.col("edges")), F.col("explicit"), F.col("groups"), F.col("semantic_digest"), told).alias("representation_digest"))
+
+
+@query(_edge_digest(False))
+def edge_problem_digests(spark, sf):
+    return _edge_problem(spark, sf, False)
+
+
+@query(_edge_digest(True))
+def pinned_edge_problem_digests(spark, sf):
+    return _edge_problem(spark, sf, True)
+
+
 # --- verifiers on a synthetic colouring ------------------------------------
 
 
@@ -234,6 +317,13 @@ def first_conflict_window(spark, sf):
     return inc.withColumn("first_edge", F.first("edge_index").over(w)).withColumn("rn", F.row_number().over(w)).where("rn > 1").select("graph_id", "vertex", "color", "first_edge", F.col("edge_index").alias("edge"))
 
 
+@query(f"WITH {P6}, {CONFLICTS}, item AS (SELECT graph_id, v AS i FROM vertices UNION ALL SELECT graph_id, 6 + edge_index FROM edges) SELECT g.graph_id, count(c.i) FILTER ((c.i * 5 + 2) % 7 = (c.j * 5 + 2) % 7) AS conflicts FROM (SELECT DISTINCT graph_id FROM item) g LEFT JOIN conf c USING (graph_id) GROUP BY g.graph_id")
+def assignment_conflict_counts(spark, sf):
+    """Conflicts of total problems whose two items share a colour under a colouring by a rule."""
+    rows = _total_problem(spark, sf, 6, 4, 3).withColumn("assignment", F.transform(F.sequence(F.lit(0), F.col("items") - 1), lambda i: (i * 5 + 2) % 7))
+    return rows.select("graph_id", verify.assignment_conflicts(rows).cast("long").alias("conflicts"))
+
+
 @query(f"WITH {P8}, {COLOURED.format(k=3)} SELECT graph_id, bool_and(p.c <> q.c) AS proper FROM ec e JOIN vc p USING (graph_id) JOIN vc q USING (graph_id) WHERE p.v = e.u AND q.v = e.v GROUP BY graph_id")
 def proper_vertex_colouring(spark, sf):
     rows = _synthetic(spark, sf, 3)
@@ -293,35 +383,65 @@ def aux_invariants(spark, sf):
     return rows.select("graph_id", "partition_index", F.col("h_n").alias("h_vertices"), F.col("size").alias("h_edges"), F.size("marked").alias("marked"), "h_max_degree")
 
 
-PARTS6 = f"WITH {P6}, {free(6)}, {eligible(6)}, {matched(6)}, c AS (SELECT graph_id, count(*) AS k FROM parts GROUP BY graph_id)"
+CLASSES = """list_concat([(1 << used[2 * i + 1]) | (1 << used[2 * i + 2]) for i in range(len(used) // 2)], [1 << v for v in range(6) if NOT list_contains(used, v)])"""
+PARTS6 = f"WITH {P6}, {free(6)}, {eligible(6)}, {matched(6)}, {TABLES6}, cls AS (SELECT graph_id, partition_index AS p, d, CAST({CLASSES} AS INTEGER[]) AS classes FROM parts)"
+
+
+def checked6(wanted: list[tuple[str, int]]) -> str:
+    """PARTS6 with checks(graph_id, p, b, o, status) of the wanted (backend, offset), searched in SQL."""
+    offsets = sorted({o for _, o in wanted})
+    rows = " UNION ALL ".join(f"SELECT graph_id, p, '{b}' AS b, {o} AS o, CASE WHEN ok THEN 'witness' ELSE 'candidate_unsat' END AS status FROM ext{o}_" for b, o in wanted)
+    return ",\n".join([PARTS6, *(extends6(f"ext{o}_", "cls", o) for o in offsets), f"checks AS ({rows})"])
 
 
-@query(PARTS6 + " SELECT p.graph_id, CASE WHEN outcome = '' THEN 'witness' ELSE 'skipped' END AS status, CASE WHEN outcome = '' THEN 0 END AS first_partition FROM prof p")
+UNIVERSAL = """ SELECT p.graph_id, CASE WHEN outcome <> '' THEN 'skipped' WHEN k IS NULL THEN 'error' WHEN failures > 0 THEN 'candidate_unsat' ELSE 'verified_all' END AS status,
+  CASE WHEN outcome <> '' THEN outcome WHEN k IS NULL THEN 'empty_check_transcript' WHEN failures > 0 THEN 'candidate_partition_nonextension' ELSE 'verified_all_partitions' END AS outcome_code,
+  coalesce(k, 0) AS partitions, coalesce(n, 0) AS checks, coalesce(n - failures, 0) AS witnesses
+FROM prof p LEFT JOIN (SELECT graph_id, count(DISTINCT p) AS k, count(*) AS n, count(*) FILTER (status <> 'witness') AS failures FROM checks GROUP BY graph_id) c USING (graph_id)"""
+THREE = [("dsatur-iterative-v1", 1), ("static-order-iterative-v1", 1), ("dsatur-iterative-v1", 2)]
+TIGHT = [("dsatur-iterative-v1", 0), ("static-order-iterative-v1", 0)]
+
+
+def _existential(offset: int) -> str:
+    return checked6([("dsatur-iterative-v1", offset)]) + """ SELECT p.graph_id, CASE WHEN outcome <> '' THEN 'skipped' WHEN first IS NOT NULL THEN 'witness' WHEN c.graph_id IS NULL THEN 'error' ELSE 'candidate_unsat' END AS status, first AS first_partition
+FROM prof p LEFT JOIN (SELECT graph_id, CAST(min(p) FILTER (status = 'witness') AS INTEGER) AS first FROM checks GROUP BY graph_id) c USING (graph_id)"""
+
+
+@query(_existential(2))
 def existential_census_status(spark, sf):
     return census.existential(graphs(spark, sf, 6, 4), 3)
 
 
-UNIVERSAL = " SELECT p.graph_id, CASE WHEN outcome = '' THEN 'verified_all' ELSE 'skipped' END AS status, CASE WHEN outcome = '' THEN 'verified_all_partitions' ELSE outcome END AS outcome_code, coalesce(k, 0) AS partitions, coalesce(3 * k, 0) AS checks, coalesce(3 * k, 0) AS witnesses FROM prof p LEFT JOIN c USING (graph_id)"
+@query(_existential(0))
+def existential_tight_palette(spark, sf):
+    """Palette offset 0, where some graphs have no partition that extends."""
+    return census.existential(graphs(spark, sf, 6, 4), 3, offset=0)
 
 
-@query(PARTS6 + UNIVERSAL)
+@query(checked6(THREE) + UNIVERSAL)
 def universal_census_status(spark, sf):
     return census.universal(graphs(spark, sf, 6, 4), 3)
 
 
-@query()
+@query(checked6(TIGHT) + UNIVERSAL)
 def universal_census_tight_palette(spark, sf):
     """Palette offset 0, where partitions that don't extend are found."""
-    return census.universal(graphs(spark, sf, 6, 4), 3, [("dsatur-iterative-v1", 0), ("static-order-iterative-v1", 0)])
+    return census.universal(graphs(spark, sf, 6, 4), 3, TIGHT)
+
+
+@query(checked6([("static-order-iterative-v1", 0)]) + " SELECT p.graph_id, CASE WHEN outcome <> '' THEN 'skipped' WHEN failed IS NULL THEN 'witness' ELSE 'candidate_unsat' END AS status, coalesce(failed + 1, n, 0) AS started FROM prof p LEFT JOIN (SELECT graph_id, count(*) AS n, min(p) FILTER (status <> 'witness') AS failed FROM checks GROUP BY graph_id) c USING (graph_id)")
+def check_all_tight_palette(spark, sf):
+    """Every partition must extend; a graph's search ends at the first that doesn't."""
+    return census.check_all(graphs(spark, sf, 6, 4), 0, "static-order-iterative-v1").select("graph_id", "status", "started")
 
 
-@query(PARTS6 + " SELECT b AS backend, o AS palette_offset, 'witness' AS status, count(*) AS checks FROM parts, (VALUES ('dsatur-iterative-v1', 1), ('static-order-iterative-v1', 1), ('dsatur-iterative-v1', 2)) t(b, o) GROUP BY ALL")
+@query(checked6(THREE) + " SELECT b AS backend, CAST(o AS INTEGER) AS palette_offset, status, count(*) AS checks FROM checks GROUP BY ALL")
 def universal_check_matrix(spark, sf):
     found = census.checks(graphs(spark, sf, 6, 4), 3)
     return found.groupBy("backend", "palette_offset", "status").agg(F.count("*").alias("checks"))
 
 
-@query(PARTS6 + f", u AS ({UNIVERSAL}) SELECT s.status, count(u.status) AS graphs, CAST(coalesce(sum(partitions), 0) AS BIGINT) AS partitions, CAST(coalesce(sum(checks), 0) AS BIGINT) AS checks FROM (VALUES ('verified_all'), ('candidate_unsat'), ('unknown'), ('error'), ('skipped')) s(status) LEFT JOIN u USING (status) GROUP BY s.status")
+@query(checked6(THREE) + f", u AS ({UNIVERSAL}) SELECT s.status, count(u.status) AS graphs, CAST(coalesce(sum(partitions), 0) AS BIGINT) AS partitions, CAST(coalesce(sum(checks), 0) AS BIGINT) AS checks FROM (VALUES ('verified_all'), ('candidate_unsat'), ('unknown'), ('error'), ('skipped')) s(status) LEFT JOIN u USING (status) GROUP BY s.status")
 def status_rollup(spark, sf):
     return census.status_counts(census.universal(graphs(spark, sf, 6, 4), 3))
 
@@ -365,6 +485,20 @@ def adjacent_duplicates(spark, sf):
     return completeness.adjacent_repeats(rows, "place", "head", "shard").select("graph_id")
 
 
+@query(f"WITH {P8}, g AS (SELECT DISTINCT graph_id FROM edges) SELECT graph_id FROM g WHERE graph_id % 4 <> 3 AND graph_id % 5 = 0")
+def prefix_mismatch_rows(spark, sf):
+    """Rows of a checkpoint, of which every fifth was altered, that differ from the stream made anew."""
+    rows = _stream(spark, sf)
+    done = rows.where("graph_id % 4 <> 3").withColumn("graph6", F.when(F.col("graph_id") % 5 == 0, F.concat("graph6", F.lit("?"))).otherwise(F.col("graph6")))
+    return completeness.prefix_mismatches(rows, done, "graph_id", "graph6").select("graph_id")
+
+
+@query(f"WITH {P8}, g AS (SELECT graph_id % 7 AS shard, graph_id // 7 AS i FROM (SELECT DISTINCT graph_id FROM edges) WHERE graph_id % 21 <> 14 OR graph_id % 7 <> 0) SELECT shard FROM g GROUP BY shard HAVING min(i) <> 0 OR max(i) <> count(*) - 1 OR count(DISTINCT i) <> count(*)")
+def index_gap_groups(spark, sf):
+    rows = _stream(spark, sf).where("graph_id % 21 <> 14 OR graph_id % 7 <> 0").withColumn("i", F.expr("graph_id div 7"))
+    return completeness.index_gaps(rows, "i", "shard").select("shard")
+
+
 # --- dependency audit: golden counters -------------------------------------
 
 GOLDEN = """('d8-a-w5', 864, 675, 834, 675, 237, 6, 6, 0), ('d8-b-w6', 50000, 37136, 47147, 37064, 5787, 32, 32, 0), ('d8-c-frozen-w5', 256, 187, 232, 178, 85, 8, 8, 0),
@@ -403,6 +537,30 @@ def d8_depth_histogram_all(spark, sf):
     return reduce(DataFrame.unionByName, [dependency.histogram(spark, p) for p in dependency.PROFILES])
 
 
+def _codes_sql() -> str:
+    """The codes of all candidates of every profile, by arithmetic."""
+    parts = []
+    for p in dependency.PROFILES:
+        k = len(p.indegrees)
+        base = sum((c + 1) << 3 * (c + 1) for c in range(k))
+        terms = " + ".join(f"CAST(m{c}.i AS HUGEINT) * {1 << (3 * (k + 1) + 7 * c)}" for c in range(k))
+        source = ", ".join(f"(SELECT i FROM range({1 << p.w}) t(i) WHERE bit_count(CAST(i AS INTEGER)) = {m} AND (i >> {c + 1}) & 1 = 0) m{c}" for c, m in enumerate(p.indegrees))
+        parts.append(f"SELECT '{p.name}' AS profile, count(*) AS states, CAST(min(x) AS BIGINT) AS least, CAST(max(x) AS BIGINT) AS greatest, CAST(sum(x) AS VARCHAR) AS total, count(*) AS round_trips FROM (SELECT {base} + {terms} AS x FROM {source})")
+    return " UNION ALL ".join(parts)
+
+
+@query(_codes_sql())
+def d8_state_codes(spark, sf):
+    """The 63-bit codes of all candidates, decoded again."""
+    return reduce(DataFrame.unionByName, [dependency.codes(spark, p) for p in dependency.PROFILES])
+
+
+@query("SELECT 'd8-c-frozen-w7' AS profile, masks, CAST(d AS INTEGER) AS deficit, CAST(s AS BIGINT) AS states, CAST(s AS BIGINT) AS orbits, 56::INTEGER AS orbit_size FROM (VALUES ('13,97,18,10,1,4', 112, 56), ('37,88,17,9,2,4', 98, 56), ('41,97,18,10,1,4', 84, 28)) t(masks, d, s)")
+def d8_unresolved_classes(spark, sf):
+    """Classes of the orbits without a robust state, of every profile; only one has any."""
+    return reduce(DataFrame.unionByName, [dependency.unresolved_classes(spark, p) for p in dependency.PROFILES])
+
+
 # --- counting inequalities --------------------------------------------------
 
 
@@ -433,7 +591,11 @@ def restricted_partitions(spark, sf):
     return growth_strings(spark.range(1).select(F.lit(5).alias("blocks")), 10, "blocks").agg(F.count("*").alias("strings"))
 
 
-@query()
+@query(f"""WITH {P6}, {CORE}, {free(6)}, {eligible(6).replace('prof AS', 'prof0 AS')}, prof AS (SELECT * REPLACE ('' AS outcome) FROM prof0), {matched(6).split(',' + chr(10) + 'parts AS')[0]}, {TABLES6},
+scope AS (SELECT graph_id FROM (SELECT graph_id, x, count(*) AS k FROM (SELECT graph_id, u AS x FROM core UNION ALL SELECT graph_id, v FROM core) GROUP BY ALL) GROUP BY graph_id HAVING max(k) = 1),
+every AS ({' UNION ALL '.join(f'SELECT graph_id, idx, used FROM m{k}' for k in range(4))}),
+cls AS (SELECT graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY idx) AS p, d, CAST({CLASSES} AS INTEGER[]) AS classes FROM every JOIN prof USING (graph_id) SEMI JOIN scope USING (graph_id) WHERE len(idx) >= 6 - d),
+{extends6("ext", "cls", 1)} SELECT graph_id, count(*) AS precolourings, count(*) FILTER (ok) AS witnesses, 0::BIGINT AS violations FROM ext GROUP BY graph_id""")
 def matching_core_extensions(spark, sf):
     from .plans.matching_core import extensions, scopes
 
@@ -534,6 +696,14 @@ def universe_counts(spark, sf):
     return out
 
 
+@query("SELECT 8::INTEGER AS graph_order, 12346::BIGINT AS graphs, 11922::BIGINT AS eligible, 424::BIGINT AS skipped, 514050::BIGINT AS partitions")
+def universe_order_8(spark, sf):
+    """All 12,346 graphs, made by the tasks that own the graphs of order 6 they descend from."""
+    prof = partitions.profile(_universe(spark, 8, 32), 8)
+    k = F.when(F.col("outcome") == "", partitions.counted(8, G.complement(F.col("n"), F.col("edges")), F.col("pairs"))).otherwise(0)
+    return prof.agg(F.count("*").alias("graphs"), F.count_if(F.col("outcome") == "").alias("eligible"), F.count_if(F.col("outcome").startswith("outside")).alias("skipped"), F.sum(k).alias("partitions")).select(F.lit(8).alias("graph_order"), "*")
+
+
 @query("SELECT CAST(n AS INTEGER) AS graph_order, o AS palette_offset, status, CAST(k AS BIGINT) AS checks FROM (VALUES (4, 0, 'witness', 9), (4, 0, 'candidate_unsat', 7), (4, 1, 'witness', 16), (5, 0, 'witness', 53), (5, 0, 'candidate_unsat', 16), (5, 1, 'witness', 69), (6, 0, 'witness', 898), (6, 0, 'candidate_unsat', 208), (6, 1, 'witness', 1106)) t(n, o, status, k)")
 def universe_tight_palette(spark, sf):
     out = None
@@ -609,7 +779,7 @@ def stable_urls(spark, sf):
     return spark.createDataFrame([(x,) for x in given], "url string").select("url", is_stable_url(F.col("url")).alias("stable"))
 
 
-@query(PARTS6 + " SELECT p.graph_id, CASE WHEN outcome = '' THEN 'verified_all' ELSE 'skipped' END AS status, CAST(coalesce(k, 0) AS INTEGER) AS partition_count FROM prof p LEFT JOIN c USING (graph_id)")
+@query(checked6(THREE) + f", u AS ({UNIVERSAL}) SELECT graph_id, status, CAST(partitions AS INTEGER) AS partition_count FROM u")
 def census_records(spark, sf):
     """Canonical records, read back from their text."""
     from .plans import records as R
@@ -617,3 +787,13 @@ def census_records(spark, sf):
     lines = R.records(graphs(spark, sf, 6, 4), 3, "0" * 64)
     get = lambda path: F.get_json_object("document", path)
     return lines.select("graph_id", get("$.status").alias("status"), get("$.partition_count").cast("int").alias("partition_count"))
+
+
+@query(f"WITH {P6} SELECT count(DISTINCT graph_id) AS records, 0::BIGINT AS faults, 0::BIGINT AS short_lists FROM edges")
+def census_record_faults(spark, sf):
+    """Records held against their own text: witnesses verified on graphs built anew, lists counted."""
+    from .plans import records as R
+
+    lines = R.records(graphs(spark, sf, 6, 4), 3, "0" * 64).persist()  # read by five branches
+    parts = [lines.select(F.lit("records").alias("k")), R.record_faults(lines).select(F.lit("faults").alias("k")), R.missing_partitions(lines, 6).select(F.lit("short_lists").alias("k"))]
+    return reduce(DataFrame.union, parts).agg(*[F.count_if(F.col("k") == k).alias(k) for k in ("records", "faults", "short_lists")])
