@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, text_or_empty
+from .shared import KEPT, give_back, parts, small_batches, text_or_empty
 
 LENGTH = 2048
 END = 1
@@ -28,65 +28,99 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: The rules of a tokenizer file under which texts may be cut at spaces and words of
+#: Latin-1 letters handed to the model.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def cuts_at_spaces(path: str) -> bool:
+    """Whether a tokenizer file has the rules that Words relies on; special tokens have no spaces."""
+    import json
+
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    special = [t["content"] for t in found.get("added_tokens") or []]
+    return all(found.get(k) == v for k, v in RULES.items()) and found["model"]["type"] == "BPE" and not any(c.isspace() for t in special for c in t) and not any(t.get("lstrip") or t.get("rstrip") for t in found.get("added_tokens") or [])
+
+
 class Words:
     """Token ids of whole texts through a table of the chunks between spaces.
 
+    A tokenizer file with other rules than RULES takes the plain way, whole texts at a time.
+
     A literal special token in a text gets that token's id, as the tokenizer by itself gives it.
     The tokenizer drops white space and no rule of it reaches across a space, so a text's ids are
     those of its chunks, one after another.  Most chunks are a word of Latin-1 letters, maybe with a
     full stop or comma, which the tokenizer cuts off: such a word goes straight to the tokenizer's
-    model, once for all its spellings.  Others take the tokenizer's whole way.  The table starts
-    anew beyond ``room`` characters, each entry counting 60 more: some 350 MB at most.
+    model, once for all its spellings, which share a row of ids.  Others take the tokenizer's whole
+    way.  The table starts anew when its entries take about ``room`` bytes.
     """
 
-    def __init__(self, path: str, room: int = 96 << 20) -> None:
+    def __init__(self, path: str, room: int = 160 << 20) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.by_chunk = Tokenizer.from_file(path), cuts_at_spaces(path)
         self.model, self.letters, self.room = self.tokenizer.model, _byte_letters(), room
         self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
         self.clear()
 
     def clear(self) -> None:
+        #: Rows of ids by chunk and by word in lower case.
         self.index: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
-        #: Chunk 0 is the mark of a document's end.
+        self.words: dict[str, int] = {}
+        #: Row 0 is the mark of a document's end.
         self.pool, self.start, self.length = np.array([END], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
         self.held = 0
 
-    def _word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            text = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[word] = [t.id for t in self.model.tokenize(text)]
-            self.held += len(word) + 60
-        return ids
+    def _ids(self, word: str) -> list[int]:
+        text = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(text)]
 
     def learn(self, chunks: list[str]) -> None:
-        found: list[list[int]] = []
-        rest: list[int] = []
+        base, found = len(self.start), []
+        rest: list[str] = []
         for chunk in chunks:
             stem = chunk[:-1] if chunk[-1:] in self.marks else chunk
-            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
-                ids = self._word(stem.lower())
-                found.append(ids if stem is chunk else ids + self.marks[chunk[-1]])
-            else:
-                rest.append(len(found))
-                found.append([])
-        for i, x in zip(rest, self.tokenizer.encode_batch([chunks[i] for i in rest], add_special_tokens=False), strict=True):
-            found[i] = x.ids
+            if not stem.isalpha() or not (stem.isascii() or max(stem) < "\u0100"):
+                rest.append(chunk)
+                continue
+            word = stem.lower()
+            row = self.words.get(word)
+            if row is None:
+                row = self.words[chunk if word == chunk else word] = base + len(found)
+                found.append(self._ids(word))
+                self.held += len(word) + 150
+            if stem is not chunk:
+                ids = found[row - base] if row >= base else self.pool[self.start[row] : self.start[row] + self.length[row]].tolist()
+                row = base + len(found)
+                found.append(ids + self.marks[chunk[-1]])
+            self.index[chunk] = row
+        for chunk, x in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            self.index[chunk] = base + len(found)
+            found.append(x.ids)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.index.update(zip(chunks, range(len(self.start), len(self.start) + len(chunks)), strict=True))
         self.start = np.r_[self.start, len(self.pool) + np.cumsum(lengths) - lengths]
         self.length = np.r_[self.length, lengths]
         self.pool = np.r_[self.pool, np.array([i for ids in found for i in ids], np.uint32)]
-        self.held += sum(map(len, chunks)) + 60 * len(chunks)
+        self.held += sum(map(len, chunks)) + 170 * len(chunks) + 16 * len(found) + 4 * int(lengths.sum())
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (strings, none null), each with END behind it, and the bounds of each."""
+        if not self.by_chunk:
+            found = [np.array([*x.ids, END], np.uint32) for x in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.empty(0, np.uint32), *found]), np.cumsum([0, *map(len, found)])
         if self.held > self.room:
             self.clear()
         for space in "\n\t":
@@ -110,7 +144,7 @@ def kept_words(path: str) -> Words:
     import sys
     import types
 
-    home = sys.modules.setdefault("chromaspan_kept", types.ModuleType("chromaspan_kept")).__dict__
+    home = sys.modules.setdefault(KEPT, types.ModuleType(KEPT)).__dict__
     if ("words", path) not in home:
         home["words", path] = Words(path)
     return home["words", path]
@@ -128,7 +162,7 @@ def pieces(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, chars: int = 4_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, chars: int = 2_000_000) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, bucket, sequence_id, offset), a row for each piece.
 
     ids: the piece's ids, little-endian unsigned 32-bit.  bucket: the logarithm of the length;
@@ -162,7 +196,14 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, chars: int = 4_0
                 n = max(1, int(np.searchsorted(ends, before + chars, "right")) - at)
                 yield batch(got.column(0).slice(at, n), got.column(1).slice(at, n), words)
                 at += n
+        give_back(kept=False)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    rows = parts(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long")
     bucket = F.log2("length").cast("int")
     return rows.withColumn("bucket", bucket).withColumn("sequence_id", F.shiftleft(F.col("bucket").cast("long"), 58) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+
+
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Writes packed pieces in a folder for each bucket, bucket=0 to bucket=11 at a length of 2048, so
+    that a reader of one bucket gets sequences of one length.  Nothing is shuffled."""
+    packed.write.partitionBy("bucket").parquet(path)
