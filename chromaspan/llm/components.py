@@ -25,13 +25,14 @@ def components(links: DataFrame) -> DataFrame:
     now = cut(ends.distinct(), "links")
     mark = _mark(now)
     while mark[0]:
+        # A round never has more links than the one before.
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = cut(large, "links")
+        large = cut(large, "links", mark[0])
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        then = cut(small.where("a <> b").distinct(), "links")
+        then = cut(small.where("a <> b").distinct(), "links", mark[0])
         drop(now)
         drop(large)
         before, now, mark = mark, then, _mark(then)

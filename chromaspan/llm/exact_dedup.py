@@ -89,7 +89,7 @@ class Directory:
         of = np.array(self.owners(owners), np.int32)
         slots = np.array(self.slots, np.int32)
         table = pa.table({"slot": np.arange(len(slots), dtype=np.int64), "bucket": slots, "owner": of[slots]})
-        return cut(spark.createDataFrame(table), "directory")
+        return cut(spark.createDataFrame(table), "directory", len(slots))
 
     def slot(self, h: str):
         """Column: the slot of a signed 64-bit hash."""
@@ -201,7 +201,7 @@ def build_index(docs: DataFrame, listed: DataFrame, capacity: int | None = None,
     above which a hash is hot; by default 64 and 1/65,536 of all rows."""
     spark = docs.sparkSession
     small_batches(spark)
-    keys = cut(listed.groupBy("h").agg(F.count("*").alias("n"), F.max("n_bytes").alias("b")), "keys")
+    keys = cut(listed.groupBy("h").agg(F.count("*").alias("n"), F.max("n_bytes").alias("b")), "keys", listed.count())
     distinct, rows, size = keys.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     owners = min(1 << (DEEPEST - 4), max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARE + 1))
     capacity = capacity or max(1, distinct // (8 * owners))
@@ -210,7 +210,7 @@ def build_index(docs: DataFrame, listed: DataFrame, capacity: int | None = None,
     directory = Directory(dict(zip(counts["prefix"].to_pylist(), counts["n"].to_pylist(), strict=True)), capacity, bits)
     stored = directory.store(spark, owners)
     hot = 64 + rows // 65536 if hot is None else hot
-    large = cut(keys.where(F.col("n") > hot).select("h"), "hot")
+    large = cut(keys.where(F.col("n") > hot).select("h"), "hot", 1 << 16)
     drop(keys)
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))

@@ -47,15 +47,16 @@ def widespread(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int | Non
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.explode(F.array_distinct(_lines(text, min_words))).alias("h"))
     seen = cut(rows.where("h is not null"), "lines")
-    often = cut(seen.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h"), "often")
+    often = cut(seen.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h"), "often", seen.count() // max(1, min_sites))
+    n = often.count()
     sketched = seen.join(sized(often, broadcast), "h", "left_semi").groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"))
     # Five standard errors, and one site for the rounding of an estimate.
     off = 5 * 1.04 / (1 << lg_k) ** 0.5
     low, high = int(min_sites * (1 - off)) - 1, int(min_sites * (1 + off)) + 2
-    rated = cut(sketched.where(F.col("sites") >= low), "spread")
-    near = cut(rated.where(F.col("sites") <= high).select("h"), "near")
+    rated = cut(sketched.where(F.col("sites") >= low), "spread", n)
+    near = cut(rated.where(F.col("sites") <= high).select("h"), "near", n)
     exact = seen.join(sized(near, broadcast), "h", "left_semi").select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("k"))
-    wide = cut(rated.where(F.col("sites") > high).select("h").union(exact.where(F.col("k") >= min_sites).select("h")), "wide")
+    wide = cut(rated.where(F.col("sites") > high).select("h").union(exact.where(F.col("k") >= min_sites).select("h")), "wide", n)
     for table in (seen, often, rated, near):
         drop(table)
     return wide

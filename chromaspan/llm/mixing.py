@@ -106,16 +106,17 @@ def plan(rows: DataFrame, share: float = SHARE, epochs: int = EPOCHS, most: int
     given = budgets(supply, share, epochs)
     whole = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(1)
     given = cut(given.select(*PATH, "budget", whole.cast("int").alias("whole"), (F.col("budget") - whole * F.col("tokens")).alias("rest")), "budgets")
+    n = given.count()
     keyed = _by_leaf(rows, given, PATH, ["doc_id", "tokens"], most).where("rest > 0").withColumn("key", _key("whole", "tokens"))
     sliced = keyed.withColumn("slice", F.substring("key", 1, 3)).where("tokens > 0")
     sums = sliced.groupBy(*PATH, "rest", "slice").agg(F.sum("tokens").alias("t"))
     before = Window.partitionBy(*PATH).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("b", F.coalesce(F.sum("t").over(before), F.lit(0)))
-    last = cut(sums.where("b < rest and b + t >= rest").select(*PATH, F.col("slice").alias("at"), "b"), "slices")
+    last = cut(sums.where("b < rest and b + t >= rest").select(*PATH, F.col("slice").alias("at"), "b"), "slices", n)
     within = Window.partitionBy(*PATH).orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     tail = _by_leaf(sliced, last, PATH, ["doc_id", "tokens"], most).where("slice = at").withColumn("e", F.col("b") + F.sum("tokens").over(within))
     bound = tail.where(F.col("e") >= F.col("rest")).groupBy(*PATH).agg(F.min("key").alias("bound"))
-    made = cut(given.join(bound, PATH, "left").select(*PATH, "budget", "whole", "bound"), "plan")
+    made = cut(given.join(bound, PATH, "left").select(*PATH, "budget", "whole", "bound"), "plan", n)
     drop(given)
     drop(last)
     return made

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, drop, parts, place, positional, small_batches
+from .shared import cut, drop, give_back, parts, place, positional, small_batches
 
 SEED = 42
 #: (blocks, chosen) of segments to take the cheapest of; all give the same links.
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fps = np.fromiter((simhash(t.as_py() or b"", width) for t in texts), np.uint64, len(texts))
@@ -146,6 +147,7 @@ def _linker(distance: int, block: int | None):
         return pa.RecordBatch.from_arrays([pa.array(a), b, pa.concat_arrays([pa.nulls(len(links), pa.int64()), pa.array(key)])], ["a", "b", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         none_k, none_f = np.empty(0, np.int64), np.empty(0, np.uint64)
         tail_k, tail_f, large = none_k, none_f, None
         for got in batches:
@@ -203,7 +205,8 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, **index)
     An empty table gives an empty result; other columns are ignored.
     """
     prints = cut(fingerprints(parts(docs, "doc_id", "text"), width), "prints")
-    nodes = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    n = prints.count()
+    nodes = cut(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes", n)
     linked = components(fingerprint_links(nodes.select("fp"), distance, **index))
     members = linked.select(F.col("node").alias("fp"), "root").union(linked.select(F.col("root").alias("fp"), "root").distinct())
     members = members.join(nodes, "fp")
@@ -211,7 +214,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, **index)
     moved = members.join(roots, "root").select("fp", "low")
     # A table of its own, so that the join below has a plain exchange on either side and a
     # fingerprint with many copies is split over tasks.
-    named = cut(nodes.join(moved, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id")), "named")
+    named = cut(nodes.join(moved, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id")), "named", n)
     return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -219,7 +222,7 @@ def keep_one(docs: DataFrame, sent: int = SENT_IDS, **params) -> DataFrame:
     """docs without all but the smallest doc_id of each component.  Rows without doc_id stay; of
     rows that repeat a doc_id one stays.  All columns stay as they are, whatever their names."""
     found = cut(near_duplicates(docs, **params).select("doc_id", "component_id"), "found")
-    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone", found.count())
     # Whole texts aren't shuffled while the ids that go are few enough to send.
     gone = F.broadcast(gone) if gone.count() <= sent else gone.hint("merge")
     doc = place(docs, "doc_id")

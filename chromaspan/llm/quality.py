@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import parts, place, positional, small_batches, text_or_empty
+from .shared import give_back, parts, place, positional, small_batches, text_or_empty
 
 #: Labelled rows that the fit reads at most, the first in the order of a hash of doc_id.
 SAMPLE = 6000
@@ -195,6 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select(doc.alias("doc_id"), text_or_empty("text").alias("text")).join(F.broadcast(first), "doc_id").select("doc_id", "quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in batches:
             found = [packed(grams(t or b"")) for t in b.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["doc_id", "quality", "x"])
@@ -217,6 +218,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     names, at = rows.columns, rows.columns.index(place(docs, "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in batches:
             found = [model.score(grams(t or b"")) for t in b.column(at).cast(pa.string()).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], [*names, "score"])

@@ -32,9 +32,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and returns the table that was written."""
+#: A table with a known bound on its rows is written in one file for so many, and FEW at least.
+ROWS, FEW = 1 << 14, 4
+
+
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and returns the table that was written.
+
+    rows: a bound on df's rows.  A small table then isn't scattered over as many files as there are
+    shuffle partitions; a large one has as many tasks as before."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(FEW, -(-rows // ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,6 +64,28 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, rows)
 
 
+#: Where a worker process keeps what its later tasks may use again.
+KEPT = "chromaspan_kept"
+
+
+def give_back(kept: bool = True) -> None:
+    """In a worker process: frees memory that it holds for no task, and with ``kept`` also what it
+    keeps for tasks of another operator.  Workers serve many tasks, one after another."""
+    import ctypes
+    import gc
+    import sys
+
+    import pyarrow as pa
+
+    if kept and sys.modules.pop(KEPT, None) is not None:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not with this C library
+        pass
+
+
 def text_or_empty(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -140,7 +140,7 @@ def write_archives(pages: DataFrame, least: int = 0, sent: int = SENT) -> DataFr
     rows = positional(pages).select(*[(x.cast("long") if c == "page_id" else F.coalesce(x.cast("string"), F.lit(""))).alias(c) for c, x in col.items()])
     sha, n = F.unhex(F.sha2("html", 256)), F.octet_length("html")
     same = rows.where(n >= least).select(sha.alias("sha"), "page_id").groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("k"))
-    same = cut(same.where("k > 1").select("sha", "first"), "same")
+    same = cut(same.where("k > 1").select("sha", "first"), "same", rows.count() // 2)
     joined = rows.withColumn("n", n).withColumn("sha", sha).join(sized(same, sent), "sha", "left")
     refers = F.when((F.col("n") >= least) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     joined = joined.select("page_id", "url", "html", refers.alias("refers_to"))
