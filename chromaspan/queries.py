@@ -766,7 +766,7 @@ def transfer_endpoints(spark, sf):
     from .plans import transfer as X
 
     # Tables of fixed size, made once: 1,032 variables and a model of 20 to 40 rows each.
-    v, rows, factors = (spark.createDataFrame(t.collect(), t.schema) for t in (X.variables(spark), *_model(spark)))
+    v, rows, factors = (t.coalesce(1).persist() for t in (X.variables(spark), *_model(spark)))
     found = X.endpoint_witnesses(rows, factors)
     cuts = X.cuts(found.where("kind <> 'Q1_new_outside_only'"), v, (1, 2, 3))
     other = X.cuts(X.anchored_witnesses(rows, factors), v, (0, 1, 2))
