@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, media, mixing, near_dedup, packing, pii, quality, secrets, warc
+from . import decontamination, exact_dedup, line_dedup, media, mixing, near_dedup, packing, pii, quality, secrets, warc, whitening
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -69,8 +69,18 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(pii.as_text("base"), 256).alias("base_sha256"), pii.as_text("spans").alias("spans"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n = F.size("items").cast("long").alias("n_items")
+    return rows.select("doc_id", "n_words", "n_hit", n, F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_source_mixing, op3_near_dedup, op4_packing, op5_quality, op6_media_columns, op7_warc, op8_exact_dedup, op9_line_dedup, op9_every_line, op10_personal_data)
+    f.__name__: f for f in (op1_secret_scan, op2_source_mixing, op3_near_dedup, op4_packing, op5_quality, op6_media_columns, op7_warc, op8_exact_dedup, op9_line_dedup, op9_every_line, op10_personal_data, op11_embedding_whitening, op12_decontamination)
 }
 
 ORACLES: dict[str, str] = {
@@ -80,4 +90,5 @@ SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, doc
 FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))""",
     "op9_line_dedup": line_dedup.oracle(),
     "op9_every_line": line_dedup.oracle_every_line(),
+    "op12_decontamination": decontamination.oracle(),
 }
