@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import partitions as P
 from ..operators import verify as V
+from ..operators.canonical import classes
 from ..operators.search import searched, solved
 from ..operators.solve import spread
+from ..sources.stored import cut
 
 #: The checks of a universal census, (backend, palette offset).
 CHECKS = [("dsatur-iterative-v1", 1), ("static-order-iterative-v1", 1), ("dsatur-iterative-v1", 2)]
@@ -63,6 +65,18 @@ def universal(rows: DataFrame, most: int | None = None, wanted: list[tuple[str,
     return every.select("graph_id", status.alias("status"), code.alias("outcome_code"), *[zero(c).alias(c) for c in ("partitions", "checks", "witnesses")])
 
 
+def by_class(rows: DataFrame, most: int | None = None, wanted: list[tuple[str, int]] = CHECKS, max_nodes: int | None = None) -> DataFrame:
+    """The rows of ``universal`` and class_id, with one graph of each isomorphism class solved.
+
+    Isomorphic graphs have the same partitions but for names, and those extend or not alike.  Only a bound
+    ``max_nodes`` may tell them apart: then a class has the outcome of its canonical graph."""
+    known = cut(classes(rows), "classes")
+    solved_once = known.select(F.col("class_id").alias("graph_id"), "n", F.col("canonical").alias("edges")).distinct()
+    outcomes = universal(solved_once, most, wanted, max_nodes).withColumnRenamed("graph_id", "class_id")
+    of_graph = rows.select("graph_id", "n", "edges").join(known.select("class_id", "n", "edges"), ["n", "edges"]).select("graph_id", "class_id")
+    return of_graph.join(outcomes, "class_id").select("graph_id", "class_id", *outcomes.columns[1:])
+
+
 def _started(rows: DataFrame, offset: int, backend: str, stop_at: str, **limits) -> DataFrame:
     """Verified rows of the partitions that a search started, one graph a row of the shuffle."""
     eligible = spread(P.profile(rows).where("outcome = ''").select("graph_id", "n", "edges", "d", "pairs"), "graph_id")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import graphs as G
-from .operators import cnf, partitions, problems, verify
+from .operators import canonical, cnf, partitions, problems, verify
 from .operators.solve import solve, spread
 from .plans import census, completeness, dependency
 from .plans import counting
@@ -420,7 +420,25 @@ def existential_tight_palette(spark, sf):
 
 @query(checked6(THREE) + UNIVERSAL)
 def universal_census_status(spark, sf):
-    return census.universal(graphs(spark, sf, 6, 4), 3)
+    return census.by_class(graphs(spark, sf, 6, 4), 3).drop("class_id")
+
+
+#: The least of the 720 relabelings of each edge set of six vertices, as a mask.
+LEAST6 = """places AS (SELECT row_number() OVER () AS p, [a, b, c, d, e, f] AS to_ FROM range(6) a(a), range(6) b(b), range(6) c(c), range(6) d(d), range(6) e(e), range(6) f(f) WHERE len(list_distinct([a, b, c, d, e, f])) = 6),
+bits AS (SELECT p, v * (v - 1) // 2 + u AS k, greatest(to_[u + 1], to_[v + 1]) AS y, least(to_[u + 1], to_[v + 1]) AS x FROM places, range(6) u(u), range(6) v(v) WHERE u < v),
+masks AS (SELECT graph_id, CAST(sum(1 << CAST(v * (v - 1) // 2 + u AS INTEGER)) AS INTEGER) AS m FROM edges GROUP BY graph_id),
+moved AS (SELECT m, p, sum(1 << CAST(y * (y - 1) // 2 + x AS INTEGER)) AS r FROM (SELECT DISTINCT m FROM masks) JOIN bits ON (m >> CAST(k AS INTEGER)) & 1 = 1 GROUP BY m, p),
+least6 AS (SELECT m, min(r) AS r FROM moved GROUP BY m)"""
+
+
+@query(f"WITH {P6}, {LEAST6} SELECT graph_id, min(graph_id) OVER c AS class_id, count(*) OVER c AS class_graphs FROM masks JOIN least6 USING (m) WINDOW c AS (PARTITION BY r)")
+def isomorphism_classes(spark, sf):
+    """Each graph's isomorphism class, called by its least graph, and how many graphs it has."""
+    rows = graphs(spark, sf, 6, 4)
+    known = canonical.classes(rows, 6)
+    found = rows.join(known, ["n", "edges"]).select("graph_id", "class_id")
+    sizes = found.groupBy("class_id").agg(F.count("*").alias("class_graphs"))
+    return found.join(sizes, "class_id").select("graph_id", "class_id", "class_graphs")
 
 
 @query(checked6(TIGHT) + UNIVERSAL)
