@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import partitions as P
 from ..operators import verify as V
 from ..operators.canonical import classes
+from ..operators.refutation import refute
 from ..operators.search import searched, solved
 from ..operators.solve import spread
 from ..sources.stored import cut
+from .proofs import verdicts
 
 #: The checks of a universal census, (backend, palette offset).
 CHECKS = [("dsatur-iterative-v1", 1), ("static-order-iterative-v1", 1), ("dsatur-iterative-v1", 2)]
@@ -125,6 +127,21 @@ def existential(rows: DataFrame, most: int | None = None, offset: int = 2, backe
     return search(rows, offset, backend, max_nodes=max_nodes).select("graph_id", "status", "first_partition")
 
 
+def refuted(rows: DataFrame, offset: int = 0, backend: str = "dsatur-iterative-v1", max_nodes: int | None = None) -> DataFrame:
+    """(graph_id, class_id, partitions, proved, steps) for every graph that ``search`` finds
+    candidate_unsat: its partitions, those of which the proof that none extends was accepted, and the
+    proofs' clauses.  One graph of each isomorphism class is refuted."""
+    known = cut(classes(rows), "classes")
+    once = known.select(F.col("class_id").alias("graph_id"), "n", F.col("canonical").alias("edges")).distinct()
+    failed = search(once, offset, backend).where("status = 'candidate_unsat'").select("graph_id")
+    problems = P.problem(P.auxiliary(P.partitions(once.join(failed, "graph_id"))), F.lit(offset))
+    problems = cut(problems.select("graph_id", "partition_index", "items", "colours", "conflicts", "fixed"), "problems")
+    proof = cut(refute(problems, max_nodes)[1], "proof")
+    sums = verdicts(problems, proof).groupBy(F.col("graph_id").alias("class_id")).agg(F.count("*").alias("partitions"), F.count_if("accepted").alias("proved"), F.sum("steps").alias("steps"))
+    of_graph = rows.select("graph_id", "n", "edges").join(known.select("class_id", "n", "edges"), ["n", "edges"]).select("graph_id", "class_id")
+    return of_graph.join(sums, "class_id").select("graph_id", "class_id", "partitions", "proved", "steps")
+
+
 def status_counts(census: DataFrame, names: list[str] = STATUSES) -> DataFrame:
     """(status, graphs, partitions, checks) with every status present."""
     spark = census.sparkSession

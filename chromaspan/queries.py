@@ -441,6 +441,12 @@ def isomorphism_classes(spark, sf):
     return found.join(sizes, "class_id").select("graph_id", "class_id", "class_graphs")
 
 
+@query(checked6(TIGHT[:1]) + " SELECT graph_id, count(*) AS partitions, count(*) FILTER (status = 'candidate_unsat') AS proved FROM checks GROUP BY graph_id HAVING bool_and(status = 'candidate_unsat')")
+def existential_refutations(spark, sf):
+    """Graphs of which no partition extends with offset 0, and of how many partitions the proof is accepted."""
+    return census.refuted(graphs(spark, sf, 6, 4)).select("graph_id", "partitions", "proved")
+
+
 @query(checked6(TIGHT) + UNIVERSAL)
 def universal_census_tight_palette(spark, sf):
     """Palette offset 0, where partitions that don't extend are found."""
