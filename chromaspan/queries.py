@@ -431,6 +431,13 @@ moved AS (SELECT m, p, sum(1 << CAST(y * (y - 1) // 2 + x AS INTEGER)) AS r FROM
 least6 AS (SELECT m, min(r) AS r FROM moved GROUP BY m)"""
 
 
+#: CTE codecs(graph_id, graph6, fingerprint) of six vertices.
+GRAPH6_OF_SIX = f"""codecs AS (SELECT graph_id, chr(69) || string_agg(chr(CAST(63 + x AS INTEGER)), '' ORDER BY j) AS graph6, any_value(fingerprint) AS fingerprint FROM (
+  SELECT graph_id, j, coalesce(sum(32 >> CAST((v * (v - 1) // 2 + u) % 6 AS INTEGER)) FILTER ((v * (v - 1) // 2 + u) // 6 = j), 0) AS x,
+    sha256('{{"edges":[' || string_agg('[' || u || ',' || v || ']', ',' ORDER BY u, v) || '],"order":6,"schema_version":"{G.GRAPH_VERSION}"}}') AS fingerprint
+  FROM edges, range(3) t(j) GROUP BY graph_id, j) GROUP BY graph_id)"""
+
+
 @query(f"WITH {P6}, {LEAST6} SELECT graph_id, min(graph_id) OVER c AS class_id, count(*) OVER c AS class_graphs FROM masks JOIN least6 USING (m) WINDOW c AS (PARTITION BY r)")
 def isomorphism_classes(spark, sf):
     """Each graph's isomorphism class, called by its least graph, and how many graphs it has."""
