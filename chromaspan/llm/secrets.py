@@ -12,8 +12,10 @@ import json
 import re
 import random
 import string
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,9 @@ CANDIDATE = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----|[A-Za-z0-9+/_-]
 #: What follows a cue where a value is assigned: the rest of the name, a sign, and the value.
 VALUE = re.compile(r"""[\w.-]{0,40}["'\]]{0,2}[ \t]{0,8}(?:=>|:=|={1,3}|:)[ \t]{0,8}(?i:(?:bearer|basic)[ \t]+)?(?:"(?P<double>[^"\n]+)"|'(?P<single>[^'\n]+)'|(?P<bare>(?:[^\s"'`<>,;&]|[,;&](?!\s|$|[\w.-]+[=:]))+))""")
 
+#: The part of VALUE before a value.
+HEAD = re.compile(r"""[\w.-]{0,40}["'\]]{0,2}[ \t]{0,8}(?:=>|:=|={1,3}|:)[ \t]{0,8}(?i:(?:bearer|basic)[ \t]+)?""")
+
 FEATURES = ["length", "class_changes", "digit_share", "upper_share", "entropy", "repeats", "hex_only", "covered", "transitions", "test_path", "config_path", "cue_before", "doubt_near", "assigned", "quoted"]
 
 
@@ -73,6 +78,7 @@ class Lexicon:
 SMALL = Lexicon(WORDS)
 
 
+@lru_cache(maxsize=4)
 def lexicon(path: str, least: int = 4) -> Lexicon:
     """The whole words of ``least`` letters or more in the vocabulary of a public tokenizer's file, and WORDS."""
     with open(path, encoding="utf-8") as file:
@@ -91,12 +97,18 @@ class Finding:
 
 
 def values(text: str) -> list[tuple[int, int]]:
-    """Spans that are assigned to a name with a cue in it, of any length and any characters."""
-    out = set()
+    """Spans that are assigned to a name with a cue in it, of any length and any characters.
+
+    A value inside another one is left out where that is bare or has no spaces.  A bare value that begins
+    inside a bare one ends with it, so each run of characters is matched once, whatever its cues."""
+    out, covered = set(), 0
     for m in CUES.finditer(text):
-        if not (v := VALUE.match(text, m.end())):
+        head = HEAD.match(text, m.end())
+        if not head or head.end() < covered or not (v := VALUE.match(text, m.end())):
             continue
         start, end = v.span(v.lastgroup)
+        if v.lastgroup == "bare" or not any(c.isspace() for c in v[v.lastgroup]):
+            covered = v.end()
         if v.lastgroup == "bare":
             end = start + len(v["bare"].rstrip(".:)]}"))
         if end > start:
@@ -141,7 +153,7 @@ def features(text: str, start: int, end: int, path: str, words: Lexicon = SMALL)
     x, n = text[start:end], end - start
     low = x.lower()
     kind = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in x]
-    shares = [x.count(c) / n for c in set(x)]
+    shares = [k / n for k in Counter(x).values()]
     before, after = text[max(0, start - 40) : start], text[end : end + 24]
     return [
         float(n), sum(a != b for a, b in zip(kind, kind[1:], strict=False)) / n, kind.count("d") / n, kind.count("u") / n, -sum(s * float(np.log2(s)) for s in shares),
@@ -321,6 +333,12 @@ def made_runs(n: int = 1500, seed: int = 8) -> list[Finding]:
     return out
 
 
+@lru_cache(maxsize=4)
+def made_forest(words: Lexicon = SMALL) -> Forest:
+    """The forest of the findings made by a rule, trained once for each dictionary."""
+    return train_forest(made_findings() + made_values() + made_runs(), words=words)
+
+
 def scan(docs: DataFrame, findings: list[Finding] | None = None, threshold: float = 0.5, words: Lexicon = SMALL) -> DataFrame:
     """(doc_id, start, end, secret, score, is_secret), a row for each candidate of docs(doc_id, text,
     source, ...): offsets in code points, score the forest's share of class 1.
@@ -330,7 +348,7 @@ def scan(docs: DataFrame, findings: list[Finding] | None = None, threshold: floa
     table gives an empty result; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    forest = train_forest(made_findings() + made_values() + made_runs() if findings is None else findings, words=words)
+    forest = made_forest(words) if findings is None else train_forest(findings, words=words)
     names = ["doc_id", "start", "end", "secret", "score", "is_secret"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,8 +38,9 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int | None, salt: str = "") -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'page {page_id} {salt}'.encode()).digest())}>"
+def record_id(page_id: int | None, digest: str, salt: str = "") -> str:
+    """The id of a page's record with a payload of that digest."""
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'page {page_id} {digest} {salt}'.encode()).digest())}>"
 
 
 def _header(value: str) -> str:
@@ -49,16 +50,17 @@ def _header(value: str) -> str:
 
 def write_record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, level: int = 6, salt: str = "") -> bytes:
     """One gzip member.  refers_to: the response's page_id if this is a revisit.  salt: tells rows
-    with one page_id apart, '' for the row that revisits refer to."""
+    with one page_id and payload apart, '' for the one that revisits refer to."""
+    digest = sha1_base32(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, salt)}", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {_header(url)}", f"X-Page-ID: {'' if page_id is None else page_id}", f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest, salt)}", f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {_header(url)}", f"X-Page-ID: {'' if page_id is None else page_id}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}", f"WARC-Profile: {PROFILE}"]
     deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
     return deflate.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + deflate.flush()
 
@@ -133,17 +135,28 @@ def write_archives(pages: DataFrame, least: int = 0, sent: int = SENT) -> DataFr
     to learn which payloads repeat; the digests of those come back to the pages, which stay where
     they are while there are at most ``sent`` such digests.  Each task writes one archive under
     a name of its own, and only names of tasks that ended are in the table, so tasks may run again.
+
+    A record's id is made of its page_id and digest.  Of rows that have both in common the first one of the first
+    partition that has any keeps that id, and others, and rows without page_id, get one of their own, so that no
+    two records share an id in all archives.  Pages must have the same partitions whenever they are
+    read, as files have; an error says so if they haven't.
     """
     spark = pages.sparkSession
     small_batches(spark)
     col = {c: F.col(place(pages, c)) for c in ("page_id", "url", "html")}
-    rows = positional(pages).select(*[(x.cast("long") if c == "page_id" else F.coalesce(x.cast("string"), F.lit(""))).alias(c) for c, x in col.items()])
+    rows = positional(pages).select(*[(x.cast("long") if c == "page_id" else F.coalesce(x.cast("string"), F.lit(""))).alias(c) for c, x in col.items()], F.spark_partition_id().alias("part"))
     sha, n = F.unhex(F.sha2("html", 256)), F.octet_length("html")
-    same = rows.where(n >= least).select(sha.alias("sha"), "page_id").groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("k"))
-    same = cut(same.where("k > 1").select("sha", "first"), "same", rows.count() // 2)
-    joined = rows.withColumn("n", n).withColumn("sha", sha).join(sized(same, sent), "sha", "left")
+    keys = cut(rows.select(sha.alias("sha"), "page_id", "part", (n >= least).alias("long")).groupBy("sha", "page_id", "long").agg(F.count("*").alias("k"), F.min("part").alias("first_part")), "keys")
+    total, known = keys.agg(F.coalesce(F.sum("k"), F.lit(0)), F.count("page_id")).first()
+    same = keys.where("long").groupBy("sha").agg(F.min("page_id").alias("first"), F.sum("k").alias("k"))
+    same = cut(same.where("k > 1").select("sha", "first"), "same", total // 2)
+    again = cut(keys.where("k > 1 AND page_id IS NOT NULL").select("sha", "page_id", "first_part"), "again", total // 2)
+    drop(keys)
+    joined = rows.withColumn("n", n).withColumn("sha", sha).join(sized(same, sent), "sha", "left").join(sized(again, sent), ["sha", "page_id"], "left")
     refers = F.when((F.col("n") >= least) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    joined = joined.select("page_id", "url", "html", refers.alias("refers_to"))
+    # 0: the id is free, 1: the first such row of the task has it, 2: it's another task's.
+    taken = F.when(F.col("page_id").isNull(), 2).when(F.col("first_part").isNull(), 0).when(F.col("first_part") == F.col("part"), 1).otherwise(2)
+    joined = joined.select("page_id", "url", "html", refers.alias("refers_to"), taken.alias("taken"), "part", "sha")
     folder = new_path(spark, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,20 +164,23 @@ def write_archives(pages: DataFrame, least: int = 0, sent: int = SENT) -> DataFr
 
         store, top = fs.FileSystem.from_uri(folder)
         store.create_dir(top)
-        name, n, out, seen = f"{uuid.uuid4().hex}.warc.gz", 0, None, set()
+        name, n, own, out, seen = f"{uuid.uuid4().hex}.warc.gz", 0, 0, None, set()
         for b in batches:
-            for page_id, url, html, to in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for page_id, url, html, to, taken, part, sha in zip(*(b.column(i).cast(pa.binary()).to_pylist() if i == 2 else b.column(i).to_pylist() for i in range(7)), strict=True):
                 out = out or store.open_output_stream(f"{top}/{name}", compression=None)
-                # A page_id that comes again gets a salt, so that no two records share an id.
-                again = page_id is None or page_id in seen
-                seen.add(page_id)
-                out.write(write_record(page_id, url, html, to, salt=f"{name} {n}" if again else ""))
-                n += 1
+                salted = taken == 2 or taken == 1 and (page_id, sha, part) in seen
+                if taken == 1:
+                    seen.add((page_id, sha, part))
+                out.write(write_record(page_id, url, html, to, salt=f"{name} {n}" if salted else ""))
+                n, own = n + 1, own + (not salted)
         if out:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64())], ["path", "records"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64()), pa.array([own], pa.int64())], ["path", "records", "own"])
 
-    return cut(joined.mapInArrow(run, "path string, records long"), "archives")
+    made = cut(joined.mapInArrow(run, "path string, records long, own long"), "archives")
+    if made.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0] != known:
+        raise WarcError("pages changed their partitions while they were read: write them to a table first")
+    return made.select("path", "records")
 
 
 def read_archives(files: DataFrame) -> DataFrame:
