@@ -167,10 +167,22 @@ def test_pivots_are_involutions_and_codes_decode(spark):
     cols = range(len(p.indegrees))
     coded = rows.withColumn("code", D.code(p, F.lit(0), [F.lit(c + 1) for c in cols], [F.col(f"s{c}") for c in cols])).withColumn("x", D.decoded(p, F.col("code")))
     assert coded.where("x.root = 0 AND x.targets = array(1, 2, 3, 4) AND x.sources = array(s0, s1, s2, s3)").count() == 50 and coded.select("code").distinct().count() == 50
-    for r in rows.collect():
-        orbit = D._orbit((0, (1, 2, 3, 4), tuple(r)))
-        assert all(D._orbit(s) == orbit for s in orbit)
-        assert {D._certificate(p, {s}) for s in orbit} and D._certificate(p, orbit) == min(D._certificate(p, {s}) for s in orbit)
+    starts = rows.limit(8).select(F.array("s0", "s1", "s2", "s3").alias("start"), F.lit(0).alias("root"), F.lit([1, 2, 3, 4]).cast("array<int>").alias("targets"), F.array("s0", "s1", "s2", "s3").alias("sources"))
+    found = D.orbits(starts)
+    state = lambda r: (r.root, tuple(r.targets), tuple(r.sources))
+    by = {}
+    for r in found.collect():
+        by.setdefault(tuple(r.start), set()).add(state(r))
+    # Each state of an orbit leads to all of it.
+    again = {}
+    each = found.select(F.concat("start", F.array("root"), "targets", "sources").alias("start"), *D.STATE)
+    for r in D.orbits(each).collect():
+        again.setdefault(tuple(r.start), set()).add(state(r))
+    assert len(by) == 8 and all(again[*s, x[0], *x[1], *x[2]] == orbit for s, orbit in by.items() for x in orbit)
+    # An orbit's certificate is the least of those of its states alone.
+    whole = {tuple(r.start): ([int(m) for m in r.masks.split(",")], r.deficit) for r in D.certificates(found, p).collect()}
+    alone = {tuple(r.start): ([int(m) for m in r.masks.split(",")], r.deficit) for r in D.certificates(each, p).collect()}
+    assert whole == {s: min(alone[*s, x[0], *x[1], *x[2]] for x in orbit) for s, orbit in by.items()}
 
 
 def test_generator_s_proposals_and_labels(spark):
