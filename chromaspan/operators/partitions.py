@@ -77,6 +77,38 @@ def counted(n: int, free: Column, size: Column) -> Column:
     return F.aggregate(F.transform(table, lambda x, m: F.when(F.bit_count(m) == 2 * size, x).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def merged_counts(rows: DataFrame, size: str, most: int | None = None) -> DataFrame:
+    """rows(graph_id, n, edges, size) -> (graph_id, counted): the number of matchings of ``size`` edges of the
+    complement, by states that merge.
+
+    A round decides one vertex of every graph: it stays single or is matched with a later one.  What
+    matters from then on is which later vertices are taken and how many pairs are to come; states
+    that agree in both are one row.  ``most`` bounds n, and so the rounds, and is at most 62."""
+    if most is None:
+        most = rows.agg(F.max("n")).first()[0] or 0  # one number
+    one = F.lit(1).cast("long")
+    bit = lambda v: shift_left(one, v)
+    at = F.sequence(F.lit(0), F.col("n") - 1)
+    free = G.complement(F.col("n"), F.col("edges"))
+    later = F.transform(at, lambda v: F.aggregate(F.filter(free, lambda e: e["u"] == v), F.lit(0).cast("long"), lambda m, e: m.bitwiseOR(bit(e["v"]))))
+    large = F.raise_error(F.concat(F.lit("a graph has "), F.col("n").cast("string"), F.lit(f" vertices, more than the {min(most, 62)} allowed"))).cast("int")
+    rows = rows.withColumn("n", F.when(F.col("n") > min(most, 62), large).otherwise(F.col("n")))
+    states = rows.where(F.col(size) >= 0).select("graph_id", "n", later.alias("later"), F.lit(0).cast("long").alias("taken"), F.col(size).cast("int").alias("left"), one.alias("ways"))
+    for v in range(min(most, 62)):
+        mine, last = 1 << v, F.col("n") <= v
+        partners = F.filter(F.sequence(F.lit(v), F.col("n") - 1), lambda w: (F.get("later", F.lit(v)).bitwiseAND(bit(w)) != 0) & (F.col("taken").bitwiseAND(bit(w)) == 0))
+        stay = F.array(F.struct(F.col("taken").bitwiseAND(F.lit(~mine)).alias("taken"), F.col("left").alias("left")))
+        paired = F.transform(partners, lambda w: F.struct(F.col("taken").bitwiseOR(bit(w)).alias("taken"), (F.col("left") - 1).alias("left")))
+        none = F.col("taken").bitwiseAND(mine) != 0
+        more = F.when(last | none | (F.col("left") == 0), stay).otherwise(F.concat(stay, paired))
+        states = states.select("graph_id", "n", "later", "ways", F.explode(more).alias("s")).select("graph_id", "n", "later", F.col("s.taken").alias("taken"), F.col("s.left").alias("left"), "ways")
+        # Each pair to come needs two vertices that are left.
+        enough = F.col("n") - (v + 1) - F.bit_count("taken") >= 2 * F.col("left")
+        states = states.where(last | enough).groupBy("graph_id", "n", "later", "taken", "left").agg(F.sum("ways").alias("ways"))
+    found = states.where("left = 0").groupBy("graph_id").agg(F.sum("ways").alias("counted"))
+    return rows.select("graph_id").join(found, "graph_id", "left").select("graph_id", F.coalesce("counted", F.lit(0)).alias("counted"))
+
+
 def auxiliary(rows: DataFrame) -> DataFrame:
     """partitions -> with h_n, h_edges (sorted) and marked, the indices in it of pair and star edges."""
     star = F.transform("single_vertices", lambda v: F.struct(v.alias("u"), F.col("n").alias("v")))

@@ -12,7 +12,7 @@ from .functions import graphs as G
 from .operators import canonical, cnf, partitions, problems, verify
 from .operators.solve import solve, spread
 from .plans import census, completeness, dependency
-from .plans import counting
+from .plans import counting, ordinals
 from .sources.families import edges, graphs, vertices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -376,6 +376,33 @@ def partition_counts(spark, sf):
     return listed.join(summed, "graph_id").select("graph_id", "enumerated", "counted")
 
 
+@query(f"WITH {P8}, {free(8)}, {eligible(8)}, {matched(8)} SELECT p.graph_id, count(m.graph_id) AS counted FROM prof p LEFT JOIN parts m USING (graph_id) WHERE outcome = '' GROUP BY p.graph_id")
+def merged_partition_counts(spark, sf):
+    """Equitable partitions of graphs of eight vertices, counted by states that merge."""
+    rows = partitions.profile(graphs(spark, sf, 8, 8)).where("outcome = ''")
+    return partitions.merged_counts(rows, "pairs", 8)
+
+
+ORDINALS = f"WITH {P6}, {free(6)}, {eligible(6)}, {matched(6)}, o AS (SELECT graph_id, partition_index, row_number() OVER (ORDER BY graph_id, partition_index) - 1 AS ordinal FROM parts)"
+
+
+def _units(spark, sf):
+    """A unit of work for each equitable partition, in order, and the seven shards that bounded searches take."""
+    units = partitions.partitions(graphs(spark, sf, 6, 4), 3).select("graph_id", "partition_index")
+    return ordinals.dealt(ordinals.numbered(units, "graph_id", "partition_index"), 7, 100)
+
+
+@query(ORDINALS + " SELECT graph_id, partition_index, ordinal, CAST(ordinal % 7 AS INTEGER) AS shard, ordinal // 7 < 100 AS started FROM o")
+def search_ordinals(spark, sf):
+    return _units(spark, sf)
+
+
+@query(ORDINALS + """ SELECT CAST(s.i AS INTEGER) AS shard, count(ordinal) AS units, count(ordinal) FILTER (ordinal // 7 < 100) AS started, min(ordinal) FILTER (ordinal // 7 < 100) AS "first", max(ordinal) FILTER (ordinal // 7 < 100) AS "last",
+CASE WHEN count(ordinal) > 100 THEN 'bounded' ELSE 'complete' END AS status FROM range(7) s(i) LEFT JOIN o ON ordinal % 7 = s.i GROUP BY s.i""")
+def search_receipts(spark, sf):
+    return ordinals.receipts(_units(spark, sf), 7)
+
+
 @query(f"""WITH {P6}, {free(6)}, {eligible(6)}, {matched(6)} SELECT graph_id, partition_index, CAST(6 + (singles > 0)::INTEGER AS INTEGER) AS h_vertices, CAST((SELECT count(*) FROM edges e WHERE e.graph_id = parts.graph_id) + d AS INTEGER) AS h_edges, CAST(d AS INTEGER) AS marked, CAST(d AS INTEGER) AS h_max_degree FROM parts""")
 def aux_invariants(spark, sf):
     rows = partitions.auxiliary(partitions.partitions(graphs(spark, sf, 6, 4), 3))
@@ -656,6 +683,22 @@ def kempe_components(spark, sf):
     return components(_synthetic(spark, sf, 7), 1, 4)
 
 
+@query(f"""WITH RECURSIVE {P8}, ec AS (SELECT *, (u + v) % 8 AS c FROM edges), inc AS (SELECT graph_id, u AS a, v AS b, c FROM ec UNION ALL SELECT graph_id, v, u, c FROM ec),
+cs AS (SELECT DISTINCT graph_id, c FROM ec), half AS (SELECT i.graph_id, x.c AS x, y.c AS y, a, b, i.c FROM cs x JOIN cs y ON y.graph_id = x.graph_id AND x.c < y.c JOIN inc i ON i.graph_id = x.graph_id AND i.c IN (x.c, y.c)),
+reach AS (SELECT graph_id, x, y, a AS s, a AS t FROM half UNION SELECT r.graph_id, r.x, r.y, s, h.b FROM reach r JOIN half h ON h.graph_id = r.graph_id AND h.x = r.x AND h.y = r.y AND h.a = r.t),
+part AS (SELECT graph_id, x, y, s AS a, min(t) AS component FROM reach GROUP BY ALL), deg1 AS (SELECT graph_id, x, y, a FROM half GROUP BY ALL HAVING count(*) = 1),
+start AS (SELECT graph_id, x, y, component, coalesce(m, component) AS a, m IS NULL AS cyc FROM (SELECT p.graph_id, p.x, p.y, component, min(d.a) AS m FROM part p LEFT JOIN deg1 d ON d.graph_id = p.graph_id AND d.x = p.x AND d.y = p.y AND d.a = p.a GROUP BY ALL)),
+walk AS (SELECT s.graph_id, s.x, s.y, component, cyc, s.a AS root, 0 AS pos, h.a, h.b, h.c FROM start s JOIN half h ON h.graph_id = s.graph_id AND h.x = s.x AND h.y = s.y AND h.a = s.a AND (NOT cyc OR h.c = h.x)
+  UNION ALL SELECT w.graph_id, w.x, w.y, component, cyc, root, pos + 1, h.a, h.b, h.c FROM walk w JOIN half h ON h.graph_id = w.graph_id AND h.x = w.x AND h.y = w.y AND h.a = w.b AND h.c = w.x + w.y - w.c WHERE NOT (cyc AND w.b = root))
+SELECT graph_id, CAST(x AS INTEGER) AS "first", CAST(y AS INTEGER) AS "second", CAST(component AS INTEGER) AS component, CASE WHEN cyc THEN 'cycle' ELSE 'path' END AS kind, CAST(pos AS INTEGER) AS position, a AS tail, b AS head, CAST(c AS INTEGER) AS color FROM walk""")
+def kempe_walks(spark, sf):
+    """Canonical walks of all two-colour components, each edge coloured by the sum of its ends."""
+    from .plans.kempe import walks
+
+    coloured = edges(graphs(spark, sf, 8, 8)).select("graph_id", "u", "v", ((F.col("u") + F.col("v")) % 8).cast("int").alias("color"))
+    return walks(coloured)
+
+
 PAIRED = [("sharp", "verified_one_swap_exit", 12, 0, 4, 0, 0), ("hard_residual", "verified_two_swap_orbit_exit", 12, 2, 0, 0, 0), ("cross_cross_residual", "verified_two_swap_orbit_exit", 12, 2, 0, 0, 0), ("nonaligned_release", "verified_cross_terminal_release_exit", 12, 1, 0, 3, 0)]
 
 
