@@ -12,8 +12,9 @@ from .functions import graphs as G
 from .operators import canonical, cnf, partitions, problems, verify
 from .operators.solve import solve, spread
 from .plans import census, completeness, dependency
-from .plans import counting, ordinals
+from .plans import counting, cuts, ordinals
 from .sources.families import edges, graphs, vertices
+from .sources.stored import cut, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -481,6 +482,23 @@ def existential_refutations(spark, sf):
     return census.refuted(graphs(spark, sf, 6, 4)).select("graph_id", "partitions", "proved")
 
 
+@query(checked6(TIGHT[:1]) + " SELECT graph_id, count(*) AS partitions, count(*) FILTER (status = 'witness') AS proper FROM checks GROUP BY graph_id")
+def cut_loop_tight_palette(spark, sf):
+    """Graphs' partitions with palette offset 0, one graph of each class by the cut loop: those that end with a colouring
+    that breaks none of all conflicts, and that a replay of the stored rounds finds no fault in."""
+    rows = graphs(spark, sf, 6, 4)
+    known = cut(canonical.classes(rows, 6), "classes")
+    once = known.select(F.col("class_id").alias("graph_id"), "n", F.col("canonical").alias("edges")).distinct()
+    found = cut(partitions.problem(partitions.auxiliary(partitions.partitions(once, 3)), F.lit(0)).select(*cuts.PROBLEM), "problems")
+    path = new_path(spark, "rounds")
+    done = cuts.loop(found, path)
+    sound = done.join(found.select(*cuts.KEY, "conflicts"), cuts.KEY).join(cuts.replay(found, path), cuts.KEY, "left_anti")
+    good = F.col("assignment").isNotNull() & (F.size(cuts.broken(F.col("conflicts"), F.col("assignment"))) == 0)
+    by_class = done.groupBy("graph_id").agg(F.count("*").alias("partitions")).join(sound.groupBy("graph_id").agg(F.count_if(good).alias("proper")), "graph_id")
+    of_graph = rows.join(known.select("class_id", "n", "edges"), ["n", "edges"]).select("graph_id", "class_id")
+    return of_graph.join(by_class.withColumnRenamed("graph_id", "class_id"), "class_id").select("graph_id", "partitions", "proper")
+
+
 @query(checked6(TIGHT) + UNIVERSAL)
 def universal_census_tight_palette(spark, sf):
     """Palette offset 0, where partitions that don't extend are found."""
