@@ -23,11 +23,12 @@ from .shared import cut, drop, parts, place, positional
 SEED = 7
 EPOCHS = 2
 SHARE = 0.8
-#: Weights of languages among the children of a domain; all others, and all domains and sources, weigh OTHER.
-WEIGHTS = {"en": 50, "de": 20, "fr": 20, "es": 20}
-OTHER = 10
 DOMAINS = 3
 PATH = ["domain", "lang", "source"]
+#: Weights of the children of a node by level and name; names that aren't told weigh OTHER.
+Weights = dict[str, dict[str, int]]
+WEIGHTS: Weights = {"lang": {"en": 50, "de": 20, "fr": 20, "es": 20}}
+OTHER = 10
 #: A table of at most this many leaves is broadcast (some 20 MB); a larger one is joined by SALTS.
 LEAVES = 100_000
 SALTS = 32
@@ -58,24 +59,38 @@ def _by_leaf(rows: DataFrame, of_leaf: DataFrame, path: list[str], key: list[str
     return rows.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [*path, "salt"]).drop("salt")
 
 
-def _weight(name: str):
-    if name != "lang":
-        return F.lit(OTHER).cast("long")
-    pairs = [F.when(F.col("lang") == k, v) for k, v in WEIGHTS.items()]
-    return F.coalesce(*pairs, F.lit(OTHER)).cast("long")
+def checked_weights(weights: Weights) -> Weights:
+    """The weights, if their levels are those of the tree and each is a whole number from 1 to a million."""
+    if odd := sorted(set(weights) - set(PATH)):
+        raise ValueError(f"no level {odd[0]}: levels are {', '.join(PATH)}")
+    for level, by_name in weights.items():
+        for name, w in by_name.items():
+            if not isinstance(name, str) or type(w) is not int or not 1 <= w <= 1_000_000:
+                raise ValueError(f"{level} {name!r} has the weight {w!r}, not a whole number from 1 to 1,000,000")
+    return weights
+
+
+def _weight(level: str, weights: Weights):
+    told = weights.get(level, {})
+    pairs = [x for name in sorted(told) for x in (F.lit(name), F.lit(told[name]))]
+    # A map is looked up at once, however many names there are.
+    found = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(level)), F.lit(OTHER)) if pairs else F.lit(OTHER)
+    return found.cast("long")
 
 
-def budgets(supply: DataFrame, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+def budgets(supply: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weights: Weights = WEIGHTS) -> DataFrame:
     """supply(domain, lang, source, tokens) -> the same with budget: the tokens that a leaf gives.
 
+    ``weights`` are target weights of nodes among their siblings, by level and name.
     The budget is ``share`` of all tokens, rounded down; rounding loses under one token a node.
     """
+    checked_weights(weights)
     leaf = supply.withColumn("cap", F.col("tokens") * epochs)
     total = supply.agg(F.floor(F.sum("tokens") * F.lit(share)).alias("given"))
     up = total.select("given")
     for depth, name in enumerate(PATH):
         parent, node = PATH[:depth], PATH[: depth + 1]
-        rows = leaf.groupBy(*node).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(name))
+        rows = leaf.groupBy(*node).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(name, weights))
         rows = rows.join(up, parent) if parent else rows.crossJoin(F.broadcast(up))  # one row: the root
         w = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
         order = w.orderBy(F.col("cap") / F.col("w"), name)
@@ -99,11 +114,11 @@ def _key(epoch: str, tokens: str, doc_id: str = "doc_id"):
     return F.md5(F.concat_ws(":", F.lit(str(SEED)), F.col(epoch).cast("string"), doc, F.col(tokens).cast("string")))
 
 
-def plan(rows: DataFrame, share: float = SHARE, epochs: int = EPOCHS, most: int = LEAVES) -> DataFrame:
+def plan(rows: DataFrame, share: float = SHARE, epochs: int = EPOCHS, most: int = LEAVES, weights: Weights = WEIGHTS) -> DataFrame:
     """(domain, lang, source, budget, whole, bound): a leaf gives ``whole`` epochs and, of the next
     one, the documents whose key is at most ``bound`` (none where that is null)."""
     supply = rows.groupBy(*PATH).agg(F.sum("tokens").alias("tokens"))
-    given = budgets(supply, share, epochs)
+    given = budgets(supply, share, epochs, weights)
     whole = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(1)
     given = cut(given.select(*PATH, "budget", whole.cast("int").alias("whole"), (F.col("budget") - whole * F.col("tokens")).alias("rest")), "budgets")
     n = given.count()
@@ -122,10 +137,11 @@ def plan(rows: DataFrame, share: float = SHARE, epochs: int = EPOCHS, most: int
     return made
 
 
-def _taken(docs: DataFrame, share: float, epochs: int, most: int) -> DataFrame:
+def _taken(docs: DataFrame, share: float, epochs: int, most: int, weights: Weights) -> DataFrame:
     """docs under positional names, a row for each epoch, and domain, tokens, epoch, budget."""
+    checked_weights(weights)
     seen = cut(leaves(parts(docs, "doc_id", "text", "lang", "source")), "leaves")
-    chosen = plan(seen, share, epochs, most)
+    chosen = plan(seen, share, epochs, most, weights)
     drop(seen)
     rows, doc = positional(docs), place(docs, "doc_id")
     own = rows.columns
@@ -135,9 +151,11 @@ def _taken(docs: DataFrame, share: float, epochs: int, most: int) -> DataFrame:
     return rows.select(*own, "domain", "tokens", F.explode(F.sequence(F.lit(0), F.col("takes") - 1)).alias("epoch"), "budget")
 
 
-def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, most: int = LEAVES) -> DataFrame:
+def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, most: int = LEAVES, weights: Weights = WEIGHTS) -> DataFrame:
     """docs' rows that the mix takes, once for each epoch, with __domain, __tokens, __epoch, __budget.
 
+    ``weights`` tells the target weights of domains, languages and sources among their siblings, as
+    {"domain": {"d0": 3}, "lang": {...}, "source": {...}}; what isn't told weighs OTHER.
     The document in which a leaf's prefix ends is taken whole.  Documents without words come with
     each whole epoch only, of which a leaf without any words has one.  Null language or source are
     the value ''; a null text has no words.  Rows equal in doc_id and words share a key and are
@@ -146,23 +164,23 @@ def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, most: int =
     """
     names = ["__domain", "__tokens", "__epoch", "__budget"]
     kept = [i for i, c in enumerate(docs.columns) if c.lower() not in names]
-    out = _taken(docs, share, epochs, most).select(*[f"c{i}" for i in kept], "domain", "tokens", "epoch", "budget")
+    out = _taken(docs, share, epochs, most, weights).select(*[f"c{i}" for i in kept], "domain", "tokens", "epoch", "budget")
     return out.toDF(*[docs.columns[i] for i in kept], *names)
 
 
-def take(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, most: int = LEAVES) -> DataFrame:
+def take(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, most: int = LEAVES, weights: Weights = WEIGHTS) -> DataFrame:
     """The rows of ``mix`` with docs' columns only, all of them as they are."""
-    return _taken(docs, share, epochs, most).select(*positional(docs).columns).toDF(*docs.columns)
+    return _taken(docs, share, epochs, most, weights).select(*positional(docs).columns).toDF(*docs.columns)
 
 
-def oracle(share: float = SHARE, epochs: int = EPOCHS) -> str:
+def oracle(share: float = SHARE, epochs: int = EPOCHS, weights: Weights = WEIGHTS) -> str:
     """The same rows by direct sums over whole leaves."""
-    weights = " ".join(f"WHEN lang = '{k}' THEN {v}" for k, v in WEIGHTS.items())
+    cases = {level: " ".join(f"WHEN {level} = '{k}' THEN {v}" for k, v in told.items()) for level, told in weights.items()}
     levels = [f"supply AS (SELECT {', '.join(PATH)}, CAST(sum(tokens) AS HUGEINT) AS tokens FROM docs GROUP BY ALL)", f"up0 AS (SELECT CAST(floor(sum(tokens) * {share}) AS HUGEINT) AS given FROM supply)"]
     for d, name in enumerate(PATH):
         parent, node = ", ".join(PATH[:d]), ", ".join(PATH[: d + 1])
         by = f"PARTITION BY {parent}" if d else ""
-        w = f"CASE {weights} ELSE {OTHER} END" if name == "lang" else str(OTHER)
+        w = f"CASE {cases[name]} ELSE {OTHER} END" if cases.get(name) else str(OTHER)
         join = f"JOIN up{d} USING ({parent})" if d else f"CROSS JOIN up{d}"
         levels += [
             f"n{d} AS (SELECT {node}, sum(tokens) * {epochs} AS cap, {w} AS w FROM supply GROUP BY {node})",

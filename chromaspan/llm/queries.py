@@ -21,8 +21,21 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), words=secrets.lexicon(TOKENIZER))
 
 
+#: Weights at all levels, far from those of the supply: some domains and sources run short.
+UNEVEN = {"domain": {"d0": 6, "d1": 3, "d2": 1}, "lang": {"en": 5, "de": 40, "fr": 15, "es": 1}, "source": {f"src{i}": 1 + i * i for i in range(20)}}
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return _mixed(spark, sf_dir)
+
+
+def op2_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target weights of domains, languages and sources, half of all tokens."""
+    return _mixed(spark, sf_dir, share=0.5, weights=UNEVEN)
+
+
+def _mixed(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), **settings)
     leaf = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]
     return rows.select("doc_id", F.col("__domain").alias("domain"), *leaf, F.col("__tokens").alias("tokens"), F.col("__epoch").alias("epoch"), F.col("__budget").alias("budget"))
 
@@ -80,11 +93,12 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_source_mixing, op3_near_dedup, op4_packing, op5_quality, op6_media_columns, op7_warc, op8_exact_dedup, op9_line_dedup, op9_every_line, op10_personal_data, op11_embedding_whitening, op12_decontamination)
+    f.__name__: f for f in (op1_secret_scan, op2_source_mixing, op2_weighted_mixing, op3_near_dedup, op4_packing, op5_quality, op6_media_columns, op7_warc, op8_exact_dedup, op9_line_dedup, op9_every_line, op10_personal_data, op11_embedding_whitening, op12_decontamination)
 }
 
 ORACLES: dict[str, str] = {
     "op2_source_mixing": mixing.oracle(),
+    "op2_weighted_mixing": mixing.oracle(0.5, weights=UNEVEN),
     "op8_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))""",
