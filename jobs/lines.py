@@ -8,8 +8,10 @@ make it and the least document that does.
 
 Documents are a file stream with a checkpoint: a run takes the files that no run took before and ends.  Each
 batch leaves its counts by graph under the checkpoint in a partition of its own, which a batch that is
-tried again replaces.  A language's part of the catalogue is then made from all counts of the language, if the
-run or a run before it that broke off brought any.  The checkpoint belongs to one ``out``.
+tried again replaces.  For each language with counts that are new, by this run or one that broke off, its sums so far
+and those counts make its part of the catalogue, and then the sums for the next run.  So a run reads
+neither old documents nor old counts, and a language without news is left alone.  The checkpoint belongs
+to one ``out``.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from chromaspan.functions import graphs as G
 from chromaspan.operators import partitions
+from chromaspan.sources.stored import cut
 
 from .common import LOG, begun, command, read_back, written
 
@@ -27,7 +30,7 @@ SETTINGS = {"order": 8, "least": 4, "files": 0}
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 EDGES = "array<struct<u:int,v:int>>"
 COUNTS = f"n int, edges {EDGES}, lines long, first_doc long, lang string, batch long"
-FOLDED = "done boolean, lang string, batch long"
+SUMS = f"n int, edges {EDGES}, lines long, first_doc long, lang string, upto long"
 CATALOGUE = "graph6 string, fingerprint string, size int, max_degree int, outcome string, lines long, first_doc long, lang string"
 #: A document without a language.
 NO_LANGUAGE = "und"
@@ -48,9 +51,8 @@ def graphs_of(documents: DataFrame, order: int, least: int) -> DataFrame:
     return made.where(F.size("edges") > 0).groupBy("lang", "n", "edges").agg(F.count("*").alias("lines"), F.min("doc_id").alias("first_doc"))
 
 
-def catalogue(counts: DataFrame) -> DataFrame:
-    """Counts by batch -> rows of the catalogue."""
-    whole = counts.groupBy("lang", "n", "edges").agg(F.sum("lines").alias("lines"), F.min("first_doc").alias("first_doc"))
+def catalogue(whole: DataFrame) -> DataFrame:
+    """(lang, n, edges, lines, first_doc) -> rows of the catalogue."""
     n, edges = F.col("n"), F.col("edges")
     return partitions.profile(whole).select(
         G.graph6(n, edges).alias("graph6"), G.fingerprint(n, edges).alias("fingerprint"), F.size("edges").alias("size"), (F.col("d") - 1).alias("max_degree"), "outcome", "lines", "first_doc", "lang")
@@ -67,8 +69,8 @@ def _stream(spark: SparkSession, path: str, files: int) -> DataFrame:
 
 def run(spark: SparkSession, documents: str, out: str, checkpoint: str, settings: dict = SETTINGS) -> None:
     """Brings the catalogue up to date with the documents table."""
-    counts, folded = f"{checkpoint}/counts", f"{checkpoint}/folded"
-    for path, schema, by in ((counts, COUNTS, ("lang", "batch")), (folded, FOLDED, ("lang", "batch")), (f"{out}/catalogue", CATALOGUE, ("lang",))):
+    counts, sums = f"{checkpoint}/counts", f"{checkpoint}/sums"
+    for path, schema, by in ((counts, COUNTS, ("lang", "batch")), (sums, SUMS, ("lang", "upto")), (f"{out}/catalogue", CATALOGUE, ("lang",))):
         begun(spark, path, schema, *by)
 
     def put(batch: DataFrame, number: int) -> None:
@@ -82,15 +84,22 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str, settings
         query.stop()
     LOG.info("read %d new rows of %s in %d batches", sum(p["numInputRows"] for p in query.recentProgress), documents, sum(p["numInputRows"] > 0 for p in query.recentProgress))
 
-    # Counts that the catalogue may lack: a run marks those whose languages it has written.
-    batches = [read_back(spark, path, schema).select("lang", "batch").distinct() for path, schema in ((counts, COUNTS), (folded, FOLDED))]
-    fresh = batches[0].join(batches[1], ["lang", "batch"], "left_anti")
-    if fresh.isEmpty():
+    # A language's sums hold its batches up to a number.  They are written behind the catalogue: a run that broke
+    # off in between is made up for by the next one.
+    known = read_back(spark, sums, SUMS)
+    upto = [(r["lang"], r["upto"]) for r in known.groupBy("lang").agg(F.max("upto").alias("upto")).collect()]  # a row a language
+    # A lookup in a literal reads only the names of partitions, so others aren't opened.
+    mine = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in upto for x in pair]), F.col("lang")), F.lit(-1)) if upto else F.lit(-1)
+    fresh = read_back(spark, counts, COUNTS).where(F.col("batch") > mine)
+    last = fresh.groupBy("lang").agg(F.max("batch").alias("last"))
+    if last.isEmpty():
         LOG.info("nothing new")
         return
-    known = read_back(spark, counts, COUNTS).join(fresh.select("lang").distinct(), "lang", "left_semi")
-    written(catalogue(known).hint("rebalance", "lang"), f"{out}/catalogue", "lang", partitionOverwriteMode="dynamic")
-    fresh.withColumn("done", F.lit(True)).coalesce(1).write.mode("append").partitionBy("lang", "batch").parquet(folded)
+    held = known.where(F.col("upto") == mine).join(last, "lang", "left_semi")
+    both = held.select("lang", "n", "edges", "lines", "first_doc").union(fresh.select("lang", "n", "edges", "lines", "first_doc"))
+    whole = cut(both.groupBy("lang", "n", "edges").agg(F.sum("lines").alias("lines"), F.min("first_doc").alias("first_doc")), "lines")
+    written(catalogue(whole).hint("rebalance", "lang"), f"{out}/catalogue", "lang", partitionOverwriteMode="dynamic")
+    written(whole.join(last, "lang").withColumnRenamed("last", "upto").hint("rebalance", "lang"), sums, "lang", "upto", partitionOverwriteMode="dynamic")
     LOG.info("the catalogue has %d rows", read(spark, out).count())
 
 

@@ -43,6 +43,29 @@ def test_census_runs_again(spark, tmp_path, caplog):
     assert "reading 6000 rows" in caplog.text and "375 graphs, 375 records" in caplog.text
 
 
+def test_census_with_proofs(spark, tmp_path, caplog):
+    """With the tightest palette some graphs aren't verified: each partition that a check found none for has an accepted proof."""
+    source, out = str(tmp_path / "some.parquet"), str(tmp_path / "out")
+    spark.read.parquet(f"{SF}/lineitem.parquet").where("l_orderkey < 160").write.parquet(source)
+    settings = census.SETTINGS | {"checks": [["dsatur-iterative-v1", 0]]}
+    found = []
+    with caplog.at_level(logging.INFO, "jobs"):
+        for _ in range(2):
+            census.run(spark, source, out, settings)
+            found.append([rows_of(common.read_back(spark, f"{out}/{t}", s)) for t, s in (("proofs", census.PROOFS), ("verdicts", census.VERDICTS))])
+    assert found[0] == found[1]
+    records = common.read_back(spark, f"{out}/records", census.RECORDS)
+    failed = records.where("status = 'candidate_unsat'").groupBy("class_id").agg({"checks": "max", "witnesses": "max"}).collect()
+    verdicts = common.read_back(spark, f"{out}/verdicts", census.VERDICTS).collect()
+    by = defaultdict(int)
+    for r in verdicts:
+        by[r.class_id] += 1
+    assert failed and dict(by) == {r.class_id: r["max(checks)"] - r["max(witnesses)"] for r in failed} and {r.status for r in verdicts} == {"accepted"}
+    proofs = common.read_back(spark, f"{out}/proofs", census.PROOFS).collect()
+    assert len(proofs) == sum(r.steps for r in verdicts) and sum(r.clause == "0" for r in proofs) == len(verdicts)
+    assert f"{len(verdicts)} proofs accepted, 0 partitions without one" in caplog.text
+
+
 def test_census_of_nothing(spark, tmp_path):
     source = str(tmp_path / "none.parquet")
     spark.read.parquet(f"{SF}/lineitem.parquet").limit(0).write.parquet(source)
@@ -134,11 +157,30 @@ def test_runs_that_break_off(spark, tmp_path, monkeypatch):
     lines.run(spark, source, out, state)
     for name in ("1", ".1.crc"):
         os.remove(f"{state}/stream/commits/{name}")
-    shutil.rmtree(f"{state}/folded")
+    for d, folders, _ in os.walk(f"{state}/sums"):
+        for f in folders:
+            if f == "upto=1":
+                shutil.rmtree(f"{d}/{f}")
     lines.run(spark, source, out, state)
     assert catalogue(spark, out) == brute([(r.doc_id, r.text, r.lang) for r in table.collect()])
 
 
+def test_counts_that_were_summed_up_are_not_read_again(spark, tmp_path):
+    table = spark.read.schema(SCHEMA).parquet(f"{SF}/documents.parquet")
+    source, out, state = str(tmp_path / "docs"), str(tmp_path / "out"), str(tmp_path / "state")
+    table.where("doc_id % 2 = 0").coalesce(1).write.parquet(source)
+    lines.run(spark, source, out, state)
+    for d, folders, _ in os.walk(f"{state}/counts"):  # what the first run counted is gone
+        for f in folders:
+            if f == "batch=0":
+                shutil.rmtree(f"{d}/{f}")
+    table.where("doc_id % 2 = 1 AND lang <> 'en'").coalesce(1).write.mode("append").parquet(source)
+    untouched = {p: os.stat(p).st_mtime_ns for d, _, f in os.walk(f"{out}/catalogue/lang=en") for p in (os.path.join(d, x) for x in f)}
+    lines.run(spark, source, out, state)
+    assert catalogue(spark, out) == brute([(r.doc_id, r.text, r.lang) for r in table.where("doc_id % 2 = 0 OR lang <> 'en'").collect()])
+    assert untouched and untouched == {p: os.stat(p).st_mtime_ns for d, _, f in os.walk(f"{out}/catalogue/lang=en") for p in (os.path.join(d, x) for x in f)}
+
+
 def test_no_documents(spark, tmp_path):
     source = str(tmp_path / "docs")
     spark.createDataFrame([], SCHEMA).write.parquet(source)
