@@ -63,7 +63,9 @@ def universal(rows: DataFrame, most: int | None = None, wanted: list[tuple[str,
         F.bool_or("differ").alias("differ"), F.count("*").alias("partitions"), *[F.sum(c).alias(c) for c in ("checks", "witnesses", "errors", "unknown", "failures")])
     every = P.profile(rows, order).select("graph_id", "outcome").join(done, "graph_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    status, code = verdict(F.col("outcome"), zero("partitions") > 0, F.coalesce("differ", F.lit(False)), zero("errors") > 0, zero("unknown") > 0, zero("failures") > 0)
+    # A partition that some check is missing of, or has twice, wasn't checked as it should be.
+    broke = (zero("errors") > 0) | (zero("checks") != len(wanted) * zero("partitions"))
+    status, code = verdict(F.col("outcome"), zero("partitions") > 0, F.coalesce("differ", F.lit(False)), broke, zero("unknown") > 0, zero("failures") > 0)
     return every.select("graph_id", status.alias("status"), code.alias("outcome_code"), *[zero(c).alias(c) for c in ("partitions", "checks", "witnesses")])
 
 

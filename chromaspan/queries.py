@@ -138,7 +138,8 @@ def graph6_decode(spark, sf):
     return rows.select("graph_id", G.from_graph6(F.col("t")).alias("g")).select("graph_id", F.col("g.n").alias("vertices"), F.explode("g.edges").alias("e")).select("graph_id", "vertices", "e.u", "e.v")
 
 
-@query(f"WITH {P8}, {free(8)} SELECT graph_id, u, v FROM free")
+@query("""WITH e AS (SELECT DISTINCT l_orderkey // 8 AS graph_id, least(l_partkey % 8, l_suppkey % 8) AS u, greatest(l_partkey % 8, l_suppkey % 8) AS v FROM lineitem WHERE l_partkey % 8 <> l_suppkey % 8)
+SELECT graph_id, CAST(u AS INTEGER) AS u, CAST(v AS INTEGER) AS v FROM (SELECT g.graph_id, a.x AS u, b.x AS v FROM (SELECT DISTINCT graph_id FROM e) g, range(8) a(x), range(8) b(x) WHERE a.x < b.x EXCEPT SELECT graph_id, u, v FROM e)""")
 def complement_edges(spark, sf):
     return graphs(spark, sf, 8, 8).select("graph_id", F.explode(G.complement(F.col("n"), F.col("edges"))).alias("e")).select("graph_id", "e.u", "e.v")
 
@@ -206,7 +207,9 @@ def total_conflicts(spark, sf):
     return graphs(spark, sf, 6, 4).select("graph_id", F.explode(G.conflicts(F.col("n"), F.col("edges"))).alias("c")).select("graph_id", "c.i", "c.j")
 
 
-@query(f"WITH {P8}, inc AS (SELECT graph_id, edge_index, u AS x FROM edges UNION ALL SELECT graph_id, edge_index, v FROM edges) SELECT a.graph_id, a.edge_index AS i, b.edge_index AS j FROM inc a JOIN inc b ON a.graph_id = b.graph_id AND a.x = b.x AND a.edge_index < b.edge_index")
+@query("""WITH e AS (SELECT DISTINCT l_orderkey // 8 AS graph_id, least(l_partkey % 8, l_suppkey % 8) AS u, greatest(l_partkey % 8, l_suppkey % 8) AS v FROM lineitem WHERE l_partkey % 8 <> l_suppkey % 8),
+k AS (SELECT graph_id, u, v, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY u, v) - 1 AS INTEGER) AS at FROM e)
+SELECT a.graph_id, a.at AS i, b.at AS j FROM k a JOIN k b ON a.graph_id = b.graph_id AND a.at < b.at AND (a.u = b.u OR a.u = b.v OR a.v = b.u OR a.v = b.v)""")
 def edge_conflicts(spark, sf):
     return graphs(spark, sf, 8, 8).select("graph_id", F.explode(G.line_conflicts(F.col("edges"))).alias("c")).select("graph_id", "c.i", "c.j")
 
@@ -680,6 +683,20 @@ def matching_core_extensions(spark, sf):
     return extensions(rows.join(wanted, "graph_id", "left_semi"), 6)
 
 
+@query(f"""WITH {P6}, {CORE}, {free(6)}, {eligible(6).replace('prof AS', 'prof0 AS')}, prof AS (SELECT * REPLACE ('' AS outcome) FROM prof0), {matched(6).split(',' + chr(10) + 'parts AS')[0]}, {TABLES6},
+scope AS (SELECT graph_id FROM (SELECT graph_id, x, count(*) AS k FROM (SELECT graph_id, u AS x FROM core UNION ALL SELECT graph_id, v FROM core) GROUP BY ALL) GROUP BY graph_id HAVING max(k) = 1),
+every AS ({' UNION ALL '.join(f'SELECT graph_id, idx, used FROM m{k}' for k in range(4))}),
+cls AS (SELECT graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY idx) AS p, d, CAST({CLASSES} AS INTEGER[]) AS classes FROM every JOIN prof USING (graph_id) SEMI JOIN scope USING (graph_id) WHERE len(idx) >= 6 - d),
+{extends6("ext", "cls", 0)} SELECT graph_id, count(*) AS precolourings, CASE WHEN bool_and(ok) THEN 'complete_positive' ELSE 'candidate_unsat' END AS status FROM ext GROUP BY graph_id""")
+def matching_core_run_tight(spark, sf):
+    """Runs that end at a graph's first precolouring that doesn't extend, with one colour less."""
+    from .plans.matching_core import run, scopes
+
+    rows = graphs(spark, sf, 6, 4)
+    wanted = scopes(rows).where("matching_nonempty").select("graph_id")
+    return run(rows.join(wanted, "graph_id", "left_semi"), 6, 1).select("graph_id", "precolourings", "status")
+
+
 # --- alternating components -------------------------------------------------
 
 
