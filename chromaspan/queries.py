@@ -502,6 +502,27 @@ def cut_loop_tight_palette(spark, sf):
     return of_graph.join(by_class.withColumnRenamed("graph_id", "class_id"), "class_id").select("graph_id", "partitions", "proper")
 
 
+@query(checked6([("dsatur-iterative-v1", 0)]) + """, s AS (SELECT p.graph_id, CASE WHEN outcome <> '' THEN 'skipped' WHEN bool_or(c.status = 'witness') THEN 'witness' ELSE 'candidate_unsat' END AS status FROM prof p LEFT JOIN checks c USING (graph_id) GROUP BY p.graph_id, outcome)
+SELECT graph_id, status, CASE WHEN graph_id % 6 = 1 THEN 'graph' WHEN graph_id % 6 = 2 THEN 'status' WHEN graph_id % 6 = 5 THEN 'unreadable' WHEN status <> 'witness' THEN ''
+  WHEN graph_id % 6 = 3 THEN 'assignment,certificate' WHEN graph_id % 6 = 4 THEN 'partition' ELSE '' END AS faults FROM s""")
+def search_record_faults(spark, sf):
+    """Records of searches with palette offset 0, five sixths of them damaged by a rule, and what is found wrong with them.
+
+    By graph_id modulo 6: another size; a status that the record doesn't bear out; an assignment of one colour; no
+    pairs but all vertices twice; a space too many.  The last two but one only harm records with a witness."""
+    from .plans import search_records as S
+
+    rule = lambda k: F.col("r.index") % 6 == k
+    rows = S.parsed(S.records(graphs(spark, sf, 6, 4), "0" * 64, 0)).withColumn("true", F.col("r.status"))
+    w = F.when(rule(3), F.col("r.witness").withField("assignment", F.transform("r.witness.assignment", lambda c: F.lit(0)))).when(rule(4), F.col("r.witness").withField("pairs", F.array(F.array(F.lit(0), F.lit(1)), F.array(F.lit(0), F.lit(1))))).otherwise(F.col("r.witness"))
+    other = F.when(F.col("true") == "witness", "unknown").when(F.col("true") == "skipped", "candidate_unsat").otherwise("witness")
+    r = F.col("r").withField("size", F.when(rule(1), F.col("r.size") + 1).otherwise(F.col("r.size"))).withField("status", F.when(rule(2), other).otherwise(F.col("true"))).withField("witness", F.when(F.col("true") == "witness", w))
+    harmed = rows.select("true", F.col("r.index").alias("graph_id"), F.concat(F.to_json(r, {"ignoreNullFields": "false"}), F.when(rule(5), " ").otherwise("")).alias("document"))
+    harmed = cut(harmed, "lines")
+    found = S.faults(harmed).groupBy(F.col("index").alias("graph_id")).agg(F.array_join(F.array_sort(F.collect_set("fault")), ",").alias("faults"))
+    return harmed.join(found, "graph_id", "left").select("graph_id", F.col("true").alias("status"), F.coalesce("faults", F.lit("")).alias("faults"))
+
+
 @query(checked6(TIGHT) + UNIVERSAL)
 def universal_census_tight_palette(spark, sf):
     """Palette offset 0, where partitions that don't extend are found."""
