@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.graphs import let
+from . import verify
+
 #: Fixed value: the encoder's name in DIMACS comments.
 ENCODER = "onehot-pairwise-v1"
 
@@ -31,3 +34,12 @@ def decode(items: Column, colours: Column, model: Column) -> Column:
     mine = lambda i: F.filter(model, lambda x: (x > i * colours) & (x <= (i + 1) * colours))
     each = F.transform(F.sequence(F.lit(0), items - 1), mine)
     return F.when(F.forall(each, lambda m: F.size(m) == 1), F.transform(each, lambda m, i: F.get(m, F.lit(0)) - 1 - i * colours))
+
+
+def judged(n: Column, edges: Column, colours: Column, model: Column) -> Column:
+    """What a model of a graph's total problem is: undecodable, improper where a verifier that knows nothing of clauses
+    finds an issue in the colouring that it says, or verified."""
+    items = n + F.size(edges)
+    halves = lambda found: F.struct(F.slice(found, F.lit(1), n).alias("v"), F.slice(found, n + 1, F.size(edges)).alias("e"))
+    issues = lambda c: F.when(c["v"].isNull(), "undecodable").when(F.size(verify.total_issues(n, edges, c["v"], c["e"], colours)) > 0, "improper").otherwise("verified")
+    return let(let(decode(items, colours, model), halves), issues)

@@ -245,6 +245,19 @@ def cnf_dimacs_digest(spark, sf):
     return rows.select("graph_id", "problem_digest", F.sha2(cnf.dimacs(F.col("items"), F.col("colours"), F.col("cl"), F.col("problem_digest")), 256).alias("dimacs_sha256"))
 
 
+@query(f"""WITH {P6} SELECT graph_id, max(degree) + 3 AS colours, CASE graph_id % 4 WHEN 0 THEN 'undecodable' WHEN 1 THEN 'undecodable' WHEN 2 THEN 'improper' ELSE 'verified' END AS verdict FROM deg GROUP BY graph_id""")
+def cnf_model_verdicts(spark, sf):
+    """Models of total problems, decoded and verified; by graph_id modulo 4 the first item has a second colour or
+    none, or all ends of the first edge have the colour of its lesser one."""
+    found = solve(_total_problem(spark, sf, 6, 4, 3).withColumn("palette", F.col("colours")), "dsatur-iterative-v1")
+    k, rule = F.col("palette"), lambda i: F.col("graph_id") % 4 == i
+    first = F.get("edges", F.lit(0))
+    told = F.transform("assignment", lambda c, i: F.when(rule(2) & (i == first["v"]), F.get("assignment", first["u"])).otherwise(c))
+    model = F.flatten(F.transform(told, lambda c, i: F.transform(F.sequence(F.lit(0), k - 1), lambda x: F.when(x == c, 1).otherwise(-1) * (1 + i * k + x))))
+    model = F.when(rule(0), F.concat(F.filter(model, lambda x: F.abs(x) > k), F.sequence(F.lit(1), F.lit(2)))).when(rule(1), F.filter(model, lambda x: F.abs(x) > k)).otherwise(model)
+    return found.select("graph_id", k.alias("colours"), cnf.judged(F.col("n"), F.col("edges"), k, model).alias("verdict"))
+
+
 def _edge_digest(fixed: bool) -> str:
     """SQL of edge problems with 12 colours and every third edge distinguished."""
     pins = "coalesce((SELECT string_agg('[' || edge_index || ',' || r || ']', ',' ORDER BY edge_index) FROM marked m WHERE m.graph_id = g.graph_id), '')" if fixed else "''"
@@ -371,6 +384,16 @@ def complement_matchings(spark, sf):
     return rows.select("graph_id", "partition_index", F.array_join(F.transform(covered, lambda x: x.cast("string")), ",").alias("covered"), F.array_join(idx, ",").alias("idx"))
 
 
+@query(f"WITH {P6}, {free(6)}, {eligible(6)}, {matched(6)} SELECT graph_id, partition_index, array_to_string(list_sort(used), ',') AS covered, array_to_string(idx, ',') AS idx FROM parts")
+def complement_matchings_lateral(spark, sf):
+    """The rows of complement_matchings by a table function called with LATERAL."""
+    from .sources.table_functions import register
+
+    register(spark)
+    rows = partitions.profile(graphs(spark, sf, 6, 4)).where("outcome = ''").select("graph_id", "n", "edges", "pairs")
+    return spark.sql("SELECT g.graph_id, m.partition_index, array_join(m.covered, ',') AS covered, array_join(m.idx, ',') AS idx FROM {g} g, LATERAL complement_matchings(g.n, g.edges, g.pairs) m", g=spread(rows, "graph_id"))
+
+
 @query(f"WITH {P6}, {free(6)}, {eligible(6)}, {matched(6)} SELECT graph_id, count(*) AS enumerated, count(*) AS counted FROM parts GROUP BY graph_id")
 def partition_counts(spark, sf):
     rows = graphs(spark, sf, 6, 4)
