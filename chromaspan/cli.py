@@ -164,7 +164,7 @@ def _dependency(spark: SparkSession, a: argparse.Namespace) -> tuple[dict, int]:
     if a.list_profiles:
         return {"kind": "d8_dependency_pivot_profile_list", "profiles": [dependency.describe(p) for p in dependency.PROFILES], "schema_version": 1}, 0
     if a.profile and (len(set(a.profile)) != len(a.profile) or "" in a.profile):
-        raise ValueError("profile IDs must be nonempty and unique")
+        raise ValueError("a profile is named twice or by nothing")
     return dependency.receipt(spark, [p.name for p in dependency.PROFILES] if a.suite else a.profile), 0
 
 
