@@ -13,7 +13,7 @@ from .operators import canonical, cnf, partitions, problems, verify
 from .operators.solve import solve, spread
 from .plans import census, completeness, dependency
 from .plans import counting, cuts, ordinals
-from .sources.families import edges, graphs, vertices
+from .sources.families import edges, graphs
 from .sources.stored import cut, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
