@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, drop, new_path, positional, place, sized, small_batches, text_or_empty
+from .shared import cut, drop, new_path, positional, place, sized, small_batches
 
 #: A fixed instant: archives of equal tables are equal.
 DATE = "2000-01-01T00:00:00Z"
