@@ -964,3 +964,6 @@ def census_record_faults(spark, sf):
     lines = cut(R.records(graphs(spark, sf, 6, 4), 3, "0" * 64), "records")  # read by five branches
     parts = [lines.select(F.lit("records").alias("k")), R.record_faults(lines).select(F.lit("faults").alias("k")), R.missing_partitions(lines, 6).select(F.lit("short_lists").alias("k"))]
     return reduce(DataFrame.union, parts).agg(*[F.count_if(F.col("k") == k).alias(k) for k in ("records", "faults", "short_lists")])
+
+
+from . import queries_holes as queries_holes  # noqa: E402  registers its queries, and reads this module's helpers
