@@ -218,3 +218,68 @@ def verdicts(rows: DataFrame, key: list[str]) -> DataFrame:
     found = every.groupBy(*key).agg(*[F.sum(c).alias(c) for c in names])
     ladder = F.when(F.col("exits") > 0, "one_swap_exit").when(F.col("cross_releases") > 0, "cross_terminal_release").when(F.col("releases") > 0, "alpha_terminal_release").otherwise("blocked")
     return found.withColumn("status", ladder)
+
+
+def _component(v: Column, a: Column, b: Column) -> Column:
+    """Sorted vertices of v's component by edges of two colours."""
+
+    def grow(inside: Column, _: Column) -> Column:
+        near = F.flatten(F.transform(inside, lambda z: F.array(_next(z, a), _next(z, b))))
+        return F.array_union(inside, F.filter(near, lambda w: w >= 0))
+
+    return F.array_sort(F.aggregate(F.sequence(F.lit(2), F.col("n")), F.array(v), grow))
+
+
+def _swaps(rows: DataFrame, starts: Column, a: str, b: str, name: str) -> DataFrame:
+    """states with two colours a and b -> a row for each component that meets ``starts`` and whose swap clashes with no vertex, with
+    its least vertex as ``name`` and ``at`` after the swap.  A component is a row once, whatever vertices it has."""
+    f, g, p = F.col(a), F.col(b), F.col("palette")
+    rows = rows.withColumn("part", F.explode(F.array_distinct(F.transform(starts, lambda v: _component(v, f, g))))).where(F.size("part") > 1)
+    clash = F.exists("part", lambda v: ((F.get("vc", v) == f) & (_next(v, g) >= 0)) | ((F.get("vc", v) == g) & (_next(v, f) >= 0)))
+    rows = rows.where(~clash).withColumn(name, F.element_at("part", 1))
+
+    def moved(w: Column, k: Column) -> Column:
+        v, c = F.floor(k / p).cast("int"), k % p
+        return F.when(~F.array_contains("part", v), w).when(c == f, _next(v, g)).when(c == g, _next(v, f)).otherwise(w)
+
+    return rows.withColumn("at", F.transform("at", moved)).drop("part")
+
+
+def _colours(at: Column, fill: Column) -> Column:
+    """Edge colours as told by ``at``, with the hole's."""
+    p = F.col("palette")
+
+    def told(e: Column) -> Column:
+        c = F.get(F.filter(F.sequence(F.lit(0), p - 1), lambda c: F.get(at, e["u"] * p + c) == e["v"]), F.lit(0))
+        return F.coalesce(c, fill)
+
+    return F.transform("edges", told)
+
+
+def orbit_exits(rows: DataFrame) -> DataFrame:
+    """states -> a row for every way to free a colour for the hole by two swaps: first_a, first_b and at, the least vertex of the
+    first component; second_a, second_b and then_at; fill; completed, verified edge colours; and for what the first swap
+    did to the second pair: relation_before and relation_after of the hole's ends (coincident or distinct) and
+    detached: the first swap parted them.
+
+    The first pair is alpha with a colour that an end has or misses, or a pair across; the second is a pair across, its
+    component meets the hole, and it shares just one colour with the first.  A state has at most 10 first pairs when
+    its ends miss two colours each, so the frontier is bounded by the state's own size."""
+    x, y = F.col("x"), F.col("y")
+    rows = rows.withColumns({"ma": missing(x), "mb": missing(y)})
+    pair = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    across = F.flatten(F.transform("ma", lambda a: F.transform(F.filter("mb", lambda b: b != a), lambda b: pair(a, b))))
+    roles = F.array_distinct(F.concat(F.array(F.get("vc", x), F.get("vc", y)), "ma", "mb"))
+    alphas = F.transform(F.filter(roles, lambda c: c != F.col("alpha")), lambda c: pair(F.col("alpha"), c))
+    rows = rows.withColumn("across", F.array_distinct(across)).withColumn("one", F.explode(F.array_distinct(F.concat(alphas, "across"))))
+    rows = rows.withColumns({"first_a": F.col("one.a"), "first_b": F.col("one.b"), "before": F.col("at")}).drop("one", "ma", "mb")
+    rows = _swaps(rows, F.sequence(F.lit(0), F.col("n") - 1), "first_a", "first_b", "first_at")
+    shared = lambda t: t["a"].isin(F.col("first_a"), F.col("first_b")).cast("int") + t["b"].isin(F.col("first_a"), F.col("first_b")).cast("int")
+    rows = rows.withColumn("two", F.explode(F.filter("across", lambda t: shared(t) == 1)))
+    rows = rows.withColumns({"second_a": F.col("two.a"), "second_b": F.col("two.b")}).drop("two", "across")
+    joined = lambda: F.when(F.array_contains(_component(x, F.col("second_a"), F.col("second_b")), y), "coincident").otherwise("distinct")
+    rows = rows.withColumn("relation_after", joined()).withColumns({"after": F.col("at"), "at": F.col("before")}).withColumn("relation_before", joined()).withColumn("at", F.col("after")).drop("before", "after")
+    rows = _swaps(rows, F.array("x", "y"), "second_a", "second_b", "then_at")
+    rows = rows.withColumn("fill", F.explode(F.array_intersect(missing(x), missing(y))))
+    rows = rows.withColumn("completed", _colours(F.col("at"), F.col("fill"))).where(_holds(F.col("completed")))
+    return rows.withColumn("detached", (F.col("relation_before") == "coincident") & (F.col("relation_after") == "distinct"))

@@ -85,3 +85,18 @@ def hole_scope(spark, sf):
     """The residue's profile on the table's states: four of the codes, as columns."""
     codes = {"off_degree": "maximum_degree_mismatch", "off_core": "hole_edge_not_in_degree_core", "crowded": "degree_core_not_matching", "no_pairs": "endpoint_missing_sets_not_pairs"}
     return holes.scope_issues(hole_states(spark, sf)).select("graph_id", "x", "y", *[F.array_contains("issues", code).alias(c) for c, code in codes.items()])
+
+
+@query()
+def hole_orbits(spark, sf):
+    """For each state that no single move helps: exits by two swaps that give the hole another colour than it had, how many of
+    their first swaps part ends that were in one component, and the least exit.  Tested by a search of its own instead of SQL."""
+    key = ["graph_id", "x", "y"]
+    rows = hole_states(spark, sf)
+    stuck = holes.verdicts(rows, key).where("status = 'blocked'").select(*key)
+    had = (F.col("x") + F.col("y")) % 7
+    exits = holes.orbit_exits(rows.join(stuck, key, "left_semi")).where(F.col("fill") != had)
+    move = F.array("first_a", "first_b", "first_at", "second_a", "second_b", "then_at", "fill")
+    found = exits.groupBy(*key).agg(F.count("*").alias("exits"), F.count_if("detached").alias("detached"), F.min(move).alias("least"))
+    least = F.array_join(F.col("least").cast("array<string>"), ",")
+    return stuck.join(found, key, "left").select(*key, F.coalesce("exits", F.lit(0)).alias("exits"), F.coalesce("detached", F.lit(0)).alias("detached"), least.alias("least"))
