@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .operators.solve import spread
 from .plans import holes
 from .queries import family, query
 from .sources.families import graphs
+from .sources.stored import cut
 
 #: CTEs of the states: free(graph_id, v, c), colours that neither a vertex nor an edge there has, and s(graph_id, x, y, h, alpha).
 STATES = f"""{family(7, 8)}, inc AS (SELECT graph_id, u AS a, v AS b, (u + v) % 7 AS c FROM edges UNION ALL SELECT graph_id, v, u, (u + v) % 7 FROM edges),
@@ -40,7 +42,7 @@ def hole_states(spark, sf):
     """Every edge of P(7, 8) as the hole of the colouring by sums of labels modulo seven."""
     vertex = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda v: (2 * v % 7).cast("int"))
     edge = F.transform("edges", lambda e: ((e["u"] + e["v"]) % 7).cast("int"))
-    rows = graphs(spark, sf, 7, 8).select("graph_id", "n", "edges", vertex.alias("vc"), edge.alias("ec"), F.lit(7).alias("palette"))
+    rows = spread(graphs(spark, sf, 7, 8), "graph_id").select("graph_id", "n", "edges", vertex.alias("vc"), edge.alias("ec"), F.lit(7).alias("palette"))
     return holes.states(rows)
 
 
@@ -93,9 +95,9 @@ def hole_orbits(spark, sf):
     their first swaps part ends that were in one component, and the least exit.  Tested by a search of its own instead of SQL."""
     key = ["graph_id", "x", "y"]
     rows = hole_states(spark, sf)
-    stuck = holes.verdicts(rows, key).where("status = 'blocked'").select(*key)
+    stuck = cut(holes.verdicts(rows, key).where("status = 'blocked'").select(*key), "stuck")
     had = (F.col("x") + F.col("y")) % 7
-    exits = holes.orbit_exits(rows.join(stuck, key, "left_semi")).where(F.col("fill") != had)
+    exits = holes.orbit_exits(spread(rows.join(stuck, key, "left_semi"), *key)).where(F.col("fill") != had)
     move = F.array("first_a", "first_b", "first_at", "second_a", "second_b", "then_at", "fill")
     found = exits.groupBy(*key).agg(F.count("*").alias("exits"), F.count_if("detached").alias("detached"), F.min(move).alias("least"))
     least = F.array_join(F.col("least").cast("array<string>"), ",")
