@@ -967,3 +967,4 @@ def census_record_faults(spark, sf):
 
 
 from . import queries_holes as queries_holes  # noqa: E402  registers its queries, and reads this module's helpers
+from . import queries_pivots as queries_pivots  # noqa: E402
