@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from .operators.solve import spread
 from .plans import holes
-from .queries import family, query
+from .queries import ORACLES, family, query
 from .sources.families import graphs
-from .sources.stored import cut
+from .sources.stored import counted, cut
 
 #: CTEs of the states: free(graph_id, v, c), colours that neither a vertex nor an edge there has, and s(graph_id, x, y, h, alpha).
 STATES = f"""{family(7, 8)}, inc AS (SELECT graph_id, u AS a, v AS b, (u + v) % 7 AS c FROM edges UNION ALL SELECT graph_id, v, u, (u + v) % 7 FROM edges),
@@ -102,3 +102,18 @@ def hole_orbits(spark, sf):
     found = exits.groupBy(*key).agg(F.count("*").alias("exits"), F.count_if("detached").alias("detached"), F.min(move).alias("least"))
     least = F.array_join(F.col("least").cast("array<string>"), ",")
     return stuck.join(found, key, "left").select(*key, F.coalesce("exits", F.lit(0)).alias("exits"), F.coalesce("detached", F.lit(0)).alias("detached"), least.alias("least"))
+
+
+WAYS = ["one_swap_exit", "cross_terminal_release", "alpha_terminal_release", "blocked"]
+SUMS = ["blocked", "releases", "linked", "exits", "cross_releases"]
+
+
+@query(f"""SELECT count(*) AS states, {', '.join(f"count(*) FILTER (status = '{w}') AS status_{w}" for w in WAYS)}, {', '.join(f'CAST(sum({c}) AS BIGINT) AS sum_{c}, count(*) FILTER ({c} > 0) AS with_{c}' for c in SUMS)} FROM ({ORACLES['hole_verdicts']})""")
+def hole_counters(spark, sf):
+    """Counters of all states, observed by the job that stores the verdicts."""
+    found = holes.verdicts(hole_states(spark, sf), ["graph_id", "x", "y"])
+    wanted = {"states": F.count("*")} | {f"status_{w}": F.count_if(F.col("status") == w) for w in WAYS}
+    for c in SUMS:
+        wanted |= {f"sum_{c}": F.sum(c), f"with_{c}": F.count_if(F.col(c) > 0)}
+    _, seen = counted(found, "verdicts", **wanted)
+    return spark.createDataFrame([tuple(seen.get(c) for c in wanted)], ", ".join(f"{c} long" for c in wanted))

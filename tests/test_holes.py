@@ -9,6 +9,7 @@ from chromaspan.plans import holes as H
 from chromaspan.plans import paired_hole as P
 from chromaspan.queries import QUERIES
 from chromaspan.queries_holes import hole_states
+from chromaspan.sources.stored import counted
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "name string, n int, edges array<struct<u:int,v:int>>, vc array<int>, ec array<int>, palette int, r int, x int, y int, alpha int"
@@ -132,3 +133,10 @@ def test_states_without_edges_or_alpha(spark):
     assert sorted((r.side, r.first, r.length, r.locked, r.exit) for r in H.crossings(found).collect()) == [(0, 0, 0, False, False), (1, 1, 0, False, False)]
     assert [tuple(r)[1:] for r in H.verdicts(found, ["graph_id"]).collect()] == [(0, 0, 0, 0, 0, "blocked")]
     assert H.verdicts(found.where("false"), ["graph_id"]).count() == 0
+
+
+def test_counters_are_those_of_a_second_pass(spark):
+    rows = spark.range(0, 1000, 1, 7).withColumn("odd", F.col("id") % 2 == 1)
+    stored, seen = counted(rows.repartition(5, "id"), "rows", rows=F.count("*"), odd=F.count_if("odd"), total=F.sum("id"))
+    again = stored.agg(F.count("*").alias("rows"), F.count_if("odd").alias("odd"), F.sum("id").alias("total")).first()
+    assert seen == again.asDict() == {"rows": 1000, "odd": 500, "total": 499500}
