@@ -82,3 +82,19 @@ def walks(edges: DataFrame) -> DataFrame:
     chosen = F.when(F.col("cyclic"), F.col("last") == F.col("second")).otherwise(F.col("end") > F.col("start"))
     return ranked.join(back, ARC).where(chosen).select(
         *PAIR, F.least("least", "least_back").alias("component"), F.when(F.col("cyclic"), "cycle").otherwise("path").alias("kind"), (F.col("before") - 1).cast("int").alias("position"), "tail", "head", "color")
+
+
+def walks_of_graphs(rows: DataFrame) -> DataFrame:
+    """rows(graph_id, edges, ec), properly coloured -> the rows of ``walks``.
+
+    Two colours' walks depend on the edges of these alone, so equal sets of them are walked once, whatever graphs they
+    are in, and joined to every graph and pair of colours that has them."""
+    coloured = F.transform("edges", lambda e, i: F.struct(e["u"].alias("u"), e["v"].alias("v"), F.get("ec", i).alias("color")))
+    colours = F.array_sort(F.array_distinct("ec"))
+    pairs = F.flatten(F.transform(colours, lambda a: F.transform(F.filter(colours, lambda b: b > a), lambda b: F.struct(a.alias("first"), b.alias("second")))))
+    each = rows.select("graph_id", coloured.alias("e"), F.explode(pairs).alias("p")).select("graph_id", "p.*", F.filter("e", lambda x: (x["color"] == F.col("p.first")) | (x["color"] == F.col("p.second"))).alias("part"))
+    key = ["first", "second", "part"]
+    known = cut(each.select(*key).distinct().withColumn("pattern", F.monotonically_increasing_id()), "patterns")
+    found = walks(known.select(F.col("pattern").alias("graph_id"), F.explode("part").alias("e")).select("graph_id", "e.*")).withColumnRenamed("graph_id", "pattern")
+    walked = cut(known.select("pattern", "part").join(found, "pattern").drop("pattern"), "walks")
+    return each.join(walked, key).select("graph_id", *[c for c in walked.columns if c != "part"])

@@ -6,9 +6,13 @@ One aggregation by graph_id builds it; what follows works on the arrays and need
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stored import cut
+
 
 def from_pairs(pairs: DataFrame, n: int) -> DataFrame:
     """pairs(graph_id, a, b), any orientation, loops and repeats -> graphs(graph_id, n, edges)."""
@@ -30,3 +34,19 @@ def edges(of: DataFrame) -> DataFrame:
 
 def vertices(of: DataFrame) -> DataFrame:
     return of.select("graph_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("v"))
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """rows(graph_id, n, edges) -> (same_as, n, edges, copies), stored: a row for each set of edges that there is, called
+    by the least graph_id that has it.  Graphs of n vertices have at most 2 ** (n (n - 1) / 2) of them, however many rows."""
+    return cut(rows.groupBy("n", "edges").agg(F.min("graph_id").alias("same_as"), F.count("*").alias("copies")), "merged")
+
+
+def shared(rows: DataFrame, work: Callable[[DataFrame], DataFrame], store: bool = True) -> DataFrame:
+    """``work`` of rows(graph_id, n, edges), which tells of each graph by its edges alone, done once for equal graphs;
+    every graph gets the rows of its like.  ``store`` keeps what was done as a table, so that joins know its size."""
+    known = merged(rows)
+    found = work(known.select(F.col("same_as").alias("graph_id"), "n", "edges")).withColumnRenamed("graph_id", "same_as")
+    of = rows.select("graph_id", "n", "edges").join(known, ["n", "edges"]).select("graph_id", "same_as")
+    found = cut(found, "shared") if store else found
+    return of.join(found, "same_as").select("graph_id", *[c for c in found.columns if c != "same_as"])
