@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .operators.solve import spread
 from .plans import holes
 from .queries import ORACLES, family, query
-from .sources.families import graphs
+from .sources.families import graphs, shared
 from .sources.stored import counted, cut
 
 #: CTEs of the states: free(graph_id, v, c), colours that neither a vertex nor an edge there has, and s(graph_id, x, y, h, alpha).
@@ -38,11 +38,20 @@ BLOCKED = """SELECT e.graph_id, e.x, e.y, e.f AS alpha, e.g AS beta, e.v AS hole
   CAST(CASE WHEN e.locked AND 2 * e.t % 7 = e.g AND e.length > 2 THEN e.k ELSE 0 END AS INTEGER) AS releases FROM ended e LEFT JOIN start o ON o.graph_id = e.graph_id AND o.x = e.x AND o.y = e.y AND o.g = e.g AND o.v = e.t"""
 
 
+def of_states(spark, sf, work):
+    """``work`` of the states of P(7, 8), done once for equal graphs: on seven vertices there are at most 2,097,152."""
+    return shared(graphs(spark, sf, 7, 8), lambda rows: work(_states(rows)), store=False)
+
+
 def hole_states(spark, sf):
     """Every edge of P(7, 8) as the hole of the colouring by sums of labels modulo seven."""
+    return _states(graphs(spark, sf, 7, 8))
+
+
+def _states(rows):
     vertex = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda v: (2 * v % 7).cast("int"))
     edge = F.transform("edges", lambda e: ((e["u"] + e["v"]) % 7).cast("int"))
-    rows = spread(graphs(spark, sf, 7, 8), "graph_id").select("graph_id", "n", "edges", vertex.alias("vc"), edge.alias("ec"), F.lit(7).alias("palette"))
+    rows = spread(rows, "graph_id").select("graph_id", "n", "edges", vertex.alias("vc"), edge.alias("ec"), F.lit(7).alias("palette"))
     return holes.states(rows)
 
 
@@ -51,20 +60,17 @@ size AS (SELECT f.graph_id, f.x, f.y, center, root, count(*) - 1 AS k, string_ag
   list_sort(list_distinct(coalesce(list(2 * w % 7) FILTER (w <> root), []))) AS own FROM fan f JOIN deg d ON d.graph_id = f.graph_id AND d.v = f.w GROUP BY ALL)
 SELECT z.graph_id, z.x, z.y, z.center, coalesce(sats, '') AS satellites, surplus, own = (SELECT list_sort(list(c)) FROM miss m WHERE m.graph_id = z.graph_id AND m.x = z.x AND m.y = z.y AND m.v = z.center) AS aligned FROM size z""")
 def hole_fans(spark, sf):
-    found = holes.fans(hole_states(spark, sf))
-    return found.select("graph_id", "x", "y", "center", F.array_join(F.col("satellites").cast("array<string>"), ",").alias("satellites"), "surplus", "aligned")
+    return of_states(spark, sf, lambda rows: holes.fans(rows).select("graph_id", "x", "y", "center", F.array_join(F.col("satellites").cast("array<string>"), ",").alias("satellites"), "surplus", "aligned"))
 
 
 @query(f"WITH RECURSIVE {STATES}, {CROSS}, {WALK} {CROSSED}")
 def hole_crossings(spark, sf):
-    found = holes.crossings(hole_states(spark, sf))
-    return found.select("graph_id", "x", "y", "side", "first", "then", "relation", "length", "locked", "slack", "exit", "releases")
+    return of_states(spark, sf, lambda rows: holes.crossings(rows).select("graph_id", "x", "y", "side", "first", "then", "relation", "length", "locked", "slack", "exit", "releases"))
 
 
 @query(f"WITH RECURSIVE {STATES}, {FAN}, {BETA}, {WALK} {BLOCKED}")
 def hole_blockages(spark, sf):
-    found = holes.blockages(hole_states(spark, sf))
-    return found.select("graph_id", "x", "y", "alpha", "beta", "hole", "length", "blocked", "linked", "slack", "releases")
+    return of_states(spark, sf, lambda rows: holes.blockages(rows).select("graph_id", "x", "y", "alpha", "beta", "hole", "length", "blocked", "linked", "slack", "releases"))
 
 
 @query(f"""WITH RECURSIVE {STATES}, {FAN}, across AS (WITH RECURSIVE {CROSS}, {WALK} {CROSSED}), around AS (WITH RECURSIVE {BETA}, {WALK} {BLOCKED}),
@@ -75,7 +81,7 @@ v AS (SELECT s.graph_id, s.x, s.y, coalesce(blocked, 0) AS blocked, CAST(coalesc
 SELECT *, CASE WHEN exits > 0 THEN 'one_swap_exit' WHEN cross_releases > 0 THEN 'cross_terminal_release' WHEN releases > 0 THEN 'alpha_terminal_release' ELSE 'blocked' END AS status FROM v""")
 def hole_verdicts(spark, sf):
     """Which way each state has to colour its hole with another colour, by the first that there is."""
-    return holes.verdicts(hole_states(spark, sf), ["graph_id", "x", "y"])
+    return of_states(spark, sf, lambda rows: holes.verdicts(rows, ["graph_id", "x", "y"]))
 
 
 @query(f"""WITH {STATES}, top AS (SELECT graph_id, max(degree) AS t, count(*) FILTER (degree = 5) AS k FROM deg GROUP BY graph_id), core AS (SELECT graph_id, v FROM deg WHERE degree = 5),
@@ -86,7 +92,7 @@ JOIN deg dx ON dx.graph_id = s.graph_id AND dx.v = s.x JOIN deg dy ON dy.graph_i
 def hole_scope(spark, sf):
     """The residue's profile on the table's states: four of the codes, as columns."""
     codes = {"off_degree": "maximum_degree_mismatch", "off_core": "hole_edge_not_in_degree_core", "crowded": "degree_core_not_matching", "no_pairs": "endpoint_missing_sets_not_pairs"}
-    return holes.scope_issues(hole_states(spark, sf)).select("graph_id", "x", "y", *[F.array_contains("issues", code).alias(c) for c, code in codes.items()])
+    return of_states(spark, sf, lambda rows: holes.scope_issues(rows).select("graph_id", "x", "y", *[F.array_contains("issues", code).alias(c) for c, code in codes.items()]))
 
 
 @query()
@@ -94,14 +100,17 @@ def hole_orbits(spark, sf):
     """For each state that no single move helps: exits by two swaps that give the hole another colour than it had, how many of
     their first swaps part ends that were in one component, and the least exit.  Tested by a search of its own instead of SQL."""
     key = ["graph_id", "x", "y"]
-    rows = hole_states(spark, sf)
-    stuck = cut(holes.verdicts(rows, key).where("status = 'blocked'").select(*key), "stuck")
     had = (F.col("x") + F.col("y")) % 7
-    exits = holes.orbit_exits(spread(rows.join(stuck, key, "left_semi"), *key)).where(F.col("fill") != had)
     move = F.array("first_a", "first_b", "first_at", "second_a", "second_b", "then_at", "fill")
-    found = exits.groupBy(*key).agg(F.count("*").alias("exits"), F.count_if("detached").alias("detached"), F.min(move).alias("least"))
-    least = F.array_join(F.col("least").cast("array<string>"), ",")
-    return stuck.join(found, key, "left").select(*key, F.coalesce("exits", F.lit(0)).alias("exits"), F.coalesce("detached", F.lit(0)).alias("detached"), least.alias("least"))
+
+    def work(rows):
+        stuck = cut(holes.verdicts(rows, key).where("status = 'blocked'").select(*key), "stuck")
+        exits = holes.orbit_exits(spread(rows.join(stuck, key, "left_semi"), *key)).where(F.col("fill") != had)
+        found = exits.groupBy(*key).agg(F.count("*").alias("exits"), F.count_if("detached").alias("detached"), F.min(move).alias("least"))
+        least = F.array_join(F.col("least").cast("array<string>"), ",")
+        return stuck.join(found, key, "left").select(*key, F.coalesce("exits", F.lit(0)).alias("exits"), F.coalesce("detached", F.lit(0)).alias("detached"), least.alias("least"))
+
+    return of_states(spark, sf, work)
 
 
 WAYS = ["one_swap_exit", "cross_terminal_release", "alpha_terminal_release", "blocked"]
@@ -111,7 +120,7 @@ SUMS = ["blocked", "releases", "linked", "exits", "cross_releases"]
 @query(f"""SELECT count(*) AS states, {', '.join(f"count(*) FILTER (status = '{w}') AS status_{w}" for w in WAYS)}, {', '.join(f'CAST(sum({c}) AS BIGINT) AS sum_{c}, count(*) FILTER ({c} > 0) AS with_{c}' for c in SUMS)} FROM ({ORACLES['hole_verdicts']})""")
 def hole_counters(spark, sf):
     """Counters of all states, observed by the job that stores the verdicts."""
-    found = holes.verdicts(hole_states(spark, sf), ["graph_id", "x", "y"])
+    found = hole_verdicts(spark, sf)
     wanted = {"states": F.count("*")} | {f"status_{w}": F.count_if(F.col("status") == w) for w in WAYS}
     for c in SUMS:
         wanted |= {f"sum_{c}": F.sum(c), f"with_{c}": F.count_if(F.col(c) > 0)}
