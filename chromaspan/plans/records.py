@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import graphs as G
 from ..operators import partitions as P
 from ..operators import verify as V
+from ..operators.solve import spread
+from ..sources.families import merged
+from ..sources.stored import cut
 from . import census
 
 # Versions of documents.
@@ -50,7 +54,46 @@ def _verdict(partitions: Column, outcome: Column) -> tuple[Column, Column]:
 
 def records(rows: DataFrame, most: int | None, run: str, wanted: list[tuple[str, int]] = census.CHECKS, max_nodes: int | None = None) -> DataFrame:
     """graphs -> (graph_id, document): one canonical JSON record for every graph, skipped ones with
-    no partitions.  Fields are in alphabetical order at every level.  Every problem is solved once."""
+    no partitions.  Fields are in alphabetical order at every level.  Equal graphs are solved once: their records
+    differ in the index alone."""
+    known = merged(rows)
+    return indexed(rows, known, _records(known.select(F.col("same_as").alias("graph_id"), "n", "edges"), most, run, wanted, max_nodes))
+
+
+def indexed(rows: DataFrame, known: DataFrame, lines: DataFrame) -> DataFrame:
+    """rows, which ``merged`` made known, and records of known -> a record for each row, with its own index."""
+    texts = lines.select(F.col("graph_id").alias("same_as"), *[x.alias(c) for c, x in zip(("before", "index", "after"), _split(F.col("document")), strict=True)])
+    of = rows.select("graph_id", "n", "edges").join(known, ["n", "edges"]).select("graph_id", "same_as")
+    return of.join(cut(texts, "texts"), "same_as").select("graph_id", F.concat("before", F.coalesce(F.col("graph_id").cast("string"), F.lit("null")), "after").alias("document"))
+
+
+#: What a record begins with: fields before the index, which hold no quote or comma of their own, and a whole number as JSON writes it.
+HEAD = r'^(\{(?:"[a-z0-9_]+":(?:"[^"]*"|[0-9]+|null),)*?"index":)(0|-?[1-9][0-9]{0,17}),'
+
+
+def _split(document: Column) -> tuple[Column, Column, Column]:
+    """A record's text before, of and behind its index; of other texts the second is empty."""
+    before, index = F.regexp_extract(document, HEAD, 1), F.regexp_extract(document, HEAD, 2)
+    return before, index, document.substr(F.length(before) + F.length(index) + 1, F.length(document))
+
+
+def faults_once(lines: DataFrame, schema: str, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(index, ...) of ``found``, which tells of records by their text, with records that differ in the index alone looked at
+    once.  ``found`` takes lines(document, key) and returns (key, ...); a text that it can't read has no other index
+    than the one that is read from it."""
+    before, index, after = _split(F.col("document"))
+    lines = lines.select("document", before.alias("before"), index.alias("number"), after.alias("after"))
+    body = F.when(F.col("number") != "", F.concat("before", F.lit("0"), "after")).otherwise(F.col("document"))
+    keyed = lambda text: F.coalesce(F.sha2(text, 256), F.lit(""))
+    known = cut(lines.select(body.alias("document")).distinct(), "bodies").withColumn("key", keyed(F.col("document")))
+    told = cut(found(spread(known, "key")), "told")
+    plain = F.coalesce(F.col("number") != "", F.lit(False)) & ~F.col("unread")
+    own = F.when(plain, F.col("number").cast("long")).otherwise(F.from_json("document", schema)["index"])
+    rows = lines.select("document", "number", keyed(body).alias("key")).join(told, "key")
+    return rows.select(own.alias("index"), *[c for c in told.columns if c not in ("key", "unread")])
+
+
+def _records(rows: DataFrame, most: int | None, run: str, wanted: list[tuple[str, int]], max_nodes: int | None) -> DataFrame:
     found = census.checks(rows, most, wanted, max_nodes)
     check = F.struct("backend", "backtracks", "color_count", "nodes", "palette_offset", "status", F.when(F.col("status") == "witness", F.col("assignment")).alias("witness"))
     by_part = found.groupBy("graph_id", "partition_index").agg(F.array_sort(F.collect_list(F.struct("palette_offset", "backend", check.alias("c")))).alias("c"), F.first("pair_edges").alias("p"), F.first("single_vertices").alias("s"))
@@ -73,15 +116,26 @@ def parsed(lines: DataFrame) -> DataFrame:
     return lines.select("document", F.from_json("document", SCHEMA).alias("r"))
 
 
+def _read(r: Column, document: Column) -> Column:
+    """Whether the text is the canonical one of the fields read from it."""
+    return F.coalesce(F.to_json(r, {"ignoreNullFields": "false"}) == document, F.lit(False))
+
+
 def record_faults(lines: DataFrame) -> DataFrame:
     """(index, fault): what is wrong with records by themselves, found from their text alone.
 
     The graph is decoded, every partition's auxiliary graph built anew, every witness verified on it
-    and on the total colouring that it gives, and the status derived again from the checks."""
-    rows = parsed(lines).withColumn("g", G.from_graph6(F.col("r.graph6")))
-    sound = F.col("g").isNotNull() & F.coalesce(F.to_json("r", {"ignoreNullFields": "false"}) == F.col("document"), F.lit(False))
-    unread = rows.where(~sound).select(F.col("r.index").alias("index"), F.lit("unreadable").alias("fault"))
-    rows = rows.where(sound).select("r.*", F.col("g.n").alias("n"), F.col("g.edges").alias("edges"))
+    and on the total colouring that it gives, and the status derived again from the checks.  Records that differ
+    in the index alone are looked at once."""
+    return faults_once(lines, SCHEMA, _record_faults)
+
+
+def _record_faults(lines: DataFrame) -> DataFrame:
+    """lines(document, key) -> (key, fault, unread)."""
+    rows = lines.select("key", "document", F.from_json("document", SCHEMA).alias("r")).withColumn("g", G.from_graph6(F.col("r.graph6")))
+    sound = F.col("g").isNotNull() & _read(F.col("r"), F.col("document"))
+    unread = rows.where(~sound).select("key", F.lit("unreadable").alias("fault"))
+    rows = rows.where(sound).select("key", F.col("r").dropFields("index").alias("r"), "g").select("key", "r.*", F.col("g.n").alias("n"), F.col("g.edges").alias("edges"))
     rows = P.profile(rows)
     status, code = _verdict(F.col("partitions"), F.col("outcome"))
     same = lambda a, b: F.coalesce(a == b, F.lit(False))
@@ -91,34 +145,39 @@ def record_faults(lines: DataFrame) -> DataFrame:
         "partition_order": F.forall(F.sequence(F.lit(0), F.size("partitions")), lambda i: (i == F.size("partitions")) | (F.get("partitions", i)["index"] == i)) & same(F.array_sort(F.array_distinct(F.transform("partitions", lambda p: p["pairs"]))), F.transform("partitions", lambda p: p["pairs"])),
         "status": same(F.col("status"), status) & same(F.col("outcome_code"), code),
     }
-    own = rows.select("index", F.explode(F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in tests.items()]), lambda x: x.isNotNull())).alias("fault"))
+    own = rows.select("key", F.explode(F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in tests.items()]), lambda x: x.isNotNull())).alias("fault"))
     # Without dropped partitions: the check of a whole list is the count by subsets, in ``plans.census``.
-    part = rows.select("index", "n", "edges", "d", "pairs", "singles", F.explode("partitions").alias("p"))
-    part = part.select("index", "n", "edges", "d", F.col("pairs").alias("want_pairs"), "p", F.transform("p.pairs", lambda e: F.struct(F.get(e, F.lit(0)).alias("u"), F.get(e, F.lit(1)).alias("v"))).alias("pair_edges"))
+    part = rows.select("key", "n", "edges", "d", "pairs", "singles", F.explode("partitions").alias("p"))
+    part = part.select("key", "n", "edges", "d", F.col("pairs").alias("want_pairs"), "p", F.transform("p.pairs", lambda e: F.struct(F.get(e, F.lit(0)).alias("u"), F.get(e, F.lit(1)).alias("v"))).alias("pair_edges"))
     ends = F.flatten(F.col("p.pairs"))
     free = G.complement(F.col("n"), F.col("edges"))
     left = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda v: ~F.array_contains(ends, v))
     whole = (F.size("pair_edges") == F.col("want_pairs")) & (F.size(F.array_distinct(ends)) == F.size(ends)) & F.forall("pair_edges", lambda e: F.array_contains(free, e)) & (F.array_sort("pair_edges") == F.col("pair_edges"))
     whole = whole & same(F.col("p.singletons"), left) & same(F.col("p.partition_fingerprint"), partition_fingerprint(F.col("pair_edges"), left))
     part = part.withColumn("whole", F.coalesce(whole, F.lit(False))).withColumn("single_vertices", left)
-    broken = part.where("NOT whole").select("index", F.lit("partition").alias("fault"))
-    checked = P.auxiliary(part.where("whole")).select("index", "n", "edges", "d", "pair_edges", "h_n", "h_edges", "marked", F.explode("p.checks").alias("c"))
+    broken = part.where("NOT whole").select("key", F.lit("partition").alias("fault"))
+    checked = P.auxiliary(part.where("whole")).select("key", "n", "edges", "d", "pair_edges", "h_n", "h_edges", "marked", F.explode("p.checks").alias("c"))
     colors = F.col("c.witness")
     total = V.project_to_total(F.col("n"), F.col("edges"), F.col("h_edges"), F.col("pair_edges"), colors)
     checked = checked.withColumn("total", total)
     good = V.is_rainbow(F.col("h_edges"), colors, F.col("c.color_count"), F.col("marked")) & V.is_total(F.col("n"), F.col("edges"), F.col("total.vertex_colors"), F.col("total.edge_colors"))
     fits = F.when(F.col("c.status") == "witness", F.coalesce(good, F.lit(False))).otherwise(colors.isNull() & F.col("c.status").isin("candidate_unsat", "unknown", "error"))
     fits = fits & (F.col("c.color_count") == F.col("d") + F.col("c.palette_offset"))
-    refuted = checked.where(~F.coalesce(fits, F.lit(False))).select("index", F.lit("check").alias("fault"))
-    return unread.union(own).union(broken).union(refuted)
+    refuted = checked.where(~F.coalesce(fits, F.lit(False))).select("key", F.lit("check").alias("fault"))
+    return unread.union(own).union(broken).union(refuted).withColumn("unread", F.col("fault") == "unreadable")
 
 
 def missing_partitions(lines: DataFrame, n: int) -> DataFrame:
     """(index, listed, counted) of records of order n whose list of partitions isn't as long as an
-    independent count says."""
-    rows = parsed(lines).withColumn("g", G.from_graph6(F.col("r.graph6"))).select(F.col("r.index").alias("index"), F.size("r.partitions").alias("listed"), "g.n", "g.edges")
-    prof = P.profile(rows.where(F.col("n") == n)).where("outcome = ''")
-    return prof.select("index", "listed", P.counted(n, G.complement(F.col("n"), F.col("edges")), F.col("pairs")).alias("counted")).where("listed <> counted")
+    independent count says.  Records that differ in the index alone are looked at once."""
+
+    def found(lines: DataFrame) -> DataFrame:
+        rows = lines.select("key", "document", F.from_json("document", SCHEMA).alias("r")).withColumn("g", G.from_graph6(F.col("r.graph6")))
+        rows = rows.select("key", _read(F.col("r"), F.col("document")).alias("read"), F.size("r.partitions").alias("listed"), "g.n", "g.edges")
+        prof = P.profile(rows.where(F.col("n") == n)).where("outcome = ''")
+        return prof.select("key", "listed", P.counted(n, G.complement(F.col("n"), F.col("edges")), F.col("pairs")).alias("counted"), (~F.col("read")).alias("unread")).where("listed <> counted")
+
+    return faults_once(lines, SCHEMA, found)
 
 
 def rebuilt(lines: DataFrame, run: str, wanted: list[tuple[str, int]] = census.CHECKS, max_nodes: int | None = None) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import graphs as G
 from ..operators import partitions as P
 from ..operators import verify as V
+from ..sources.families import merged
 from . import census
-from .records import partition_fingerprint
+from .records import faults_once, indexed, partition_fingerprint
 
 # Fixed value: the version of these documents.
 VERSION = "chromaspan.search-record.v1"
@@ -27,7 +28,13 @@ def records(rows: DataFrame, run: str, offset: int = 2, backend: str = "dsatur-i
     """graphs -> (graph_id, document): one canonical JSON record for every graph.
 
     A witness tells its partition and the colouring of the auxiliary graph, and the certificate, which is the total
-    colouring that those give, bound to the numbered graph by its fingerprint.  Without one it's null."""
+    colouring that those give, bound to the numbered graph by its fingerprint.  Without one it's null.  Equal graphs are
+    searched once: their records differ in the index alone."""
+    known = merged(rows)
+    return indexed(rows, known, _records(known.select(F.col("same_as").alias("graph_id"), "n", "edges"), run, offset, backend, **limits))
+
+
+def _records(rows: DataFrame, run: str, offset: int, backend: str, **limits: int | None) -> DataFrame:
     found = census.search(rows, offset, backend, **limits).select("graph_id", "status", "started", "first_partition", "witness")
     every = P.profile(rows).join(found, "graph_id")
     print_ = G.fingerprint(F.col("n"), F.col("edges"))
@@ -58,11 +65,18 @@ def faults(lines: DataFrame) -> DataFrame:
     * status: skipped or not by the domain, a witness without one, one without the status, or nothing started;
     * partition: pairs that aren't an equitable matching of the complement, its singletons, fingerprint or index;
     * assignment: not a rainbow colouring of the auxiliary graph;
-    * certificate: not the total colouring that the assignment gives, bound to another graph, or of another digest."""
-    rows = parsed(lines).withColumn("g", G.from_graph6(F.col("r.graph6")))
+    * certificate: not the total colouring that the assignment gives, bound to another graph, or of another digest.
+
+    Records that differ in the index alone are looked at once."""
+    return faults_once(lines, SCHEMA, _faults)
+
+
+def _faults(lines: DataFrame) -> DataFrame:
+    """lines(document, key) -> (key, fault, unread)."""
+    rows = lines.select("key", "document", F.from_json("document", SCHEMA).alias("r")).withColumn("g", G.from_graph6(F.col("r.graph6")))
     sound = F.col("g").isNotNull() & F.coalesce(_text(F.col("r")) == F.col("document"), F.lit(False))
-    unread = rows.where(~sound).select(F.col("r.index").alias("index"), F.lit("unreadable").alias("fault"))
-    rows = P.profile(rows.where(sound).select("r.*", F.col("g.n").alias("n"), F.col("g.edges").alias("edges")))
+    unread = rows.where(~sound).select("key", F.lit("unreadable").alias("fault"))
+    rows = P.profile(rows.where(sound).select("key", F.col("r").dropFields("index").alias("r"), "g").select("key", "r.*", F.col("g.n").alias("n"), F.col("g.edges").alias("edges")))
     same = lambda a, b: F.coalesce(a == b, F.lit(False))
     is_witness = F.col("status") == "witness"
     inside = F.col("outcome") == ""
@@ -71,9 +85,9 @@ def faults(lines: DataFrame) -> DataFrame:
         "graph": same(F.col("order"), F.col("n")) & same(F.col("size"), F.size("edges")) & same(F.col("graph_fingerprint"), G.fingerprint(F.col("n"), F.col("edges"))), "version": same(F.col("schema_version"), F.lit(VERSION)), "status": status,
     }
     told = F.filter(F.array(*[F.when(~ok, name) for name, ok in own.items()]), lambda x: x.isNotNull())
-    first = rows.select("index", F.explode(told).alias("fault"))
+    first = rows.select("key", F.explode(told).alias("fault"))
 
-    held = rows.where(is_witness & inside & F.col("witness").isNotNull()).select("index", "n", "edges", "d", F.col("pairs").alias("wanted"), "palette_offset", "started", "witness")
+    held = rows.where(is_witness & inside & F.col("witness").isNotNull()).select("key", "n", "edges", "d", F.col("pairs").alias("wanted"), "palette_offset", "started", "witness")
     w = F.col("witness")
     pair_edges = F.transform(w["pairs"], lambda e: F.struct(F.get(e, F.lit(0)).alias("u"), F.get(e, F.lit(1)).alias("v")))
     held = held.withColumn("pair_edges", pair_edges).withColumn("ends", F.flatten(w["pairs"])).withColumn("free", G.complement(F.col("n"), F.col("edges")))
@@ -90,4 +104,5 @@ def faults(lines: DataFrame) -> DataFrame:
     bound &= F.coalesce(V.is_total(F.col("n"), F.col("edges"), c["vertex_colors"], c["edge_colors"]), F.lit(False))
     # What rests on a partition that isn't one can't be told.
     parts = F.array(F.when(~F.col("whole"), "partition"), F.when(F.col("whole") & ~good, "assignment"), F.when(F.col("whole") & ~bound, "certificate"))
-    return unread.union(first).union(held.select("index", F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("fault")))
+    found = unread.union(first).union(held.select("key", F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("fault")))
+    return found.withColumn("unread", F.col("fault") == "unreadable")
