@@ -11,10 +11,15 @@ the least is the same for all relabelings all the same.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import graphs as G
+from ..sources.families import shared
+from ..sources.stored import cut
+from .solve import spread
 
 #: Refinements behind each choice: fewer leave more choices, never another form.
 ROUNDS = 2
@@ -69,8 +74,21 @@ def classes(rows: DataFrame, most: int | None = None) -> DataFrame:
     class_id is the least graph_id among all that are isomorphic.
 
     Equal graphs are merged before anything is refined, so a graph that a third of all rows hold is
-    one row."""
-    once = rows.groupBy("n", "edges").agg(F.min("graph_id").alias("graph_id"))
+    one row.  Those that are left are dealt over tasks: they are few bytes, but each has many ways."""
+    once = spread(rows.groupBy("n", "edges").agg(F.min("graph_id").alias("graph_id")), "n", "edges")
     found = forms(once, most)
     least = found.groupBy("n", "canonical").agg(F.min("graph_id").alias("class_id"))
     return found.join(least, ["n", "canonical"]).select("class_id", "n", "edges", "canonical")
+
+
+def alike(rows: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` of rows(graph_id, n, edges), which tells the same of isomorphic graphs, done once for each class, by its
+    canonical graph; every graph gets the rows of its class.  On six vertices there are 156 classes, however many rows."""
+
+    def once(known: DataFrame) -> DataFrame:
+        of_class = cut(classes(known), "classes")
+        found = work(of_class.select(F.col("class_id").alias("graph_id"), "n", F.col("canonical").alias("edges")).distinct()).withColumnRenamed("graph_id", "class_id")
+        of = known.join(of_class.select("class_id", "n", "edges"), ["n", "edges"]).select("graph_id", "class_id")
+        return of.join(found, "class_id").drop("class_id")
+
+    return shared(rows, once)

@@ -576,7 +576,7 @@ def search_record_faults(spark, sf):
 @query(checked6(TIGHT) + UNIVERSAL)
 def universal_census_tight_palette(spark, sf):
     """Palette offset 0, where partitions that don't extend are found."""
-    return shared(graphs(spark, sf, 6, 4), lambda rows: census.universal(rows, 3, TIGHT))
+    return canonical.alike(graphs(spark, sf, 6, 4), lambda rows: census.universal(rows, 3, TIGHT))
 
 
 @query(checked6([("static-order-iterative-v1", 0)]) + " SELECT p.graph_id, CASE WHEN outcome <> '' THEN 'skipped' WHEN failed IS NULL THEN 'witness' ELSE 'candidate_unsat' END AS status, coalesce(failed + 1, n, 0) AS started FROM prof p LEFT JOIN (SELECT graph_id, count(*) AS n, min(p) FILTER (status <> 'witness') AS failed FROM checks GROUP BY graph_id) c USING (graph_id)")
@@ -594,7 +594,7 @@ def universal_check_matrix(spark, sf):
 
 @query(checked6(THREE) + f", u AS ({UNIVERSAL}) SELECT s.status, count(u.status) AS graphs, CAST(coalesce(sum(partitions), 0) AS BIGINT) AS partitions, CAST(coalesce(sum(checks), 0) AS BIGINT) AS checks FROM (VALUES ('verified_all'), ('candidate_unsat'), ('unknown'), ('error'), ('skipped')) s(status) LEFT JOIN u USING (status) GROUP BY s.status")
 def status_rollup(spark, sf):
-    return census.status_counts(shared(graphs(spark, sf, 6, 4), lambda rows: census.universal(rows, 3)))
+    return census.status_counts(canonical.alike(graphs(spark, sf, 6, 4), lambda rows: census.universal(rows, 3)))
 
 
 # --- completeness ---------------------------------------------------------
