@@ -754,7 +754,7 @@ def matching_core_extensions(spark, sf):
         wanted = scopes(rows).where("matching_nonempty").select("graph_id")
         return extensions(spread(rows.join(wanted, "graph_id", "left_semi"), "graph_id"), 6)
 
-    return shared(graphs(spark, sf, 6, 4), work)
+    return canonical.alike(graphs(spark, sf, 6, 4), work)
 
 
 @query(f"""WITH {P6}, {CORE}, {free(6)}, {eligible(6).replace('prof AS', 'prof0 AS')}, prof AS (SELECT * REPLACE ('' AS outcome) FROM prof0), {matched(6).split(',' + chr(10) + 'parts AS')[0]}, {TABLES6},
@@ -770,7 +770,7 @@ def matching_core_run_tight(spark, sf):
         wanted = scopes(rows).where("matching_nonempty").select("graph_id")
         return run(spread(rows.join(wanted, "graph_id", "left_semi"), "graph_id"), 6, 1).select("graph_id", "precolourings", "status")
 
-    return shared(graphs(spark, sf, 6, 4), work)
+    return canonical.alike(graphs(spark, sf, 6, 4), work)
 
 
 # --- alternating components -------------------------------------------------

@@ -9,7 +9,10 @@ from conftest import same_rows
 from chromaspan.queries import ORACLES, QUERIES
 
 #: Where the work is done that grew with the labelings: (query, module, function).
-WORK = [("universal_census_tight_palette", "plans.census", "universal"), ("status_rollup", "plans.census", "universal")]
+WORK = [
+    ("universal_census_tight_palette", "plans.census", "universal"), ("status_rollup", "plans.census", "universal"),
+    ("matching_core_run_tight", "plans.matching_core", "run"), ("matching_core_extensions", "plans.matching_core", "extensions"),
+]
 
 
 @pytest.fixture(scope="module")
