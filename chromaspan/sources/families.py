@@ -7,12 +7,18 @@ One aggregation by graph_id builds it; what follows works on the arrays and need
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.graphs import shift_left, shift_right
 from .stored import cut
 
+#: Vertices up to which a graph's pairs are gathered as bits.
+BITS = 11
+
 
 def from_pairs(pairs: DataFrame, n: int) -> DataFrame:
     """pairs(graph_id, a, b), any orientation, loops and repeats -> graphs(graph_id, n, edges)."""
@@ -21,10 +27,44 @@ def from_pairs(pairs: DataFrame, n: int) -> DataFrame:
     return pairs.where("a <> b").groupBy("graph_id").agg(F.sort_array(F.collect_set(edge)).alias("edges")).select("graph_id", F.lit(n).alias("n"), "edges")
 
 
+def from_remainders(pairs: DataFrame, n: int) -> DataFrame:
+    """``from_pairs`` where a and b are remainders modulo n; those of negative numbers are 1 - n and more.
+
+    While it is gathered, a graph is a bit for each pair of vertices: rows add up in place in buffers of fixed size, and
+    what is shuffled is a few longs a graph and task, where sets of pairs were objects that were sorted.  Pairs of
+    vertices from 0 on have the first long for themselves, so the others are looked into only where they aren't 0."""
+    if n > BITS:
+        return from_pairs(pairs, n)
+    every = [(u, v) for u in range(1 - n, n) for v in range(u + 1, n)]
+    usual, odd = [p for p in every if p[0] >= 0], [p for p in every if p[0] < 0]
+    words = [usual, *(odd[i : i + 63] for i in range(0, len(odd), 63))]
+    a, b = F.col("a").cast("int"), F.col("b").cast("int")
+    u, v = F.least(a, b), F.greatest(a, b)
+    # The pair's number among ``every``, or among ``usual``: the pairs of lesser vertices come before it.
+    number = lambda least: F.shiftright((F.col("u") - least) * (2 * n - 1 - least - F.col("u")), 1) + F.col("v") - F.col("u") - 1
+    rows = pairs.where("a <> b").select("graph_id", u.alias("u"), v.alias("v"))
+    rows = rows.select("graph_id", F.when(F.col("u") >= 0, number(0)).otherwise(len(usual) + number(1 - n)).alias("i"))
+    bounds = [0, *accumulate(map(len, words))]
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    bits = [F.bit_or(F.when((F.col("i") >= x) & (F.col("i") < y), shift_left(one, F.col("i") - x)).otherwise(none)).alias(f"w{k}") for k, (x, y) in enumerate(zip(bounds, bounds[1:]))]
+    kind = "array<struct<u:int,v:int>>"
+
+    def listed(k: int, word: list[tuple[int, int]]) -> Column:
+        known = F.array(*[F.struct(F.lit(x).alias("u"), F.lit(y).alias("v")) for x, y in word]).cast(kind)
+        return F.filter(known, lambda p, i: shift_right(F.col(f"w{k}"), i).bitwiseAND(one) == 1)
+
+    found = listed(0, usual)
+    if odd:
+        below = range(1, len(words))
+        some = reduce(Column.__or__, [F.col(f"w{k}") != 0 for k in below])
+        found = F.when(some, F.concat(*[listed(k, words[k]) for k in below], found)).otherwise(found)
+    return rows.groupBy("graph_id").agg(*bits).select("graph_id", F.lit(n).alias("n"), found.alias("edges"))
+
+
 def graphs(spark: SparkSession, sf_dir: str, n: int, k: int) -> DataFrame:
     """The family P(n, k): orders dealt k to a graph, parts and suppliers as vertices modulo n."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return from_pairs(rows.select(F.expr(f"l_orderkey div {k}").alias("graph_id"), (F.col("l_partkey") % n).alias("a"), (F.col("l_suppkey") % n).alias("b")), n)
+    return from_remainders(rows.select(F.expr(f"l_orderkey div {k}").alias("graph_id"), (F.col("l_partkey") % n).alias("a"), (F.col("l_suppkey") % n).alias("b")), n)
 
 
 def edges(of: DataFrame) -> DataFrame:
