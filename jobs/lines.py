@@ -42,12 +42,16 @@ def graphs_of(documents: DataFrame, order: int, least: int) -> DataFrame:
     Lines of fewer than ``least`` words, and those whose words all have one length modulo the order,
     make no graph.  A line becomes its edges where it is read: text isn't shuffled, only a row a task
     for each graph it has seen."""
-    text = F.explode(F.split("text", "\n")).alias("line")
     lang = F.coalesce(F.nullif(F.trim("lang"), F.lit("")), F.lit(NO_LANGUAGE)).alias("lang")
-    sizes = F.transform(F.filter(F.split("line", "[ \t\r]+"), lambda w: w != ""), lambda w: (F.length(w) % order).cast("int"))
-    rows = documents.select("doc_id", lang, text).select("doc_id", "lang", sizes.alias("v")).where(F.size("v") >= least)
-    step = F.zip_with(F.slice("v", 1, F.size("v") - 1), F.slice("v", 2, F.size("v") - 1), lambda a, b: F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")))
-    made = rows.select("lang", "doc_id", F.lit(order).alias("n"), F.sort_array(F.array_distinct(F.filter(step, lambda e: e["u"] < e["v"]))).alias("edges"))
+    # All of a text's lines are one expression: a filter on the graph of a line would be pushed below and make it again.
+    words = lambda line: F.filter(F.split(line, " "), lambda w: w != "")
+    sizes = lambda line: F.transform(words(line), lambda w: (F.length(w) % order).cast("int"))
+    # The last word is paired with null, which least and greatest pass over, and so falls out.
+    steps = lambda v: F.zip_with(v, F.slice(v, 2, F.size(v)), lambda a, b: F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")))
+    graph = lambda v: F.when(F.size(v) >= least, F.sort_array(F.array_distinct(F.filter(steps(v), lambda e: e["u"] < e["v"]))))
+    spaced = F.replace(F.replace("text", F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    graphs = F.transform(F.split(spaced, "\n"), lambda line: G.let(sizes(line), graph))
+    made = documents.select("doc_id", lang, F.lit(order).alias("n"), F.explode_outer(graphs).alias("edges"))
     return made.where(F.size("edges") > 0).groupBy("lang", "n", "edges").agg(F.count("*").alias("lines"), F.min("doc_id").alias("first_doc"))
 
 
