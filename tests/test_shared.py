@@ -57,3 +57,15 @@ def test_walks_are_of_two_colours(spark, copies, monkeypatch):
     assert QUERIES["kempe_walks"](spark, copies).count() % 6 == 0
     colours = given[0].groupBy("graph_id").agg(F.count_distinct("color").alias("k"), F.sort_array(F.collect_set(F.struct("u", "v", "color"))).alias("e"))
     assert colours.where("k <> 2").isEmpty() and colours.count() == colours.select("e").distinct().count()
+
+
+@pytest.mark.parametrize("name", ["cnf_clause_counts", "cnf_dimacs_digest"])
+def test_clauses_are_built_once_for_equal_graphs(spark, copies, monkeypatch, name):
+    """Counts the rows for which clauses are built, where it happens."""
+    from chromaspan.operators import cnf
+
+    seen, plain = spark.sparkContext.accumulator(0), cnf.clauses
+    counted = F.udf(lambda items: seen.add(1) or items, "int")
+    monkeypatch.setattr(cnf, "clauses", lambda items, *more: plain(counted(items), *more))
+    assert len(QUERIES[name](spark, copies).collect()) == 72
+    assert 0 < seen.value <= 12
