@@ -84,9 +84,13 @@ def merged(rows: DataFrame) -> DataFrame:
 
 def shared(rows: DataFrame, work: Callable[[DataFrame], DataFrame], store: bool = True) -> DataFrame:
     """``work`` of rows(graph_id, n, edges), which tells of each graph by its edges alone, done once for equal graphs;
-    every graph gets the rows of its like.  ``store`` keeps what was done as a table, so that joins know its size."""
+    every graph gets the rows of its like.  ``store`` keeps what was done as a table, so that joins know its size.
+
+    Without it sets of edges may be many, and neither they nor what was done pass through the driver: a stored table's
+    bytes, which decide on a broadcast, are a fiftieth of what it then takes there, and what follows an explode isn't
+    told by its input.  So both joins sort."""
     known = merged(rows)
     found = work(known.select(F.col("same_as").alias("graph_id"), "n", "edges")).withColumnRenamed("graph_id", "same_as")
+    found, known = (cut(found, "shared"), known) if store else (found.hint("merge"), known.hint("merge"))
     of = rows.select("graph_id", "n", "edges").join(known, ["n", "edges"]).select("graph_id", "same_as")
-    found = cut(found, "shared") if store else found
     return of.join(found, "same_as").select("graph_id", *[c for c in found.columns if c != "same_as"])

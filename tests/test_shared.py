@@ -69,3 +69,11 @@ def test_clauses_are_built_once_for_equal_graphs(spark, copies, monkeypatch, nam
     monkeypatch.setattr(cnf, "clauses", lambda items, *more: plain(counted(items), *more))
     assert len(QUERIES[name](spark, copies).collect()) == 72
     assert 0 < seen.value <= 12
+
+
+@pytest.mark.parametrize("name", ["hole_blockages"])
+def test_sets_of_edges_dont_pass_through_the_driver(spark, copies, name):
+    """However small its tables, the plan as it was run broadcasts nothing: on seven vertices there are two million sets of edges."""
+    rows = QUERIES[name](spark, copies)
+    assert rows.collect()
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
