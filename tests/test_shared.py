@@ -71,7 +71,7 @@ def test_clauses_are_built_once_for_equal_graphs(spark, copies, monkeypatch, nam
     assert 0 < seen.value <= 12
 
 
-@pytest.mark.parametrize("name", ["hole_blockages", "hole_crossings", "hole_fans"])
+@pytest.mark.parametrize("name", ["hole_blockages", "hole_crossings", "hole_fans", "hole_scope"])
 def test_sets_of_edges_dont_pass_through_the_driver(spark, copies, name):
     """However small its tables, the plan as it was run broadcasts nothing: on seven vertices there are two million sets of edges."""
     rows = QUERIES[name](spark, copies)
