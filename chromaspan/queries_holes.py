@@ -104,7 +104,7 @@ def hole_orbits(spark, sf):
     move = F.array("first_a", "first_b", "first_at", "second_a", "second_b", "then_at", "fill")
 
     def work(rows):
-        stuck = cut(holes.verdicts(rows, key).where("status = 'blocked'").select(*key), "stuck")
+        stuck = cut(holes.verdicts(rows, key).where("status = 'blocked'").select(*key), "stuck").hint("merge")
         exits = holes.orbit_exits(spread(rows.join(stuck, key, "left_semi"), *key)).where(F.col("fill") != had)
         found = exits.groupBy(*key).agg(F.count("*").alias("exits"), F.count_if("detached").alias("detached"), F.min(move).alias("least"))
         least = F.array_join(F.col("least").cast("array<string>"), ",")

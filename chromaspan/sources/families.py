@@ -18,6 +18,8 @@ from .stored import cut
 
 #: Vertices up to which a graph's pairs are gathered as bits.
 BITS = 11
+#: Graphs with the same edges, on average, that one task gives their rows where sets of edges may be many.
+TOGETHER = 4096
 
 
 def from_pairs(pairs: DataFrame, n: int) -> DataFrame:
@@ -87,10 +89,18 @@ def shared(rows: DataFrame, work: Callable[[DataFrame], DataFrame], store: bool
     every graph gets the rows of its like.  ``store`` keeps what was done as a table, so that joins know its size.
 
     Without it sets of edges may be many, and neither they nor what was done pass through the driver: a stored table's
-    bytes, which decide on a broadcast, are a fiftieth of what it then takes there, and what follows an explode isn't
-    told by its input.  So both joins sort."""
+    bytes, which decide on a broadcast, may be a sixtieth of what it then takes there, and the size of what follows an
+    explode isn't told by its input.  So both joins sort.  A set that very many graphs have is then worked on once for
+    each ``TOGETHER`` of them, under graph_ids of its own, so that no task gives rows to all of them."""
     known = merged(rows)
-    found = work(known.select(F.col("same_as").alias("graph_id"), "n", "edges")).withColumnRenamed("graph_id", "same_as")
-    found, known = (cut(found, "shared"), known) if store else (found.hint("merge"), known.hint("merge"))
-    of = rows.select("graph_id", "n", "edges").join(known, ["n", "edges"]).select("graph_id", "same_as")
+    if store:
+        found = cut(work(known.select(F.col("same_as").alias("graph_id"), "n", "edges")).withColumnRenamed("graph_id", "same_as"), "shared")
+        of = rows.select("graph_id", "n", "edges").join(known, ["n", "edges"]).select("graph_id", "same_as")
+    else:
+        known, more = known.where("same_as is not null"), F.expr(f"copies div {TOGETHER}")
+        called = F.struct("same_as", "part")
+        once = known.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), more)))
+        found = work(once.select(called.alias("graph_id"), "n", "edges")).withColumnRenamed("graph_id", "same_as").hint("merge")
+        of = rows.select("graph_id", "n", "edges").join(known.hint("merge"), ["n", "edges"])
+        of = of.withColumn("part", F.pmod(F.xxhash64("graph_id"), more + 1)).select("graph_id", called.alias("same_as"))
     return of.join(found, "same_as").select("graph_id", *[c for c in found.columns if c != "same_as"])

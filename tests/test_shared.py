@@ -71,9 +71,23 @@ def test_clauses_are_built_once_for_equal_graphs(spark, copies, monkeypatch, nam
     assert 0 < seen.value <= 12
 
 
-@pytest.mark.parametrize("name", ["hole_blockages", "hole_crossings", "hole_fans", "hole_scope"])
+@pytest.mark.parametrize("name", ["hole_blockages", "hole_crossings", "hole_fans", "hole_scope", "hole_verdicts", "hole_orbits"])
 def test_sets_of_edges_dont_pass_through_the_driver(spark, copies, name):
     """However small its tables, the plan as it was run broadcasts nothing: on seven vertices there are two million sets of edges."""
     rows = QUERIES[name](spark, copies)
     assert rows.collect()
     assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["hole_blockages", "hole_verdicts", "hole_orbits"])
+def test_many_equal_graphs_are_dealt(spark, copies, monkeypatch, name):
+    """A set of edges that many graphs have is worked on for a few of them at a time, with the same rows."""
+    from chromaspan.sources import families
+
+    want = sorted(map(repr, QUERIES[name](spark, copies).collect()))
+    holes = importlib.import_module("chromaspan.queries_holes")
+    given, plain = [], holes._states
+    monkeypatch.setattr(families, "TOGETHER", 2)
+    monkeypatch.setattr(holes, "_states", lambda rows: given.append(rows.count()) or plain(rows))
+    assert sorted(map(repr, QUERIES[name](spark, copies).collect())) == want
+    assert given and 12 < given[0] <= 72
